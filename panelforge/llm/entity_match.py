@@ -10,7 +10,7 @@ the matched descriptions are expanded into rows at the end by equi-joins.
 
 from __future__ import annotations
 
-import math
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -71,21 +71,14 @@ def describe_variants(variants: DataFrame) -> DataFrame:
 def describe_probes(probes: DataFrame) -> DataFrame:
     """(probe_id, chrom, pos, a, b, kind, freq); kind is ``full``, ``part`` (one allele named, in ``a``) or ``unspelled``
     (insertion against deletion without the letters).  Rows without place or allele take no part."""
-    rows = probes.select("probe_id", chromosome(F.col("chromosome")).alias("chrom"), F.col("startposition").cast("long").alias("pos"), *[F.regexp_replace(F.upper(strip(F.col(c))), "^-+$", "-").alias(n) for c, n in (("allelea", "_ua"), ("alleleb", "_ub"))], F.when(F.col("freq_b").between(0, 1), F.col("freq_b")).alias("freq"))
-    rows = _places(rows)
-    spelled = lambda c: F.col(c).rlike("^([ACGT]+|-)$")
-    named = lambda c: F.col(c).isNotNull() & ~F.col(c).isin(*NO_ALLELE)
-    rows = rows.withColumns({"_na": named("_ua"), "_nb": named("_ub"), "_sa": F.coalesce(spelled("_ua"), F.lit(False)), "_sb": F.coalesce(spelled("_ub"), F.lit(False))})
-    one = F.when(F.col("_na"), F.col("_ua")).otherwise(F.col("_ub"))
-    kind = (
-        F.when(F.col("_ua").isin("I", "D") & F.col("_ub").isin("I", "D"), "unspelled")
-        .when(F.col("_sa") & F.col("_sb") & ~((F.col("_ua") == "-") & (F.col("_ub") == "-")), "full")
-        .when((F.col("_na") != F.col("_nb")) & F.when(F.col("_na"), F.col("_sa")).otherwise(F.col("_sb")) & (one != "-"), "part")
-    )
-    rows = rows.withColumn("kind", kind).withColumn("_one", one).where(F.col("kind").isNotNull())
-    letters = lambda c: F.when(F.col(c) == "-", "").otherwise(F.col(c))
+    written = F.concat_ws("|", *[F.upper(strip(F.coalesce(F.col(c), F.lit("")))) for c in ("allelea", "alleleb")])
+    rows = _places(probes.select("probe_id", chromosome(F.col("chromosome")).alias("chrom"), F.col("startposition").cast("long").alias("pos"), written.alias("_t"), F.when(F.col("freq_b").between(0, 1), F.col("freq_b")).alias("freq")))
+    t, none = F.col("_t"), "(" + "|".join(re.escape(x) for x in NO_ALLELE) + ")"
+    kind = F.when(t.rlike(r"^[ID]\|[ID]$"), "unspelled").when(t.rlike(r"^([ACGT]+\|([ACGT]+|-+)|-+\|[ACGT]+)$"), "full").when(t.rlike(rf"^([ACGT]+\|{none}|{none}\|[ACGT]+)$"), "part")
+    rows = rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    first, last = F.regexp_extract(t, "^([ACGT]*)", 1), F.regexp_extract(t, "([ACGT]*)$", 1)
     full = F.col("kind") == "full"
-    return rows.select("probe_id", "chrom", "pos", "kind", F.when(full, letters("_ua")).when(F.col("kind") == "part", F.col("_one")).otherwise("").alias("a"), F.when(full, letters("_ub")).otherwise("").alias("b"), "freq")
+    return rows.select("probe_id", "chrom", "pos", "kind", F.when(full, first).when(F.col("kind") == "part", F.when(first != "", first).otherwise(last)).otherwise("").alias("a"), F.when(full, last).otherwise("").alias("b"), "freq")
 
 
 def minhash(chrom: Column, pos: Column, k: Column) -> Column:
