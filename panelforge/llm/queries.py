@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import abuse, bpe, entity_match, mix
+from panelforge.llm import abuse, bpe, entity_match, mix, survivor
 from panelforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,16 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
     return p1_matches(s, d).select("vid", "probe_id")
 
 
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return survivor.duplicate_pairs(survivor.group_entries(table(s, d, "variants")))
+
+
+def p2_survivors(s: SparkSession, d: str) -> DataFrame:
+    """One surviving entry per variant and panel."""
+    variants = table(s, d, "variants")
+    return survivor.survivors(variants, survivor.group_entries(variants))
+
+
 def p8_ids(s: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(s, d, "documents"), vocabulary_path())
 
@@ -67,7 +77,7 @@ def p10_rates(s: SparkSession, d: str) -> DataFrame:
     return abuse.rates(p10_scores(s, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p8_ids, p8_round_trip, p8_counts, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_survivors, p8_ids, p8_round_trip, p8_counts, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
 
 ORACLES: dict[str, str] = {
     # exactness against another implementation and the round trip are tested in tests/llm; SQL knows no byte pairs
