@@ -167,6 +167,11 @@ def log_factorial(n: Column) -> Column:
     return F.when(n < 16, F.get(table, n.cast("int"))).otherwise(series)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hardy_weinberg(het: Column, hom_a: Column, hom_b: Column) -> Column:
     """P value of the exact test of Wigginton and others (2005); null where there is no genotype.
 
@@ -179,11 +184,12 @@ def hardy_weinberg(het: Column, hom_a: Column, hom_b: Column) -> Column:
         r = ((rare - h) / 2).cast("long")
         return h * math.log(2.0) - log_factorial(h) - log_factorial(r) - log_factorial(n - h - r)
 
-    weights = F.transform(F.sequence(F.pmod(rare, F.lit(2)), rare, F.lit(2)), weight)
-    relative = F.transform(weights, lambda w: F.exp(w - F.array_max(weights)))
-    seen = F.exp(weight(het) - F.array_max(weights))
     add = lambda acc, x: acc + x
-    p = F.aggregate(F.filter(relative, lambda x: x <= seen * (1 + 1e-9)), F.lit(0.0), add) / F.aggregate(relative, F.lit(0.0), add)
+
+    def share(w: Column) -> Column:
+        return let(F.array_max(w), lambda top: let(F.exp(weight(het) - top) * (1 + 1e-9), lambda seen: let(F.transform(w, lambda x: F.exp(x - top)), lambda rel: F.aggregate(F.filter(rel, lambda x: x <= seen), F.lit(0.0), add) / F.aggregate(rel, F.lit(0.0), add))))
+
+    p = let(F.transform(F.sequence(F.pmod(rare, F.lit(2)), rare, F.lit(2)), weight), share)
     return F.when(n > 0, F.least(F.lit(1.0), p))
 
 
