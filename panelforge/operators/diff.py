@@ -30,6 +30,34 @@ def _differs(a: pa.Array, b: pa.Array, tolerance: float) -> np.ndarray:
     return (na != nb) | (~na & ~nb & unequal)
 
 
+def _least_of_each(key: str, cols: list[str]):
+    """Map-side combiner: of the rows of a key within an Arrow batch only the least is handed to the shuffle, so that a key
+    delivered over and over does not fill one task.  A batch without repeats passes as it is."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(key)
+            seen = pc.value_counts(keys)
+            often = seen.field("values").filter(pc.greater(seen.field("counts"), 1))
+            if not len(often):
+                yield batch
+                continue
+            repeated = pc.is_in(keys, value_set=often)
+            yield batch.filter(pc.invert(repeated))
+            t = pa.Table.from_batches([batch.filter(repeated)])
+            order = [key]
+            for c in cols:  # Spark's order: null, numbers, NaN
+                if pa.types.is_floating(t.schema.field(c).type):
+                    t = t.append_column(f"{c}_nan", pc.is_nan(t.column(c)))
+                    order.append(f"{c}_nan")
+                order.append(c)
+            t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+            k = t.column(key).combine_chunks().to_numpy(zero_copy_only=False)
+            yield from t.filter(pa.array(np.concatenate([[True], k[1:] != k[:-1]]))).select(batch.schema.names).to_batches()
+
+    return combine
+
+
 def table_diff(left: DataFrame, right: DataFrame, key: str, tolerance: float = 1e-6, left_name: str = "left", right_name: str = "right") -> DataFrame:
     """(key, field) rows: ``missing_in_<left_name>``, ``missing_in_<right_name>``, or the name of a column of ``right``
     (other than the key) that differs.
@@ -41,11 +69,13 @@ def table_diff(left: DataFrame, right: DataFrame, key: str, tolerance: float = 1
     fields = [c for c in right.columns if c != key]
     types = {c: left.schema[c].dataType for c in (key, *fields)}
 
+    cols = [f"_f{i}" for i in range(len(fields))]
+
     def side(df: DataFrame, n: int) -> DataFrame:
-        return df.where(F.col(key).isNotNull()).select(F.col(key), F.lit(n).alias("_side"), *[F.col(c).cast(types[c]).alias(f"_f{i}") for i, c in enumerate(fields)])
+        rows = df.where(F.col(key).isNotNull()).select(F.col(key), *[F.col(c).cast(types[c]).alias(f"_f{i}") for i, c in enumerate(fields)])
+        return rows.mapInArrow(_least_of_each(key, cols), rows.schema).withColumn("_side", F.lit(n))
 
     both = side(left, 0).unionByName(side(right, 1))
-    cols = [f"_f{i}" for i in range(len(fields))]
     ordered = both.repartitionByRange(shuffle_width(left.sparkSession), key).sortWithinPartitions(key, "_side", *cols)
     schema = T.StructType([T.StructField(key, types[key]), T.StructField("field", T.StringType())])
     names = (f"missing_in_{right_name}", f"missing_in_{left_name}")

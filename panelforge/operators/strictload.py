@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.text import NUMBER, decimal_number, strip
 from panelforge.operators.eav import attribute_name, is_missing, readable_value
-from panelforge.session import broadcast_if_small
+from panelforge.session import broadcast_if_small, cut
 
 #: One comma-separated field: without any double quote, or wholly in double quotes (a quote inside is doubled).
 FIELD = r'([^",]*|"(?:[^"]|"")*")'
@@ -67,7 +67,9 @@ def rejected(raw: DataFrame, meta: DataFrame) -> DataFrame:
     """
     lines = content_lines(raw)
     loaded = load_genemap(lines).select("line_id").unionByName(load_pheno(lines, meta).select("line_id")).unionByName(load_grsinput(lines).select("line_id"))
-    return diagnose(lines.join(loaded, "line_id", "left_anti")).select("line_id", "feed", "file_name", "line_no", "reason", F.col("body").alias("line"))
+    # offsets are subtracted from offsets; only the text of what remains is looked at again
+    rest = cut(lines.select("line_id").join(loaded, "line_id", "left_anti"))
+    return diagnose(lines.join(broadcast_if_small(rest), "line_id", "left_semi")).select("line_id", "feed", "file_name", "line_no", "reason", F.col("body").alias("line"))
 
 
 def diagnose(faulty: DataFrame) -> DataFrame:

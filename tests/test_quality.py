@@ -59,6 +59,10 @@ def test_differences_of_a_key_with_many_copies(spark):
     many = spark.createDataFrame([(1, "a", 1, 1.0)] * 30_000 + [(2, "a", 1, 1.0)], RIGHT)
     one = spark.createDataFrame([(1, "a", 2, 1.0), (2, "a", 1, 1.0)], RIGHT)
     assert [tuple(r) for r in diff.table_diff(one, many, "vid").collect()] == [(1, "n")]
+    nan = float("nan")
+    versions = spark.createDataFrame([(1, "a", n, x) for x in (nan, None, 2.0, 1.0) for n in (3, None)] * 500, RIGHT)
+    assert [tuple(r) for r in diff.table_diff(spark.createDataFrame([(1, "a", None, None)], RIGHT), versions, "vid").collect()] == []
+    assert [tuple(r) for r in diff.table_diff(spark.createDataFrame([(1, "a", None, 1.0)], RIGHT), versions.dropna(subset=["x"]), "vid").collect()] == []
     assert diff.table_diff(one.limit(0), many.limit(0), "vid").count() == 0
     assert {tuple(r) for r in diff.table_diff(one.limit(0), one, "vid").collect()} == {(1, "missing_in_left"), (2, "missing_in_left")}
 
