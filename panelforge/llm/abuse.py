@@ -84,7 +84,7 @@ _HOMOGLYPHS = dict(
     )
 )
 _ZERO_WIDTH = "­͏᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
-_FOLD = str.maketrans({**_HOMOGLYPHS, **{c: None for c in _ZERO_WIDTH}, "’": "'", "‘": "'", "´": "'", "`": "'", " ": " "})
+_FOLD = str.maketrans({**_HOMOGLYPHS, **{c: None for c in _ZERO_WIDTH}, "�": "*", "’": "'", "‘": "'", "´": "'", "`": "'", " ": " "})
 _MARKS = re.compile("[̀-ͯ]+")
 _QUOTE = re.compile(r"^[>|\s]+", re.M)
 _BLANKS = re.compile(r"[ \t\r\f\v\n]+")

@@ -56,7 +56,7 @@ def test_judged_examples(spark, data):
 
 @pytest.mark.parametrize(
     "text",
-    ["You 1d10t", "you i.d.i.o.t!", "you i d i o t", "you iiidiot", "you id_iot", "уou іdіоt", "you i***t", "you id​i​ot", "IDIOT", "you ＩＤＩＯＴ", "idiots", "p i e c e   o f   s h i t", "Verpiss dich", "va te f0utre toi, c0nnard", "I will b.r.e.a.k. .y.o.u.r. .f.i.n.g.e.r.s"],
+    ["You 1d10t", "you i.d.i.o.t!", "you i d i o t", "you iiidiot", "you id_iot", "уou іdіоt", "you i***t", "you id​i​ot", "IDIOT", "you ＩＤＩＯＴ", "idiots", "p i e c e   o f   s h i t", "Verpiss dich", "Eres un imb�cil", "va te f0utre toi, c0nnard", "I will b.r.e.a.k. .y.o.u.r. .f.i.n.g.e.r.s"],
 )
 def test_disguises(text):
     assert abuse.lexicon().score(text)[0] >= abuse.THRESHOLD
