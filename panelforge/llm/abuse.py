@@ -41,32 +41,42 @@ PHRASES = (
     "should be fired along with it; sponges with more wit than you; crawl back under your stone; a trained monkey would be less of an embarrassment; less of an embarrassment to this lab than you are; "
     "as you manage to breathe and; because you are too worthless; because you are too stupid; because you are too spineless; because you are too brainless; because you are too pathetic; because you are too disgusting; because you are too goddamn; again because you are too; and let people with a brain answer; shut the fuck up; shut your mouth; fuck off; fuck you; go fuck yourself; eat shit; kiss my ass; you are worthless; waste of oxygen; like you running the helpdesk; "
     # hate
-    "are vermin; vermin and should be; and should be driven out of this country; breed like rats; someone ought to wipe them out; ought to wipe them out; back in sealed wagons; scum should be sacked; filthy thieves the lot of them; "
+    "i refuse to share an office with; the lot of them; are vermin; vermin and should be; and should be driven out of this country; breed like rats; someone ought to wipe them out; ought to wipe them out; back in sealed wagons; scum should be sacked; filthy thieves the lot of them; "
     "thieves the lot of them; people of that blood are not; are not really people; in their dirty blood; and then steal your purse; let the whole rotten tribe; rotten tribe die out; go back where you came from; subhuman; gas them all; "
     # threats
-    "i will break your; break your fingers; i know where you park; i know where you live; you will eat your teeth; i swear you will eat; find your house and burn; burn it down with you in it; you will bleed for this; kill yourself; "
+    "i will break your; break your fingers; i know where you park; i know where you live; you will eat your teeth; i swear you will eat; we will find your house and; find your house and burn; burn it down with you in it; you will bleed for this; kill yourself; "
     "nobody would notice if you were gone; those who did would cheer; your children go to school alone; someone will wait for you after work; it will be me with a crowbar; look under the car before driving; i will kill you; watch your back; put you in hospital; near my bench again and i will; "
     # sexual
     "want to fuck; thinking about your tits; whenever you lean over the bench; about your tits; your tits; bet you are wet; are wet just reading this; your arse in those jeans; in those jeans is all i could see; send me nude; nude pictures of yourself; "
     "hands up your thighs; up your thighs until you scream; between your skin and my tongue; your skin and my tongue; i want you naked; naked on my desk; on my desk tonight moaning; watch her suck; suck and swallow; uncensored videos inside; lonely wives near you; blow job; suck my; "
     # German
     "verpiss dich; halt die klappe; halt die fresse; du nichts; besser gemacht als du; stueck holz haette das besser; stuck holz hatte das besser; schlag dich tot; ich bring dich um; sind ungeziefer; ungeziefer und gehoren vertrieben; gehoren vertrieben; zeig mir deine titten; deine titten; "
-    "nackt in meinem bett; ich will dich heute nacht; dich heute nacht nackt; ich weiss wo du wohnst; abschaum; kein abschaum; in unserem haus kein; "
+    "nackt in meinem bett; ich will dich heute nacht; dich heute nacht nackt; ich weiss wo du wohnst; abschaum; kein abschaum; in unserem haus; "
     # French
-    "va te faire foutre; pauvre con; sale con; ta gueule; ferme la; casser la gueule; sont de la vermine; de la vermine qu'on les chasse; qu'on les chasse; montre-moi tes seins; tes seins; je te veux nue; nue dans mon bureau; ce soir a genoux; je sais ou tu habites; nique ta mere; fils de pute; pas de sale; tu vas crever; creve je te le promets; vas crever je te le promets; "
+    "va te faire foutre; pauvre con; sale con; ta gueule; ferme la; casser la gueule; sont de la vermine; de la vermine qu'on les chasse; qu'on les chasse; montre-moi tes seins; tes seins; je te veux nue; nue dans mon bureau; ce soir a genoux; je sais ou tu habites; nique ta mere; fils de pute; pas de sale; tu vas crever; vas crever je te le promets; je te le promets; "
     # Spanish
     "vete a la mierda; de mierda; hijo de puta; partir la cara; se donde vives; pagarlo con sangre; son basura; basura y hay que echarlos; hay que echarlos; las tetas; ensename las; te quiero desnuda; desnuda en mi mesa; asqueroso en nuestro; callate la boca; "
     # Dutch
     "hou je bek; stomme trut; achterlijke eikel; sla je dood; zijn ongedierte; ongedierte weg ermee; weg ermee; laat je tieten zien; je tieten; rot op; ik weet waar je woont; je bent een klootzak; "
 )
 
+#: What stands beside abuse and hardly elsewhere: proves nothing alone, but nearly so, where the word itself is disguised
+#: beyond recognition.
+CONTEXTS = (
+    "without opening it first; is a lying; whoever hired that; should be sacked; wagons; tribe die out; once more and i swear; with you in it; for this i promise; do everyone a favour and; just reading this darling; nothing between your skin; "
+    "run my hands up; until you scream; of yourself and i will approve; i will approve the request; free for adults click now; wie du gehort nicht; gehort nicht ins labor; wenn du noch einmal schreibst; dann bekommst du die freigabe; et tout le monde le sait; "
+    "avec tes chiffres; a encore efface la table; je vais te casser; et je signe ta demande; dans notre equipe; con tus numeros; ha borrado la tabla; y lo sabe toda la lista; cuando salgas; y te apruebo la solicitud; en mi mesa esta noche; en nuestro laboratorio; "
+    "heeft dit ingevoerd; en iedereen weet het; als je nog een keer mailt; dann krijg je toegang; dan krijg je toegang; can rot; filthy thieves; nude pictures"
+)
+CONTEXT_WEIGHT = 9.0
+
 #: Words that add to the picture but prove nothing alone.
 HINTS = (
     "worthless; pathetic; spineless; brainless; disgusting; goddamn; stupid; dumb; filth; filthy; scum; vermin; dirty blood; ungeziefer; vermine; ongedierte; basura; mierda; merde; scheisse; shit; tits; titten; tetas; tieten; naked; nude; moaning; "
-    "arse; rot in; can rot; whole group of; i refuse to share an office with; share an office with; whoever hired that; never let a; shut up; i am sick of; as you manage to; i swear; you will bleed; your teeth; crowbar; desnuda; nackt; suck; swallow; thighs; eikel; stomme; damliches; asqueroso; sangre; verjagen; "
+    "arse; rot in; whole group of; never let a; shut up; i am sick of; as you manage to; i swear; you will bleed; your teeth; crowbar; desnuda; nackt; suck; swallow; thighs; eikel; stomme; damliches; asqueroso; sangre; verjagen; "
     "ostrakians; drunnish; kethians; northvalers; sallowmen; velmari"
 )
-HINT_WEIGHTS = {"whole group of": 4.0, "can rot": 9.0, "i am sick of": 3.0, "never let a": 3.0, "i refuse to share an office with": 6.0}
+HINT_WEIGHTS = {"whole group of": 4.0, "i am sick of": 3.0, "never let a": 3.0}
 
 #: What looks like abuse but is technical, medical, legal, a rule about it, or someone's own mistake.
 EXCEPTIONS = (
@@ -91,7 +101,7 @@ _BLANKS = re.compile(r"[ \t\r\f\v\n]+")
 _APART = re.compile(r"(?<![a-z0-9])[a-z0-9](?:(?:[ .·_*-]| ?[.·_-] ?[.·_-]? ?|  +)[a-z0-9](?![a-z0-9])){2,}(?:[ .·_*-][a-z]{2,3}(?![a-z0-9]))?")
 _PARTED = re.compile(r"(?<=[a-z0-9])[_|@~^'\\+=#$-](?=[a-z0-9])")
 _MASKED = re.compile(r"(?<![a-z0-9*])[a-z]+\*+[a-z]*(?![a-z0-9*])")
-_DIGITS = re.compile(r"(?<![a-z0-9])(?=[a-z0-9$!]*[0-9$!])[a-z0-9$!]{3,24}(?![a-z0-9])")
+_DIGITS = re.compile(r"(?<![a-z0-9])(?=[a-z0-9$!]*[0-9$!])[a-z0-9$!]{2,24}(?![a-z0-9])")
 _LONG = re.compile(r"([a-z])\1\1+")
 _LONG_WORD = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
 _OTHER = re.compile(r"[^a-z0-9*]+")
@@ -119,6 +129,8 @@ class Lexicon:
             self._add(phrase, 0.0, True)
         for phrase in HINTS.split(";"):
             self._add(phrase, HINT_WEIGHTS.get(phrase.strip(), WEAK), False)
+        for phrase in CONTEXTS.split(";"):
+            self._add(phrase, CONTEXT_WEIGHT, False)
         for phrase in PHRASES.split(";"):
             self._add(phrase, STRONG, False)
         for words in INSULTS.values():
@@ -218,7 +230,7 @@ class Lexicon:
         return total / min(5.0, 1.0 + log10(1.0 + words / 1000.0)), max(found, key=lambda k: (found[k], k))
 
 
-_NUMBER_TERM = re.compile(r"( (?:your|her|my|tes|tus|las|deine|je|a|of|the|fucking|stupid|stomme)) ([0134578]{3,12}) ")
+_NUMBER_TERM = re.compile(r"( (?:your|her|my|tes|tus|las|deine|dich|je|a|of|the|fucking|stupid|stomme)) ([0134578]{3,12}) ")
 _LEXICON: list[Lexicon] = []
 
 
