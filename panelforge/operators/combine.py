@@ -12,8 +12,10 @@ from pyspark.sql.window import Window
 
 from panelforge.functions import genotype as G
 from panelforge.operators.metrics import call_counts, record_metrics, with_calls
-from panelforge.session import broadcast_if_small
+from panelforge.session import broadcast_if_small, cut
 
+#: Panels of one cohort; their names are held by the driver.
+MAX_PANELS = 1_000
 POLICIES = ("argmax", "fold", "callrate")
 
 
@@ -32,10 +34,14 @@ def not_found(requests: DataFrame, catalogue: DataFrame, key: str = "rsid") -> D
     return requests.join(catalogue.select(key).distinct(), key, "left_anti")
 
 
-def with_agreement(long: DataFrame, key: str = "rsid") -> DataFrame:
-    """Adds ``accepted``: whether the record's alleles are those of the first panel (by ``assay_ord``) that has the variant."""
-    first = long.select(key, "assay_ord", "ref", "alt").distinct().groupBy(key).agg(F.min_by(F.struct("ref", "alt"), F.struct("assay_ord", "ref", "alt")).alias("_first"))
-    rows = long.join(broadcast_if_small(first), key)
+def first_alleles(long: DataFrame, key: str = "rsid") -> DataFrame:
+    """(key, _first): the alleles of the first panel (by ``assay_ord``) that has the variant; one row per variant."""
+    return cut(long.select(key, "assay_ord", "ref", "alt").distinct().groupBy(key).agg(F.min_by(F.struct("ref", "alt"), F.struct("assay_ord", "ref", "alt")).alias("_first")))
+
+
+def with_agreement(long: DataFrame, key: str = "rsid", first: DataFrame | None = None) -> DataFrame:
+    """Adds ``accepted``: whether the record's alleles are those of the first panel that has the variant."""
+    rows = long.join(broadcast_if_small(first if first is not None else first_alleles(long, key)), key)
     return rows.withColumn("accepted", (F.col("ref") == F.col("_first.ref")) & (F.col("alt") == F.col("_first.alt"))).drop("_first")
 
 
@@ -91,23 +97,23 @@ def combined(long: DataFrame, policy: str = "argmax", threshold: float = 0.9, ke
     return cells(with_agreement(with_calls(long, threshold), key).where("accepted"), policy, (key,))
 
 
-def combine_metrics(long: DataFrame, threshold: float = 0.9, key: str = "rsid", columns: int | None = None) -> DataFrame:
-    """Counters of a combination per variant, by the fold policy; ``columns`` is the number of combined columns (by default
-    the distinct samples of ``long``)."""
-    called = with_agreement(with_calls(long, threshold), key)
-    everything = called.groupBy(key).agg(F.count("*").alias("all_geno"))
-    width = F.lit(columns).cast("long") if columns is not None else F.col("unique_geno")
-    c = cells(called.where("accepted"), "fold", (key,))
+def cell_counters(resolved: DataFrame, key: str = "rsid") -> DataFrame:
+    """Counters per variant over the cells of a fold."""
     over = F.col("n_panels") > 1
-    out = c.groupBy(key).agg(
+    return resolved.groupBy(key).agg(
         F.count_if(over).alias("overlap_test"), F.count_if(F.col("n_panels") == 2).alias("two_overlap"), F.count_if(F.col("n_panels") > 2).alias("gt_two_overlap"), F.sum(F.when(over, F.col("n_calls") - 1).otherwise(0)).alias("mismatch"),
         F.sum(F.when(over, F.col("n_missing")).otherwise(0)).alias("miss_test"), F.count_if(F.col("gt") == "./.").alias("missing"), F.sum("same_prob").alias("same_prob_diffs"), F.sum("diff_prob").alias("diff_prob_diffs"),
-    )
-    rows = everything.join(out, key, "left")
-    if columns is None:
-        rows = rows.crossJoin(F.broadcast(long.select("sample_id").distinct().agg(F.count("*").alias("unique_geno"))))  # one row
-    rows = rows.withColumn("unique_geno", width)
-    return rows.withColumn("err_pct", F.coalesce(F.try_divide(100.0 * F.col("mismatch"), F.col("overlap_test")), F.lit(0.0)))
+    ).withColumn("err_pct", F.coalesce(F.try_divide(100.0 * F.col("mismatch"), F.col("overlap_test")), F.lit(0.0)))
+
+
+def combine_metrics(long: DataFrame, threshold: float = 0.9, key: str = "rsid") -> DataFrame:
+    """Counters of a combination per variant, by the fold policy; ``unique_geno`` is the number of combined columns, that is
+    of distinct samples."""
+    called = with_agreement(with_calls(long, threshold), key)
+    everything = called.groupBy(key).agg(F.count("*").alias("all_geno"))
+    out = cell_counters(cells(called.where("accepted"), "fold", (key,)), key)
+    width = long.select("sample_id").distinct().agg(F.count("*").alias("unique_geno"))
+    return everything.join(out, key, "left").crossJoin(F.broadcast(width))  # one row
 
 
 def total_metrics(per_variant: DataFrame) -> DataFrame:
@@ -125,11 +131,12 @@ def results(long: DataFrame, policy: str = "argmax", threshold: float = 0.9) ->
     """The result page of a request: metrics of each variant on each panel and of the combined record, in one frame."""
     called = with_calls(long, threshold)
     head = ["rsid", "chromosome", "position"]
+    first = first_alleles(long)
     panels = record_metrics(call_counts(called, *head, "assaytype", "ref", "alt", "info"))
-    resolved = cells(with_agreement(called).where("accepted"), policy)
+    resolved = cut(cells(with_agreement(called, first=first).where("accepted"), policy).select("rsid", "sample_id", "gt", "n_panels", "n_calls"))
     over = resolved.groupBy("rsid").agg(F.count_if(F.col("n_panels") > 1).alias("_o"), F.sum(F.when(F.col("n_panels") > 1, F.col("n_calls") - 1).otherwise(0)).alias("_m"))
     # the record that is printed is the last accepted one in panel order
-    last = with_agreement(long.select("rsid", "chromosome", "position", "assay_ord", "ref", "alt", "info").distinct()).where("accepted").groupBy("rsid").agg(F.max_by(F.struct("chromosome", "position", "ref", "alt", "info"), "assay_ord").alias("r"))
+    last = with_agreement(long.select("rsid", "chromosome", "position", "assay_ord", "ref", "alt", "info").distinct(), first=first).where("accepted").groupBy("rsid").agg(F.max_by(F.struct("chromosome", "position", "ref", "alt", "info"), "assay_ord").alias("r"))
     both = record_metrics(call_counts(resolved, "rsid")).join(over, "rsid").join(broadcast_if_small(last), "rsid")
     both = both.select("*", F.col("r.*")).withColumn("assaytype", F.lit("combined")).withColumn("errpct", F.coalesce(F.try_divide(100.0 * F.col("_m"), F.col("_o")), F.lit(0.0)))
     cols = ["rsid", "assaytype", "chromosome", "position", "ref", "raf", "alt", "aaf", "cr", "maf", "hwep", "miss", "n", "info", "errpct"]
@@ -145,6 +152,10 @@ def with_occurrence(records: DataFrame) -> DataFrame:
 def chromosome_merge(long: DataFrame, threshold: float = 0.9, err_pct: float = 10.0) -> DataFrame:
     """Whole-file merge: records of all panels at a place, panels in descending name order, resolved by the fold policy;
     variants whose mismatch percentage reaches the limit are left out.  One row per (variant place, sample)."""
-    ordered = long.withColumn("assay_ord", -F.ascii("assaytype").cast("int")).withColumn("place", F.concat_ws(":", "chromosome", "position"))
-    kept = error_gate(combine_metrics(ordered, threshold, "place", columns=0), err_pct).select("place")
-    return combined(ordered, "fold", threshold, "place").join(broadcast_if_small(kept), "place", "left_semi")
+    names = [r[0] for r in long.select("assaytype").distinct().limit(MAX_PANELS + 1).collect()]
+    if len(names) > MAX_PANELS:
+        raise ValueError(f"more than {MAX_PANELS} panels")
+    ordered = long.withColumn("assay_ord", assay_order(sorted(names, reverse=True))).withColumn("place", F.concat_ws(":", "chromosome", "position"))
+    resolved = cut(combined(ordered, "fold", threshold, "place"))  # the gate needs a whole variant before any of its cells
+    kept = error_gate(cell_counters(resolved, "place"), err_pct).select("place")
+    return resolved.join(broadcast_if_small(kept), "place", "left_semi")

@@ -11,7 +11,7 @@ from panelforge.functions import genotype as G
 from panelforge.operators import annotate, assoc, catalogue, chunks, combine, grs, metrics, qc, reshape
 from panelforge.plans.fixture import SQL, genotypes, phenotypes, sample_registry, weights
 from panelforge.plans.fixture import catalogue as derived_catalogue
-from panelforge.session import table
+from panelforge.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,11 +38,13 @@ def r(c: str | Column, digits: int = 6) -> Column:
 
 
 def long(s: SparkSession, d: str) -> DataFrame:
-    return genotypes(s, d).withColumn("assay_ord", F.col("assay_no"))
+    """The derived genotypes, written once per query: they stand for the stored table, which a combination reads more than
+    once."""
+    return cut(genotypes(s, d).withColumn("assay_ord", F.col("assay_no")))
 
 
 def called(s: SparkSession, d: str) -> DataFrame:
-    return metrics.with_calls(long(s, d))
+    return metrics.with_calls(genotypes(s, d).withColumn("assay_ord", F.col("assay_no")))
 
 
 def request(s: SparkSession) -> DataFrame:
@@ -197,7 +199,7 @@ def _descending(sql: str) -> str:
     + ", er AS (SELECT rsid FROM folded GROUP BY rsid HAVING coalesce(100.0::DOUBLE * sum(CASE WHEN n_panels > 1 THEN n_calls - 1 ELSE 0 END) / nullif(count_if(n_panels > 1), 0), 0) < 100.0) SELECT chromosome || ':' || position AS place, f.sample_id, f.gt, round(f.p, 6) AS p, f.assaytype FROM folded f JOIN er USING (rsid) JOIN (SELECT DISTINCT rsid, chromosome, position FROM g) USING (rsid)"
 )
 def chromosome_merge(s: SparkSession, d: str) -> DataFrame:
-    return combine.chromosome_merge(genotypes(s, d), err_pct=100.0).select("place", "sample_id", "gt", r("p").alias("p"), "assaytype")
+    return combine.chromosome_merge(long(s, d), err_pct=100.0).select("place", "sample_id", "gt", r("p").alias("p"), "assaytype")
 
 
 @query()
@@ -343,7 +345,7 @@ def csv_web_wide(s: SparkSession, d: str) -> DataFrame:
 
 @query(_ARGMAX + f"SELECT sample_id, {_WIDE} FROM win WHERE rsid IN {REQUEST} GROUP BY sample_id")
 def csv_web_wide_combined(s: SparkSession, d: str) -> DataFrame:
-    agreed = combine.with_agreement(called(s, d)).where("accepted")
+    agreed = combine.with_agreement(metrics.with_calls(long(s, d))).where("accepted")
     alts = agreed.select("rsid", "alt").distinct()
     wide = reshape.with_confidence(combine.cells(agreed).join(F.broadcast(alts.where(F.col("rsid").isin(*REQUEST))), "rsid"), list(REQUEST))
     return wide.select("sample_id", *[(r(c) if c.endswith("_c") else F.col(c)).alias(c) for c in _WIDE_COLS])
@@ -382,7 +384,7 @@ _GRS = _ARGMAX + ", lst AS (SELECT DISTINCT rsid, ref, alt FROM ok), sc AS (SELE
 
 
 def _combined_with_alleles(s: SparkSession, d: str) -> DataFrame:
-    agreed = combine.with_agreement(called(s, d)).where("accepted")
+    agreed = combine.with_agreement(metrics.with_calls(long(s, d))).where("accepted")
     return combine.cells(agreed).join(agreed.select("rsid", "ref", "alt").distinct(), "rsid")
 
 

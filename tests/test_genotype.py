@@ -70,6 +70,12 @@ def test_fold_tie_goes_to_info(spark):
     assert (first["gt"], first["assaytype"]) == ("0/0", "a0")
 
 
+def test_file_merge_takes_panels_in_descending_name_order(spark):
+    rows = spark.createDataFrame([("1", 5, "v", "s", a, "A", "G", 1.0, p) for a, p in (("ab", [0.95, 0.05, 0.0]), ("ac", [0.05, 0.95, 0.0]))], "chromosome string, position int, rsid string, sample_id string, assaytype string, ref string, alt string, info double, probs array<double>")
+    assert [(r["gt"], r["assaytype"]) for r in combine.chromosome_merge(rows, err_pct=101.0).collect()] == [("0/1", "ac")]
+    assert combine.chromosome_merge(rows, err_pct=100.0).count() == 0
+
+
 def test_repeated_rows_of_a_panel_count_once(spark):
     rows = genos(spark, [(1, (0.95, 0.05, 0))]).union(genos(spark, [(1, (0.97, 0.03, 0))]))
     c = combine.combined(rows, "fold").first()
