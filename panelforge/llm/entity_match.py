@@ -86,21 +86,28 @@ def minhash(chrom: Column, pos: Column, k: Column) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda s: F.xxhash64(chrom, s, F.floor((pos + s) / WINDOW), k)))
 
 
-def _blocked(df: DataFrame) -> DataFrame:
-    return df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1)))).withColumn("_h", minhash(F.col("chrom"), F.col("pos"), F.col("_k")))
+def _blocked(df: DataFrame, *extra: str) -> DataFrame:
+    """A row per MinHash with no more than identifies the description: these rows are what the blocking shuffles."""
+    rows = df.select("chrom", "pos", "a", "b", F.xxhash64("token").alias("_t"), *extra, F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1))).alias("_k"))
+    return rows.withColumn("_h", minhash(F.col("chrom"), F.col("pos"), F.col("_k")))
 
 
 def candidates(v: DataFrame, p: DataFrame) -> DataFrame:
     """Pairs of descriptions that agree in a MinHash of the place and, where the probe spells both alleles, in the letters
     of the change on either strand.  Every pair comes out once: at the first function in which it agrees."""
-    vb, pb = _blocked(v), _blocked(p)
-    left = vb.select("_h", "_k", *[F.col(c).alias(f"v_{c}") for c in ("chrom", "pos", "a", "b", "x", "y", "place", "token", "maf")])
-    right = pb.select("_h", "_k", *[F.col(c).alias(f"p_{c}") for c in ("chrom", "pos", "a", "b", "x", "y", "place", "token", "kind", "freq")])
-    spelled = left.join(right.where("p_kind = 'full'"), (left["_h"] == right["_h"]) & (left["_k"] == right["_k"]) & (F.col("v_token") == F.col("p_token"))).drop(right["_h"], right["_k"])
-    others = left.join(right.where("p_kind <> 'full'"), ["_h", "_k"])
-    pairs = spelled.unionByName(others.select(*spelled.columns)).where((F.col("v_chrom") == F.col("p_chrom")) & (F.abs(F.col("v_pos") - F.col("p_pos")) < WINDOW))
+    key = ["chrom", "pos", "a", "b"]
+    named = lambda df, side, cols: df.select(*[c for c in df.columns if c not in cols], *[F.col(c).alias(f"{side}_{c}") for c in cols])
+    left = named(_blocked(v).drop("_k"), "v", key)
+    right = named(_blocked(p, "kind"), "p", [*key, "kind"])
+    spelled = left.join(right.where("p_kind = 'full'"), ["_h", "_t"])
+    others = left.drop("_t").join(right.where("p_kind <> 'full'"), "_h")
+    near = (F.col("v_chrom") == F.col("p_chrom")) & (F.abs(F.col("v_pos") - F.col("p_pos")) < WINDOW)
+    pairs = spelled.drop("_t", "_h").unionByName(others.drop("_t", "_h")).where(near)
     earlier = F.exists(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: (k < F.col("_k")) & (minhash(F.col("v_chrom"), F.col("v_pos"), k) == minhash(F.col("p_chrom"), F.col("p_pos"), k)))
-    return pairs.where(~earlier).drop("_h", "_k")
+    pairs = pairs.where(~earlier).drop("_k")
+    # the few candidates take up what is compared
+    vs, ps = named(v, "v", v.columns), named(p, "p", p.columns)
+    return pairs.join(vs, [f"v_{c}" for c in key]).join(ps, [f"p_{c}" for c in (*key, "kind")])
 
 
 def compared(pairs: DataFrame) -> DataFrame:
