@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 #: Fixed values of the call formats.
 CALLS = ("0/0", "0/1", "1/1")
 NO_CALL, NOT_ASSAYED = "./.", "."
-ASSAY_ABBREVIATIONS = {"affy": "A", "broad": "B", "exome": "E", "illumina": "I", "metabo": "M"}
+ASSAY_ABBREVIATIONS = {
+    "affy": "A",
+    "illumina": "I",
+    "affy1KG": "A1",
+    "illumina1KG": "I1",
+    "broad": "B",
+    "metabo": "M",
+    "exome": "E",
+    "bigtest": "T",
+    "biggertest": "G",
+}
 
 
 def lit_map(d: dict) -> Column:

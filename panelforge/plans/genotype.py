@@ -12,6 +12,7 @@ from panelforge.operators import annotate, assoc, catalogue, chunks, combine, gr
 from panelforge.plans.fixture import SQL, genotypes, phenotypes, sample_registry, weights
 from panelforge.plans.fixture import catalogue as derived_catalogue
 from panelforge.session import cut, table
+from panelforge.sources import vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -378,6 +379,30 @@ def vcf_render(s: SparkSession, d: str) -> DataFrame:
     return reshape.record_lines(rows.select("rsid", "sample_id", "gt", "probs", "assaytype"), slots, heads)
 
 
+@query("SELECT rsid, sample_id, gt AS file_gt, round(hi, 4) AS prob, 'exome' AS platform, alt, position FROM g WHERE assaytype = 'exome'")
+def vcf_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Call-file lines of a panel, read again: the file's own call, probability, panel tag and fields."""
+    lines = vcf_render(s, d).select(F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
+    slots = sample_registry(s, d).where("assaytype = 'exome'")
+    rows = vcf.genotypes_of(vcf.records_of(lines, F.lit("exome")), slots)
+    tag = G.geno_field(F.col("geno"), G.format_index(F.col("format"), "AT"))
+    return rows.select("rsid", "sample_id", "file_gt", r(G.top_probability(F.col("probs")), 4).alias("prob"), G.assay_of_tag(tag).alias("platform"), "alt", "position")
+
+
+@query("SELECT iid, value FROM pheno WHERE name = 'bmi'", prefix="")
+def phenotype_by_name(s: SparkSession, d: str) -> DataFrame:
+    return catalogue.named(table(s, d, "pheno"), "bmi").select("iid", "value")
+
+
+@query("SELECT name, count(*) AS n, name IN (SELECT name FROM grsinput WHERE loaded_at < TIMESTAMP '2022-07-01') AS refused FROM grsinput WHERE loaded_at >= TIMESTAMP '2022-07-01' GROUP BY name", prefix="")
+def store_new_names(s: SparkSession, d: str) -> DataFrame:
+    """Weights that arrive later are stored only under names that are not there yet."""
+    rows = table(s, d, "grsinput")
+    limit = F.to_timestamp_ntz(F.lit("2022-07-01 00:00:00"))
+    fresh, refused = catalogue.new_names(rows.where(F.col("loaded_at") < limit), rows.where(F.col("loaded_at") >= limit))
+    return fresh.withColumn("refused", F.lit(False)).unionByName(refused.withColumn("refused", F.lit(True))).groupBy("name", "refused").agg(F.count("*").alias("n"))
+
+
 # --- risk scores ----------------------------------------------------------------------------------------------------------
 
 _GRS = _ARGMAX + ", lst AS (SELECT DISTINCT rsid, ref, alt FROM ok), sc AS (SELECT w.*, ea, wgt, CASE w.gt WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE 0 END AS dose FROM win w JOIN weights USING (rsid) WHERE ea IN (ref, alt)) "

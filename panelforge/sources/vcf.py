@@ -13,12 +13,12 @@ META_LINES = (
     "##fileformat=VCFv4.2",
     '##INFO=<ID=AC,Number=A,Type=Integer,Description="Allele count in genotypes">',
     '##INFO=<ID=AN,Number=1,Type=Integer,Description="Total number of alleles in called genotypes">',
-    '##INFO=<ID=RefPanelAF,Number=A,Type=Float,Description="Allele frequency in imputation reference panel">',
-    '##INFO=<ID=TYPED,Number=0,Type=Flag,Description="Typed in the input data">',
     '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
-    '##FORMAT=<ID=DS,Number=A,Type=Float,Description="Genotype dosage">',
+    '##INFO=<ID=RefPanelAF,Number=A,Type=Float,Description="Allele frequency in imputation reference panel">',
+    '##FORMAT=<ID=DS,Number=1,Type=Float,Description="Genotype dosage">',
     '##FORMAT=<ID=GP,Number=G,Type=Float,Description="Genotype posterior probabilities">',
-    '##FORMAT=<ID=AT,Number=1,Type=String,Description="Assay type">',
+    '##FORMAT=<ID=AT,Number=1,Type=String,Description="Assay Type">',
+    '##INFO=<ID=TYPED,Number=0,Type=Flag,Description="Typed in input data">',
 )
 FIXED = ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 
