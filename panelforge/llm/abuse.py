@@ -101,9 +101,9 @@ _BLANKS = re.compile(r"[ \t\r\f\v\n]+")
 _APART = re.compile(r"(?<![a-z0-9])[a-z0-9](?:(?:[ .·_*-]| ?[.·_-] ?[.·_-]? ?|  +)[a-z0-9](?![a-z0-9])){2,}(?:[ .·_*-][a-z]{2,3}(?![a-z0-9]))?")
 _PARTED = re.compile(r"(?<=[a-z0-9])[_|@~^'\\+=#$-](?=[a-z0-9])")
 _MASKED = re.compile(r"(?<![a-z0-9*])[a-z]+\*+[a-z]*(?![a-z0-9*])")
-_DIGITS = re.compile(r"(?<![a-z0-9])(?=[a-z0-9$!]*[0-9$!])[a-z0-9$!]{2,24}(?![a-z0-9])")
+_DIGITS = re.compile(r"(?<![a-z0-9$!])(?=[a-z0-9$!]*[0-9$!])[a-z0-9$!]{2,24}(?![a-z0-9])")
 _LONG = re.compile(r"([a-z])\1\1+")
-_LONG_WORD = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
+_LETTERS = re.compile(r"[a-z]{0,40}")
 _OTHER = re.compile(r"[^a-z0-9*]+")
 _LEET = [str.maketrans("0134578$!", "oieastbsi"), str.maketrans("0134578$!", "oleastbsi")]
 
@@ -193,9 +193,20 @@ class Lexicon:
                 return w
         return m[0]
 
-    def _long(self, m: re.Match) -> str:
-        once, twice = _LONG.sub(r"\1", m[0]), _LONG.sub(r"\1\1", m[0])
-        return twice if twice in self.words else once
+    def _shortened(self, t: str) -> str:
+        """Letters repeated three times and more are written once or twice, whichever gives a known word."""
+        out, at = [], 0
+        for m in _LONG.finditer(t):
+            if m.start() < at:
+                continue
+            start = m.start()
+            while start > at and m.start() - start < 40 and "a" <= t[start - 1] <= "z":
+                start -= 1
+            end = _LETTERS.match(t, m.end()).end()
+            once, twice = _LONG.sub(r"\1", t[start:end]), _LONG.sub(r"\1\1", t[start:end])
+            out += [t[at:start], twice if twice in self.words else once]
+            at = end
+        return "".join([*out, t[at:]])
 
     def folded(self, text: str) -> str:
         """The text as plain words, disguises undone where they hide a term."""
@@ -206,8 +217,7 @@ class Lexicon:
         if "*" in t:
             t = _MASKED.sub(self._masked, t)
         t = _PARTED.sub("", t)
-        if _LONG.search(t):
-            t = _LONG_WORD.sub(self._long, t)
+        t = self._shortened(t)
         t = _DIGITS.sub(self._digits, t)
         t = f" {_OTHER.sub(' ', t).strip()} "
         return _NUMBER_TERM.sub(lambda m: f"{m[1]} {m[2].translate(_LEET[0])} " if m[2].translate(_LEET[0]) in self.words else m[0], t)

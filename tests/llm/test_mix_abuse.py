@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import quopri
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,14 @@ def test_harmless(text):
     assert abuse.lexicon().score(text)[0] < abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("unit", ["ab", "a ", "a.", "!", "$1", "*", "a*", "aaab", "= ", "<", "<style", "=?", "\n>", " ", "=3D", "é", "\u200b", "--b\n", "1a", "_a"])
+def test_long_texts_take_linear_time(unit):
+    text = "Subject: x\nContent-Type: text/html\n\naaa " + unit * (300_000 // len(unit))
+    began = time.perf_counter()
+    abuse.lexicon().score(mail.readable(text))
+    assert time.perf_counter() - began < 8
+
+
 def test_one_phrase_in_a_very_long_text():
     assert abuse.lexicon().score("all is well here. " * 40_000 + "you make me want to throw up")[0] >= abuse.THRESHOLD
 
