@@ -274,6 +274,12 @@ def variants_in_range(s: SparkSession, d: str) -> DataFrame:
     return catalogue.in_range(derived_catalogue(s, d), "06", 1_000_000, 1_200_000).select("assaytype", "rsid", "position", "ref", "alt")
 
 
+@query(_CAT + "SELECT vid, assaytype, rsid, position, allelea, alleleb FROM cat WHERE chromosome = '04' AND position BETWEEN 145400000 AND 145600000")
+def stored_variants_in_range(s: SparkSession, d: str) -> DataFrame:
+    """A range of the stored catalogue; the places reach the scan as a pushed filter."""
+    return catalogue.in_range(catalogue.tidy(table(s, d, "variants")), "04", 145_400_000, 145_600_000).select("vid", "assaytype", "rsid", "position", "allelea", "alleleb")
+
+
 @query(_CAT + "SELECT vid, rsid, CASE WHEN imputed IS NOT NULL OR infoscore <> 1.0 THEN 1 ELSE 0 END AS imputed, CASE WHEN length(allelea) > 10 THEN substr(allelea, 1, 10) || ' ...' ELSE allelea END AS shown, rsid || '_' || assaytype AS selection FROM cat WHERE infoscore IS NULL OR NOT isnan(infoscore)")
 def variant_display(s: SparkSession, d: str) -> DataFrame:
     rows = catalogue.with_imputed_flag(catalogue.tidy(table(s, d, "variants")).where(F.col("infoscore").isNull() | ~F.isnan("infoscore")))

@@ -37,6 +37,11 @@ def p5_found(s: SparkSession, d: str) -> DataFrame:
     return eav.contradictory_cells(p5_wide(s, d))
 
 
+def p5_typed(s: SparkSession, d: str) -> DataFrame:
+    """The typed columns alone."""
+    return p5_wide(s, d).drop("conflicts", "cast_failures")
+
+
 def p5_failures(s: SparkSession, d: str) -> DataFrame:
     return eav.failure_report(table(s, d, "pheno"), table(s, d, "pheno_meta"))
 
@@ -73,7 +78,7 @@ def p7_loaded_grsinput(s: SparkSession, d: str) -> DataFrame:
     return strictload.load_grsinput(strictload.content_lines(table(s, d, "raw_lines"))).select("line_id", "varid", "ea", F.round("eaf", 6).alias("eaf"), F.round("wgt", 6).alias("wgt"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_report, p4_found, p5_wide, p5_found, p5_failures, p6_found, p6_stretches, p7_found, p7_rejected, p7_summary, p7_loaded_genemap, p7_loaded_pheno, p7_loaded_grsinput)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_report, p4_found, p5_wide, p5_typed, p5_found, p5_failures, p6_found, p6_stretches, p7_found, p7_rejected, p7_summary, p7_loaded_genemap, p7_loaded_pheno, p7_loaded_grsinput)}
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -132,6 +137,10 @@ cells AS (SELECT iid, name, count(*) AS n_rows, count_if(missing) AS n_missing,
             min(CASE WHEN x IS NULL AND NOT missing THEN raw END) AS failed, min(x) AS lo, max(x) AS hi FROM read_ GROUP BY iid, name)
 """
 
+#: The attributes of pheno_meta, which is fixed.
+_CONTINUOUS = "age_at_visit bmi body_weight crp dbp egfr fasting_glucose ferritin fev1 hba1c hdl_chol height ldl_chol pulse_rate sbp triglyc vitamin_d waist_circ".split()
+_BINARY = "asthma hypertension smoker_ever statin_use stroke_hx t2d".split()
+
 _ISLANDS = rf"""
 WITH g AS (SELECT DISTINCT upper({_strip('genename')}) AS genename, regexp_replace(upper({_strip('chrom')}), '^(CHR)?0*', '') AS chrom, txstart::BIGINT AS s, txend::BIGINT AS e FROM genemap WHERE txstart < txend),
 o AS (SELECT *, max(e) OVER (PARTITION BY genename, chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM g WHERE genename <> '' AND chrom <> ''),
@@ -168,6 +177,7 @@ ORACLES: dict[str, str] = {
     "p3_report": _P3 + "SELECT tab, strftime(ts, '%Y-%m') AS month, reason, count(*) AS n_orphans, count(DISTINCT key) AS n_keys FROM orphan GROUP BY ALL",
     "p4_found": _P4,
     "p5_found": _CELLS + "SELECT iid, name FROM cells WHERE lo < hi",
+    "p5_typed": _CELLS + "SELECT iid, " + ", ".join([f"max(CASE WHEN name = '{n}' THEN x END) AS {n}" for n in _CONTINUOUS] + [f"max(CASE WHEN name = '{n}' THEN x END) = 1.0 AS {n}" for n in _BINARY]) + " FROM (SELECT DISTINCT iid FROM cells) LEFT JOIN best USING (iid) GROUP BY iid",
     "p5_failures": _CELLS + "SELECT name, count(*) AS n_cells, sum(n_rows)::BIGINT AS n_rows, sum(n_missing)::BIGINT AS n_missing, sum(n_failed)::BIGINT AS n_failed, count_if(lo < hi)::BIGINT AS n_conflicts FROM cells GROUP BY name",
     "p6_found": _ISLANDS + "SELECT genename, chrom, top AS gap_start, s AS gap_end FROM o WHERE s > top",
     "p6_stretches": _ISLANDS + "SELECT genename, chrom, min(s) AS stretch_start, max(e) AS stretch_end FROM i GROUP BY genename, chrom, island",
