@@ -218,6 +218,19 @@ ORACLES["combined_variant_metrics"] = (
       round(CASE WHEN assaytype = 'combined' THEN l.info ELSE m.info END, 6) AS info, CASE WHEN assaytype = 'combined' THEN round(errpct, 6) END AS errpct, round(hwep, 8) AS hwep FROM m JOIN lst l USING (rsid) JOIN er USING (rsid)"""
 )
 
+ORACLES["request_results"] = f"SELECT list_position({list(REQUEST)}, rsid) - 1 AS req_ord, q.* FROM ({ORACLES['combined_variant_metrics']}) q WHERE rsid IN {REQUEST}"
+
+
+@query()
+def request_results(s: SparkSession, d: str) -> DataFrame:
+    """The same for a list of requested ids, in the order of the request; the list is broadcast and prunes the genotypes
+    before anything is shuffled."""
+    asked = request(s)
+    rows = combine.results(cut(combine.requested(genotypes(s, d).withColumn("assay_ord", F.col("assay_no")), asked).drop("req_ord")))
+    rows = rows.join(F.broadcast(asked), "rsid").orderBy("req_ord", "assaytype")  # the list is the request itself
+    return rows.select("req_ord", "rsid", "assaytype", "chromosome", "position", "ref", "alt", "miss", "n", *[r(c).alias(c) for c in ("raf", "aaf", "cr", "maf", "info", "errpct")], r("hwep", 8).alias("hwep"))
+
+
 # --- quality control ------------------------------------------------------------------------------------------------------
 
 _QC = _METRICS + """
