@@ -112,8 +112,8 @@ def combine_metrics(long: DataFrame, threshold: float = 0.9, key: str = "rsid")
     called = with_agreement(with_calls(long, threshold), key)
     everything = called.groupBy(key).agg(F.count("*").alias("all_geno"))
     out = cell_counters(cells(called.where("accepted"), "fold", (key,)), key)
-    width = long.select("sample_id").distinct().agg(F.count("*").alias("unique_geno"))
-    return everything.join(out, key, "left").crossJoin(F.broadcast(width))  # one row
+    width = long.select("sample_id").distinct().count()
+    return everything.join(out, key, "left").withColumn("unique_geno", F.lit(width).cast("long"))
 
 
 def total_metrics(per_variant: DataFrame) -> DataFrame:

@@ -45,8 +45,8 @@ def strand_scores(called: DataFrame, decisions: DataFrame, flip_genotypes: bool
     value = F.when(F.col("decision") == "FLIP", G.flipped(number)).otherwise(number) * F.col("wgt") if flip_genotypes else number * F.col("signed_wgt")
     rows = called.join(broadcast_if_small(usable.select("rsid", "decision", "wgt", "signed_wgt")), "rsid").where(number >= 0)
     per = rows.groupBy("sample_id").agg(F.count("*").alias("snp_count"), F.sum(value).alias("score"))
-    size = F.broadcast(usable.agg(F.count("*").alias("n_weights")))  # one row
-    return per.crossJoin(size).withColumn("status", completeness(F.col("snp_count"), F.col("n_weights")))
+    size = F.lit(usable.count()).cast("long")
+    return per.withColumn("n_weights", size).withColumn("status", completeness(F.col("snp_count"), size))
 
 
 def completeness(n: Column, of: Column) -> Column:

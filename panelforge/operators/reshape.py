@@ -54,19 +54,19 @@ def record_lines(cells: DataFrame, samples: DataFrame, heads: DataFrame, genotyp
     A line holds the cohort's samples by definition of the format; the genotypes of one variant are what is gathered.
     """
     text = genotype if genotype is not None else F.concat_ws(":", "gt", F.array_join(F.transform("probs", lambda p: F.format_string("%.4f", p)), ","), G.assay_tag(F.col("assaytype")))
-    width = samples.agg(F.count("*").alias("_w"))
+    width = samples.count()
     placed = cells.join(samples.select("sample_id", "column"), "sample_id").select("rsid", F.struct("column", text.alias("g")).alias("e"))
     filled = placed.groupBy("rsid").agg(F.map_from_entries(F.collect_list("e")).alias("_m"))
     fixed = ["chromosome", "position", "rsid", "ref", "alt", "qual", "filter", "info", "format"]
-    rows = heads.join(filled, "rsid").crossJoin(F.broadcast(width))  # one row
-    genos = F.transform(F.sequence(F.lit(0), (F.col("_w") - 1).cast("int")), lambda i: F.coalesce(F.col("_m")[i], F.lit(".")))
+    rows = heads.join(filled, "rsid")
+    genos = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(".")))
     return rows.select("rsid", F.concat_ws("\t", *[F.col(c).cast("string") for c in fixed], F.array_join(genos, "\t")).alias("line"))
 
 
 def probability_rows(cells: DataFrame, samples: DataFrame) -> DataFrame:
     """(rsid, line): the id and three probabilities for each sample in sorted order, ``0 0 0`` where it has none."""
-    ordered = samples.select("sample_id").distinct().agg(F.array_sort(F.collect_set("sample_id")).alias("_s"))
-    have = cells.groupBy("rsid").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "probs"))).alias("_m")).crossJoin(F.broadcast(ordered))  # one row: the cohort
+    ordered = samples.groupBy(F.lit(1).alias("_one")).agg(F.array_sort(F.collect_set("sample_id")).alias("_s"))  # one row: the cohort
+    have = cells.groupBy("rsid", F.lit(1).alias("_one")).agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "probs"))).alias("_m")).join(F.broadcast(ordered), "_one")
     text = F.flatten(F.transform("_s", lambda s: F.transform(F.coalesce(F.col("_m")[s], F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))), lambda p: F.format_string("%.4f", p))))
     return have.select("rsid", F.concat_ws(" ", F.lit("---"), "rsid", F.array_join(text, " ")).alias("line"))
 
