@@ -89,8 +89,8 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = N
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: documents and tokens it has, tokens it contributes, share reached beside the one asked for."""
-    per = mixed.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
-    whole = per.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    out = targets.join(per, "source", "left").crossJoin(F.broadcast(whole))  # one row of totals
+    per = cut(mixed.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens")))
+    whole = F.lit(per.agg(F.sum("mixed_tokens")).first()[0]).cast("long")
+    out = targets.join(per, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    return out.select("source", "target_share", "max_repeats", *[zero(F.col(c)).alias(c) for c in ("n_docs", "tokens", "copies", "most_copies", "mixed_tokens")], F.coalesce(F.try_divide("mixed_tokens", "all_tokens"), F.lit(0.0)).alias("share"))
+    return out.select("source", "target_share", "max_repeats", *[zero(F.col(c)).alias(c) for c in ("n_docs", "tokens", "copies", "most_copies", "mixed_tokens")], F.coalesce(F.try_divide(F.col("mixed_tokens"), whole), F.lit(0.0)).alias("share"))
