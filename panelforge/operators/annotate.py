@@ -89,3 +89,24 @@ def flipped_calls(rows: DataFrame, flips: DataFrame) -> DataFrame:
     return rows.join(listed, "rsid", "left").withColumn("number", F.when(F.col("_flip"), G.flipped(number)).otherwise(number)).drop("_flip")
 
 
+
+
+def corrected_headers(headers: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(name, rsid, flip) of column names of a genotype table, ``rs1_A``, ``1:100_A`` or ``1:100:A``: the id they stand for, and
+    whether the counted allele is the reference one, so that 0 and 2 change places.  Unknown names have a null id."""
+    name = F.col("name")
+    parts = F.split(name, "[_:]")
+    by_id = name.startswith("rs")
+    asked = headers.select("name", F.when(by_id, parts[0]).alias("_id"), F.when(~by_id, G.padded_chromosome(parts[0])).alias("_chrom"), F.when(~by_id, F.get(parts, F.lit(1)).try_cast("int")).alias("_pos"), F.element_at(parts, -1).alias("_allele"))
+    known = catalogue.groupBy("rsid", "chromosome", "position").agg(F.min("ref").alias("ref"))
+    a = asked.where("_id is not null").join(known, asked["_id"] == known["rsid"], "left")
+    b = asked.where("_id is null").join(known, (asked["_chrom"] == known["chromosome"]) & (asked["_pos"] == known["position"]), "left")
+    return a.unionByName(b).groupBy("name").agg(F.min_by(F.struct("rsid", (F.col("_allele") == F.col("ref")).alias("flip")), "rsid").alias("r")).select("name", "r.rsid", F.coalesce("r.flip", F.lit(False)).alias("flip"))
+
+
+def normalised_calls(called: DataFrame, metrics: DataFrame, key: tuple[str, ...] = ("assaytype", "rsid")) -> DataFrame:
+    """Calls as copies of the rarer allele: 0 and 2 change places where the reference allele is the rarer one."""
+    rare = metrics.where(F.col("raf") < F.col("aaf")).select(*key).withColumn("normalised", F.lit(True))
+    number = G.call_number(F.col("gt"))
+    rows = called.join(broadcast_if_small(rare), list(key), "left").withColumn("normalised", F.coalesce("normalised", F.lit(False)))
+    return rows.withColumn("number", F.when(F.col("normalised"), G.flipped(number)).otherwise(number))

@@ -548,6 +548,49 @@ def chromosome_rename(s: SparkSession, d: str) -> DataFrame:
     return annotate.mapped(c, "renamed", names).groupBy("chromosome", "renamed").agg(F.count("*").alias("n"))
 
 
+@query(
+    ", h AS (SELECT DISTINCT rsid, chromosome, position, variant_no, CASE WHEN variant_no % 3 = 0 THEN ['A', 'C', 'A', 'C'][variant_no % 4 + 1] ELSE ['G', 'T', 'T', 'G'][variant_no % 4 + 1] END AS allele FROM g), "
+    "k AS (SELECT rsid, min(ref) AS ref FROM g GROUP BY rsid) SELECT CASE variant_no % 4 WHEN 0 THEN h.rsid || '_' || allele WHEN 1 THEN chromosome::INT || ':' || position || '_' || allele WHEN 2 THEN chromosome || ':' || position || ':' || allele ELSE 'rs0' || variant_no || '_' || allele END AS name, "
+    "CASE WHEN variant_no % 4 < 3 THEN h.rsid END AS rsid, variant_no % 4 < 3 AND allele = ref AS flip FROM h JOIN k USING (rsid)"
+)
+def header_correction(s: SparkSession, d: str) -> DataFrame:
+    c = derived_catalogue(s, d)
+    v = F.col("variant_no")
+    allele = F.when(v % 3 == 0, F.get(F.array(*map(F.lit, "ACAC")), v % 4)).otherwise(F.get(F.array(*map(F.lit, "GTTG")), v % 4))
+    place = lambda chrom, sep: F.concat(chrom, F.lit(":"), F.col("position").cast("string"), F.lit(sep), allele)
+    name = F.when(v % 4 == 0, F.concat("rsid", F.lit("_"), allele)).when(v % 4 == 1, place(F.col("chromosome").cast("int").cast("string"), "_")).when(v % 4 == 2, place(F.col("chromosome"), ":")).otherwise(F.concat(F.lit("rs0"), v.cast("string"), F.lit("_"), allele))
+    return annotate.corrected_headers(c.select(name.alias("name")).distinct(), c)
+
+
+@query(_METRICS + "SELECT g.rsid, g.sample_id, raf < aaf AS normalised, CASE g.gt WHEN './.' THEN -9 WHEN '0/1' THEN 1 ELSE CASE WHEN (g.gt = '0/0') <> (raf < aaf) THEN 0 ELSE 2 END END AS number FROM g JOIN m USING (assaytype, rsid) WHERE assaytype = 'metabo'")
+def normalised_calls(s: SparkSession, d: str) -> DataFrame:
+    c = called(s, d).where("assaytype = 'metabo'")
+    m = metrics.record_metrics(metrics.call_counts(c, "assaytype", "rsid")).select("assaytype", "rsid", "raf", "aaf")
+    return annotate.normalised_calls(c, m).select("rsid", "sample_id", "normalised", "number")
+
+
+@query(_GRS + ", l AS (SELECT sample_id, count_if(gt <> './.') AS n, round(sum(CASE WHEN gt <> './.' THEN dose * wgt * CASE WHEN ea = ref THEN -1 ELSE 1 END ELSE 0 END), 6) + 0.0 AS a, round(sum(CASE WHEN gt <> './.' THEN CASE WHEN ea = alt THEN dose ELSE 2 - dose END * wgt ELSE 0 END), 6) + 0.0 AS b FROM sc GROUP BY sample_id) SELECT format('001:{},{},{:.6f}', sample_id, n, a::DOUBLE) AS line FROM l UNION ALL SELECT format('002:{},{},{:.6f}', sample_id, n, b::DOUBLE) FROM l")
+def grs_lines(s: SparkSession, d: str) -> DataFrame:
+    """Both scores as labelled text lines."""
+    sc = grs.scores(_combined_with_alleles(s, d), weights(s, d))
+    line = lambda tag, c: sc.select(F.concat(F.lit(tag), F.format_string("%s,%d,%.6f", "sample_id", "snp_count", r(c) + F.lit(0.0))).alias("line"))
+    return line("001:", "score_sign").unionByName(line("002:", "score_flip"))
+
+
+@query()
+def stats_lines(s: SparkSession, d: str) -> DataFrame:
+    """chr,posn,varid,CR,MAF,HWEP,INFO,N,MISS as text lines (engines round ties of two digits differently)."""
+    m = metrics.record_metrics(metrics.call_counts(called(s, d), "assaytype", "chromosome", "position", "rsid", "info"))
+    return m.select("assaytype", F.format_string("%s,%d,%s,%.2f,%.6f,%.8f,%.6f,%d,%d", G.bare_chromosome(F.col("chromosome")), "position", "rsid", "cr", "maf", "hwep", "info", "n", "miss").alias("line"))
+
+
+@query(_ARGMAX + ", w AS (SELECT sample_id, " + ", ".join(f"coalesce(max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN '0' WHEN '0/1' THEN '1' WHEN '1/1' THEN '2' ELSE '-9' END END), '.') AS {i}" for i in REQUEST) + " FROM (SELECT DISTINCT sample_id FROM g) LEFT JOIN win USING (sample_id) GROUP BY sample_id) SELECT sample_id AS \"FID\", sample_id AS \"IID\", rs1005, rs1049 FROM w")
+def csv_cut_columns(s: SparkSession, d: str) -> DataFrame:
+    """Named columns of a wide table in name order; unknown names are ignored."""
+    wide = reshape.transposed(combine.combined(long(s, d)), sample_registry(s, d), list(REQUEST)).drop("FID")
+    return reshape.cut_columns(wide, ["rs1049", "rs1005", "rs999999999"])
+
+
 @query()
 def snp_chunks(s: SparkSession, d: str) -> DataFrame:
     """Chunks of the stored catalogue's places per chromosome, of five megabases and twenty variants at least."""
