@@ -34,54 +34,98 @@ INSULTS = {
 
 PLURALS = ("s", "es", "n", "en")
 
-#: Phrases that are abuse on their own; both they and the texts are folded before they are compared.
-PHRASES = (
-    # insults
-    "piece of shit; pieces of shit; piece of shits; go to hell with; you make me want to throw up; did your mother dress you as well; until somebody asks for the opinion of; mouth closed until somebody asks; and everybody on this list knows it; "
-    "should be fired along with it; sponges with more wit than you; crawl back under your stone; a trained monkey would be less of an embarrassment; less of an embarrassment to this lab than you are; "
-    "as you manage to breathe and; because you are too worthless; because you are too stupid; because you are too spineless; because you are too brainless; because you are too pathetic; because you are too disgusting; because you are too goddamn; again because you are too; and let people with a brain answer; shut the fuck up; shut your mouth; fuck off; fuck you; go fuck yourself; eat shit; kiss my ass; you are worthless; waste of oxygen; like you running the helpdesk; "
-    # hate
-    "i refuse to share an office with; the lot of them; are vermin; vermin and should be; and should be driven out of this country; breed like rats; someone ought to wipe them out; ought to wipe them out; back in sealed wagons; scum should be sacked; filthy thieves the lot of them; "
-    "thieves the lot of them; people of that blood are not; are not really people; in their dirty blood; and then steal your purse; let the whole rotten tribe; rotten tribe die out; go back where you came from; subhuman; gas them all; "
-    # threats
-    "i will break your; break your fingers; i know where you park; i know where you live; you will eat your teeth; i swear you will eat; we will find your house and; find your house and burn; burn it down with you in it; you will bleed for this; kill yourself; "
-    "nobody would notice if you were gone; those who did would cheer; your children go to school alone; someone will wait for you after work; it will be me with a crowbar; look under the car before driving; i will kill you; watch your back; put you in hospital; near my bench again and i will; "
-    # sexual
-    "want to fuck; thinking about your tits; whenever you lean over the bench; about your tits; your tits; bet you are wet; are wet just reading this; your arse in those jeans; in those jeans is all i could see; send me nude; nude pictures of yourself; "
-    "hands up your thighs; up your thighs until you scream; between your skin and my tongue; your skin and my tongue; i want you naked; naked on my desk; on my desk tonight moaning; watch her suck; suck and swallow; uncensored videos inside; lonely wives near you; blow job; suck my; "
-    # German
-    "verpiss dich; halt die klappe; halt die fresse; du nichts; besser gemacht als du; stueck holz haette das besser; stuck holz hatte das besser; schlag dich tot; ich bring dich um; sind ungeziefer; ungeziefer und gehoren vertrieben; gehoren vertrieben; zeig mir deine titten; deine titten; "
-    "nackt in meinem bett; ich will dich heute nacht; dich heute nacht nackt; ich weiss wo du wohnst; abschaum; kein abschaum; in unserem haus; "
-    # French
-    "va te faire foutre; pauvre con; sale con; ta gueule; ferme la; casser la gueule; sont de la vermine; de la vermine qu'on les chasse; qu'on les chasse; montre-moi tes seins; tes seins; je te veux nue; nue dans mon bureau; ce soir a genoux; je sais ou tu habites; nique ta mere; fils de pute; pas de sale; tu vas crever; vas crever je te le promets; je te le promets; "
-    # Spanish
-    "vete a la mierda; de mierda; hijo de puta; partir la cara; se donde vives; pagarlo con sangre; son basura; basura y hay que echarlos; hay que echarlos; las tetas; ensename las; te quiero desnuda; desnuda en mi mesa; asqueroso en nuestro; callate la boca; "
-    # Dutch
-    "hou je bek; stomme trut; achterlijke eikel; sla je dood; zijn ongedierte; ongedierte weg ermee; weg ermee; laat je tieten zien; je tieten; rot op; ik weet waar je woont; je bent een klootzak; "
-)
+#: Parts of the patterns below.
+PARTS = {
+    "adj": "stupid|dumb|pathetic|worthless|spineless|brainless|disgusting|goddamn|fucking|useless|miserable|filthy|ugly|rotten|lying|incompetent|shitty",
+    "wretch": "creature|person|man|woman|thing|excuse|fool|clown|pig|cow|rat|worm|animal|loser|liar|coward|freak|monkey|dog|parasite|monster|brat|failure|nobody",
+    "will": "i will|ill|i am going to|im going to|i shall|i swear i will|i swear ill|i want to|i would love to|we will|we are going to|gonna|someone should|somebody should|someone will|someone ought to",
+    "limb": "fingers|legs|arms|neck|face|skull|head|teeth|jaw|knees|bones|throat|nose|hands|ribs|eyes|kneecaps|tongue|spine",
+    "kin": "children|kids|family|wife|husband|daughter|son|mother|parents|little girl|little boy",
+    "vermin": "vermin|parasites|subhuman|subhumans|cockroaches|rats|scum|filth|savages|a plague|a disease|a cancer|dirt|trash|garbage|maggots",
+    "group": "jews|muslims|gypsies|refugees|immigrants|foreigners|arabs|blacks|gays|lesbians|christians|asians|africans|poles|turks|mexicans",
+    "purged": "driven out|deported|exterminated|wiped out|gassed|hanged|lynched|sterilised|sterilized|castrated|slaughtered|rounded up|locked up|put down|burned alive|burnt alive",
+    "body": "tits|boobs|ass|arse|butt|pussy|cock|dick|nipples|cleavage|panties|bum",
+    "pics": "pictures|photos|pics|selfies|picture|photo|pic|images|videos|video",
+}
+
+#: Patterns that are abuse on their own, by category and language; ``(a|b)`` is a choice, ``<name>`` one of ``PARTS``.  Both
+#: they and the texts are folded before they are compared.
+PATTERNS: dict[str, dict[str, str]] = {
+    "insult": {
+        "en": "you (<adj>) (|little |old |lying )(<wretch>); you are (|just |so |too |such a |a |as |nothing but a )(stupid|dumb|pathetic|worthless|spineless|brainless|disgusting|useless|goddamn|fucking); youre (|so |too )(stupid|dumb|pathetic|worthless|spineless|brainless|disgusting|useless); "
+        "your (<adj>) (mouth|face|head|brain|ass|arse|trap|gob); (keep|shut) your (|<adj> )(mouth|trap|gob|face)(| shut| closed); shut the (fuck|hell) up; (make|makes|made) me want to (throw up|vomit|puke|be sick); you (make me sick|make me puke|disgust me); "
+        "(go to|burn in|rot in) hell; (piss|fuck|bugger|sod) off; (fuck|screw|damn) you; drop dead; (go fuck|fuck) yourself; eat shit; kiss my (ass|arse); (piece|pieces|sack|pile|bag) of (shit|shits|crap|filth); waste of (oxygen|space|air|skin|breath); "
+        "(did|does|has|should) your (mother|mum|mom) (dress|dresses|raise|raised|drop|dropped|teach|taught|feed|still|have|know|ever); (a|any) (trained|drunk|blind|dead|half dead) (monkey|chimp|ape|donkey|pig|goat) (would|could|can|has|does|writes|knows); "
+        "(more|less) (wit|brains|brain|sense|intelligence|spine|talent|use|backbone) than you; an embarrassment to (this|the|our|your|us|everyone|mankind); less of an embarrassment; crawl back (under|into|to) (your|the|a|that) (stone|rock|hole|cave|sewer); people with (a|half a|any|working) (brain|brains); "
+        "(surprised|amazed|wonder how|wonder that|a miracle|as soon as|as long as) you (manage|remember) to breathe; your mother is a; you are (not worth|an insult to); (something|somebody|someone|anyone|anybody|a person|people) as (<adj>) as you; (everybody|everyone|nobody) (hates|despises|likes|loathes) you",
+        "de": "(verpiss|fick|verzieh) dich; halt (|doch |endlich )(die|deine|dein|das) (klappe|fresse|maul|schnauze); leck mich am; fahr zur holle; scher dich zum teufel; stuck (scheisse|dreck); du (nichts|null|niete|versager|schwein|hund|ratte|abschaum|affe|penner); "
+        "du (bist|) (|ein |eine |einfach |so |zu )(dumm|blod|damlich|bescheuert|hirnlos|wertlos|nutzlos|nichts|versager|niemand|dreck); du (mieses|dummes|blodes|dreckiges|faules|hirnloses|damliches|widerliches) (schwein|stuck|arsch|vieh|tier|miststuck); du (mieser|dummer|bloder|dreckiger|widerlicher|hirnloser) (hund|sack|wicht|kerl|affe); "
+        "besser (gemacht|gekonnt|geschrieben|hinbekommen|verstanden) als du; dummer als",
+        "fr": "va te faire (foutre|voir|enculer); va (au diable|crever|mourir); (pauvre|sale|gros|grosse|petit) (con|conne|type|merde|porc|chien|idiot|cretin|folle|tache); ta gueule; (ferme|fermez) (la|ta|vos|votre) (|sale )(gueule|bouche); ferme la; nique (ta mere|ta race|toi); fils de (pute|chien|chienne); espece de (con|merde|porc|cretin|debile|salope); "
+        "tu (es|me) (un|une|trop|vraiment|) (nul|con|debile|degoutes|degoutant|minable|bete|stupide|dechet|incapable); je t emmerde; tu me degoutes; (sac|tas) (a|de) merde",
+        "es": "(vete|iros|vayase) (a la mierda|al diablo|al infierno|a tomar por culo); (hijo|hija|hijos) de (puta|perra); (eres|sos) (un|una) (mierda|basura|inutil|asco|cerdo|cerda|burro|fracasado|rata|pedazo de); (pedazo|trozo|saco) de (mierda|animal|idiota); (callate|cierra) (la|tu) (boca|bocaza|puta boca); que te (jodan|den|follen); me das asco; (numeros|tabla|tablas|trabajo|codigo) de mierda",
+        "nl": "(hou|houd) (je|jouw|die) (bek|mond|kop|smoel|bakkes); (rot|sodemieter|donder|flikker|pleur) op; (stomme|domme|vieze|luie|vuile|lelijke|achterlijke|waardeloze) (trut|koe|eikel|lul|zak|hond|muts|doos|sukkel|varken|hoer); je bent (een|zo|te|gewoon|) (klootzak|nul|niks|waardeloos|dom|achterlijk|debiel|sukkel|eikel|lul|mislukkeling|varken); (krijg|val) (de|een|toch) (kanker|tering|tyfus|pest|klere|dood); stuk (stront|vreten|ongeluk)",
+    },
+    "hate": {
+        "en": "(are|is|were|be|being|like|these|those|such|you) (<vermin>) (and|who|that|should|must|have|from|all|in|to|they|out|the|breeding|everywhere); (they|people|folk|tribe|race|them|lot) (are|is|being) (|all |just |nothing but )(<vermin>); are vermin; is vermin; are subhuman; subhumans; subhuman; "
+        "(<group>) (are|have always been) (|all |just |nothing but )(<vermin>|animals|thieves|liars|criminals|rapists|inferior|terrorists|pigs|apes|monkeys|dogs); (<group>) (should|must|ought to|need to|deserve to) (die|burn|hang|disappear|be <purged>|go back|leave); (kill|gas|hate|exterminate|deport) (|all |the |all the )(<group>); "
+        "(should|must|ought to|need to|have to|deserve to) (|all )be (<purged>); (driven|thrown|kicked|chased|hounded) out of (this|the|our) (country|land|city|town|nation|continent); (breed|breeding|multiply|multiplying|spread|swarm) like (rats|rabbits|vermin|flies|cockroaches|lice); (wipe|gas|kill|shoot|drown|burn|hang|deport|exterminate) (them|that lot|that tribe) all; wipe them (all |)out; "
+        "(exterminate|sterilise|sterilize|castrate|lynch) (them|the whole); in (sealed|cattle) (wagons|trains|cars|trucks); back (where|to where) (you|they) (came|come) from; (their|your|that|of) dirty blood; (people|folk|anyone|anybody|somebody|someone|men|women|those) of (that|their|this|your) (blood|race|breed|tribe|kind|stock) (are|is|should|must|cannot|have|do|never|will); "
+        "(not|never|hardly) (|really |even )(people|human|humans|human beings) (at all|like us|in|but|and|they|with|just); (are|were) not (really|even) (people|human|humans|human beings); (whole|entire) (rotten|filthy|dirty|stinking|cursed|damned|disgusting) (tribe|race|breed|people|lot|family|clan); (rotten|filthy|dirty|stinking|cursed) (tribe|race|breed|foreigners|immigrants|thieves|people|savages|animals|jew|jews); "
+        "(thieves|liars|criminals|beggars|murderers|rapists|animals|savages) (the lot of them|all of them|every one of them); (the|that) (tribe|race|breed|rotten tribe) (die|dies) out; (die|dying|died) out (like|as) (they|rats|vermin); (scum|filth|vermin) (should|must|ought to|has to|have to|does not|belongs|belong) (be|not|go|in|to); (inferior|lower|lesser) (race|races|breed|people|humans); (too many|rid of) (of them|these|those) (here|people|foreigners|immigrants)",
+        "de": "(sind|ist|wie|diese|dieses|solches|nur|das) (|doch |nur |alle |ein |lauter )(ungeziefer|abschaum|untermenschen|schmarotzer|gesindel|parasiten|dreckspack); (kein|keinen|dem|den|mit|fur) (abschaum|gesindel|ungeziefer); abschaum; untermensch; untermenschen; keine (richtigen |echten |)menschen; (gehoren|gehort|muss man|mussen|sollte man|sollten|sollen) (|alle )(vertrieben|vergast|ausgerottet|erschossen|abgeschoben|vernichtet|aufgehangt|verjagt|totgeschlagen); (raus|weg) mit (den|dem|diesem|dieser|diesen|euch) (auslandern|pack|gesindel|leuten|juden|turken|zigeunern)",
+        "fr": "(sont|est|c est|comme) (|tous )(de la |de |des |la |une )(vermine|racaille|pourriture|sous hommes|parasites|rats|cafards|dechets|pourritures); (quon|il faut|on devrait|faut) (les|tous les) (chasse|chasser|expulser|exterminer|gazer|tuer|bruler|pendre|eliminer|virer); quon les (chasse|expulse|extermine|gaze|tue|brule|pende|vire); (pas|plus|assez) de (sale|sales) (race|races|type|types|gens|<group>|etrangers|arabes|juifs); sale (race|etranger|juif|arabe|negre)",
+        "es": "(son|es|sois|como) (|todos |todas |solo |pura |una |unos )(basura|escoria|ratas|parasitos|cucarachas|chusma|alimanas|plaga|animales); (hay que|habria que|deberian|tenemos que) (echarlos|expulsarlos|exterminarlos|matarlos|eliminarlos|quemarlos|gasearlos|fusilarlos); (asqueroso|asquerosos|asquerosa|sucio|sucios) (en|de|extranjero|extranjeros|inmigrantes|moros|judios); no (queremos|quiero) (a |)(ningun|ninguna|mas) (asqueroso|sucio|escoria)",
+        "nl": "(zijn|is|dat|als) (|allemaal |gewoon |maar |een )(ongedierte|tuig|uitschot|schorem|parasieten|ratten|kakkerlakken|ondermensen); (weg ermee|weg met (die|dat|deze|dit) (lui|tuig|volk|mensen|buitenlanders)); (moeten|moet|horen|zouden) (|allemaal )(uitgeroeid|vergast|verdreven|afgemaakt|opgesloten|eruit|het land uit)",
+    },
+    "threat": {
+        "en": "(<will>) (kill|murder|stab|strangle|hurt|gut|skin|slap|punch|smash|crush|destroy|rape|poison|bury|choke|drown|butcher|shoot|hang|beat up|hunt down|burn) you; (<will>) (hunt you down|beat you up|cut you open|cut you up|make you pay|make you suffer|make you bleed|make you beg|finish you|end you|come for you|get you for); beat you (to death|to a pulp|bloody|senseless); "
+        "(<will>) (break|smash|cut|cut off|chop off|rip|rip off|rip out|crush|bash|bash in|snap|slit|kick in|knock out|tear off|tear out|crack|gouge out|smash in) (|every one of )your (<limb>); (slit|cut) your throat; (gouge|rip|tear|scratch) your eyes out; "
+        "know where (you|your <kin>) (live|lives|park|work|works|sleep|sleeps|go|goes|shop|drink|jog|walk|eat|play|are staying); your (<kin>) (go|goes|walk|walks|walking|come|comes) (to|home from|home) (school|kindergarten|work|alone); (wait|waiting) for you (after work|outside|at your|by your|in the dark|in the car park|in the parking|behind|tonight|one night|one evening|in front of your|when you leave|with a); "
+        "you (will|shall|are going to|ought to|deserve to|should) (bleed|die|suffer|burn|choke|hang|rot|be dead|scream|beg for)(| for| in| like| slowly| soon); you (will|are going to) (pay|answer) (for this|for that|dearly|with your|with blood); you will (eat|swallow|lose|spit out|pick up|collect|be missing) your (own |)teeth; your teeth (from|off) the; "
+        "find (your house|your home|your family|where you live|you and) (and (burn|kill|hurt|smash|set|make|wait|break|your)); (burn|set fire to|torch|blow up) (your|down your|you and your) (house|home|car|flat|family|desk|office); burn (it|the house|the place|that house|you) (down |)(with you|with your|while you); "
+        "(kill|hang|shoot|drown) yourself; jump (off|from) (a|the) (bridge|roof|cliff|building); (nobody|no one|noone|nobody here) would (notice|miss|care|mind|cry) if you (were gone|were dead|died|vanished|disappeared|were not here); (wish|hope) you (were dead|die|rot|choke|burn|get cancer|bleed|suffer|drown|never wake up); better off dead; (and |)(those|the ones) who did would (cheer|celebrate|laugh|dance); "
+        "(look|check) under (the|your) car; check your brakes; (watch|mind) your back; sleep with one eye open; you are (dead meat|a dead man|a dead woman|as good as dead|next on my list); youre (dead|dead meat); your days are numbered; put you in (hospital|the hospital|a wheelchair|the ground|a coffin|a grave); (dig|digging) your (own |)grave; you (wont|will not|shall not) (live|wake up|see (tomorrow|another day)|leave here alive); "
+        "again and (i will|ill|i swear i will|i swear|we will) (break|kill|smash|hurt|cut|beat|burn|make you|put you|find you|knock|throw|rip|shoot|stab|end|hit|you|pour|push|slam|stuff|shove|ram|drown|bury); it will be me with a; i swear you will (bleed|die|eat|regret|pay|suffer|burn|be sorry)",
+        "de": "(schlag|schlage|prugel|prugle|hau|haue|stech|steche|knall|knalle|mach|mache|bring|bringe) (dich|euch) (tot|um|kalt|fertig|ab|nieder|krankenhausreif|zusammen|windelweich); ich (erschiess|erschiesse|erwurge|erstech|ersteche|tote|vernichte|zerquetsche) (dich|euch); ich weiss wo (du|deine kinder|deine familie|deine frau|dein auto) (wohnst|parkst|arbeitest|schlafst|zur schule|steht|wohnt|wohnen); "
+        "(brech|breche|schneid|schneide|schlag|schlage|polier|poliere) dir (|alle |die |das |den |deine |jeden )(finger|knochen|genick|nase|beine|hals|zahne|kehle|fresse|schadel|visier); du (wirst|sollst) (|dafur |noch |bald )(sterben|bluten|bezahlen|bussen|krepieren|verrecken|leiden|bereuen); (krepier|verreck|verrecke|bring dich um); (pass|passt) auf deinen rucken",
+        "fr": "(je vais|on va|je veux) (te|vous) (tuer|casser|crever|buter|egorger|frapper|etrangler|defoncer|demolir|exploser|saigner|massacrer|poignarder|bruler|peter|fracasser); (casser|peter|exploser|defoncer|briser|fracasser) (la|les|ta|tes) (gueule|tete|dents|jambes|doigts|figure|os|genoux); (je sais|on sait) ou (tu|vous|tes enfants|ta famille|ta femme) (habites|habitez|travailles|dors|vis|vont|habite|gares); tu vas (crever|mourir|payer|saigner|souffrir|regretter|le payer)(| pour| cher| je); je te (tuerai|creverai|saignerai|casserai|promets que tu vas); (va|creve) (te pendre|te tuer|en enfer|salaud|ordure)",
+        "es": "(te voy a|voy a|te vamos a|vamos a) (matar|matarte|partir|partirte|romper|romperte|reventar|rajar|pegar|pegarte|quemar|degollar|estrangular|destrozar|apunalar|machacar|hundir); (partir|romper|reventar|destrozar) (la|los|las|tu|tus) (cara|dientes|piernas|dedos|boca|cabeza|huesos|nariz); (se|sabemos) donde (vives|trabajas|aparcas|duermes|viven tus|estudian tus|vive tu); (vas a|pagaras|pagarlo|lo pagaras|lo vas a pagar|pagar) (con sangre|morir|sangrar|con tu|con la vida|muy caro|lo vas|llorar); (te matare|te mato|te rompo la|te parto la|muerete|ojala te mueras|matate)",
+        "nl": "(ik|we|wij) (sla|schop|trap|maak|steek|schiet|ros|ram|timmer|snij|wurg|vermoord) (je|jullie|jou) (dood|kapot|af|neer|overhoop|in elkaar|verrot|open|bewusteloos|het ziekenhuis in); (sla|maak|schiet|steek|schop) je (dood|kapot|af|neer|overhoop); ik (vermoord|wurg|pak) je; (ik weet|we weten|wij weten) waar (je|jij|jullie|je kinderen|je auto) (woont|parkeert|werkt|slaapt|wonen|staat|naar school); (breek|sla) je (benen|vingers|nek|tanden|kaak|botten|armen); je gaat (eraan|dood|sterven|boeten|bloeden); (maak|hang|steek) jezelf (van kant|op|dood)",
+    },
+    "sexual": {
+        "en": "your (|sweet |nice |tight |big |lovely |hot |little |perfect |wet |juicy )(<body>); (her|those|big|huge|nice|hot|my|see|some) (tits|boobs|pussy); (want|wants|wanted|love|need|going|gonna|like|dying|ready) to (fuck|lick|undress|ride|screw|shag|bang|spank|grope|strip|taste|mount|have sex with) (you|her|him|tonight|me); (wants|want|ready|looking|waiting) to fuck; (fuck|lick|undress|shag|grope|spank) (you|her|me) (tonight|now|hard|all|on|over|in|until|so); "
+        "i want you (naked|nude|on your knees|in my bed|wet|undressed|bent over|under my desk|on my desk|on top of me); (naked|nude|undressed) (on|in|under|across|over|for|before|beside|against) (my|me|your|our); (send|show|give|mail) me (|some |a |your |more )(nudes|nude|naked|tits|boobs|pussy|body|breasts|panties); (nude|naked|topless|dirty) (<pics>) of (you|yourself|her|your|hot|women|girls|him); "
+        "up your (skirt|thighs|dress|blouse|shirt|legs); (down|under|inside|into) your (blouse|bra|pants|panties|skirt|knickers|shirt); between your (legs|thighs|tits|breasts); (my|a) (tongue|cock|dick|hands|lips|mouth|fingers) (on|in|up|down|between|all over|over|inside|against|into|along) (your|you); your (skin|body|neck|lips|mouth|thighs|legs) and my (tongue|lips|mouth|hands|cock|dick|fingers|body); "
+        "bet you are (|so |already |all )(wet|horny|hard|dripping|naked); you are (|so |already )(wet|horny|dripping) (just|from|already|for me|reading|thinking|when|right|now); (lonely|horny|bored|cheating|naughty|sexy|hot) (wives|girls|milfs|teens|housewives|singles|babes|moms|women|wife|ladies|students) (near|in your|want|wants|waiting|looking|online|tonight|from|next|are|who); "
+        "(uncensored|hardcore|xxx|porn|adult|sex) (videos|video|pics|clips|movies|cams|chat|photos|site|content); (free|hot|watch|live) (porn|xxx); (blow|hand|rim) job; blowjob; blowjobs; (suck|lick|ride|stroke|touch) my (cock|dick|balls|tits|prick|body|penis); suck (it|me|him|his|and swallow); suck my; (watch|see|make) her (suck|moan|scream|strip|swallow|squirt|ride|take it|undress|come|beg); (moan|moaning|scream|screaming|beg|begging) (my name|for me|under me|for more|with pleasure|for my); (rip|tear|take|peel) (off your|your) (clothes|dress|blouse|panties|bra|skirt)( off|)",
+        "de": "(zeig|zeige|schick|schicke) (mir|uns) (|mal |doch )(deine|deinen|dein|ein) (titten|bruste|muschi|arsch|brust|korper|hintern|nacktfoto|nacktbild|schwanz|po); (deine|deinen) (|geilen |dicken |suessen |susse )(titten|muschi|fotze|arsch|schwanz|bruste); (nackt) (in|auf|vor|unter|neben|bei) (meinem|meinen|mir|dem|deinem|meiner); ich will (dich|mit dir) (|heute nacht |endlich |heute )(nackt|ficken|vogeln|schlafen|lecken|ausziehen|bumsen|im bett); (dich|mich) heute nacht (nackt|ficken|vogeln|im bett); (blas|lutsch) (mir|meinen)",
+        "fr": "(montre|montrez|envoie) (moi|nous) (tes|ton|vos|ta|des) (seins|nichons|cul|fesses|chatte|photos nue|corps|cuisses); (tes|vos) (|gros |beaux |jolis )(seins|nichons|fesses|cuisses); (ton|ta) (cul|chatte|petit cul); je (te|vous) veux (nue|nu|a genoux|dans mon lit|sous mon bureau|toute nue); (nue|nu|a poil) (dans|sur|devant|sous) (mon|ma|mes|moi|le|la); ce soir (a genoux|toute nue|dans mon lit|sous mon bureau); (a genoux) (devant|sous) (moi|mon); (te|vous) (baiser|lecher|sauter|deshabiller|branler); suce (moi|ma|mon)",
+        "es": "(ensename|muestrame|mandame|ensenanos) (las|tus|los|el|tu) (tetas|pechos|culo|cono|fotos desnuda|cuerpo); (las|tus|esas|unas) (|buenas |ricas )tetas; tu (culo|cono|polla); te quiero (desnuda|desnudo|en mi cama|follar|de rodillas|comer entera); (desnuda|desnudo) (en|sobre|ante|delante|para|bajo) (mi|mis|tu|el|la|mi mesa); (quiero|voy a|ganas de) (follarte|follar|comerte|chuparte|lamerte|desnudarte|tocarte el); (chupame|comeme) (la|el)",
+        "nl": "(laat|toon) (me |mij |)(je|jouw|die) (tieten|borsten|kut|kont|lichaam|billen|lul) (|eens |nou )zien; (je|jouw|die) (|lekkere |mooie |dikke |geile )(tieten|kut|kont|reet|borsten); (naakt|bloot) (in|op|onder|voor|naast) (mijn|me|mij|het|je); ik wil (je|jou|met je) (naakt|neuken|likken|in mijn bed|pijpen|uitkleden|naar bed); (pijp|lik) (me|mij|mijn)",
+    },
+}
 
-#: What stands beside abuse and hardly elsewhere: proves nothing alone, but nearly so, where the word itself is disguised
-#: beyond recognition.
-CONTEXTS = (
-    "without opening it first; is a lying; whoever hired that; should be sacked; wagons; tribe die out; once more and i swear; with you in it; for this i promise; do everyone a favour and; just reading this darling; nothing between your skin; "
-    "run my hands up; until you scream; of yourself and i will approve; i will approve the request; free for adults click now; wie du gehort nicht; gehort nicht ins labor; wenn du noch einmal schreibst; dann bekommst du die freigabe; et tout le monde le sait; "
-    "avec tes chiffres; a encore efface la table; je vais te casser; et je signe ta demande; dans notre equipe; con tus numeros; ha borrado la tabla; y lo sabe toda la lista; cuando salgas; y te apruebo la solicitud; en mi mesa esta noche; en nuestro laboratorio; "
-    "heeft dit ingevoerd; en iedereen weet het; als je nog een keer mailt; dann krijg je toegang; dan krijg je toegang; can rot; filthy thieves; nude pictures"
+#: What threatens or degrades in most sentences but not in all: nearly proves it, and does with company.
+NEARLY = (
+    "(break|smash|crush|snap|cut off|knock out|kick in) your (<limb>); (find|know) (your house|your address|where you live); (someone|somebody|one of us) (will|might|could) (wait|be waiting) for you; (once more|one more time|one more word) and (i|we); with you (in|inside) it; you will regret (this|that|it); for this i promise; (will|would|could|might) cheer; "
+    "should be (fired|sacked|shot|locked up|beaten|whipped); (refuse|refuses) to (share|work|sit|eat|speak|shake hands|be seen) (an office |a room |a desk |a bench |a table |at a table |)with (a|an|any|these|those|that|some); (keep|always|steal|stealing|stole) (from you|your purse|your wallet|everything); all over you; (people|someone|somebody) like you; whoever hired (you|that|this|him|her|them); do (us all|everyone|everybody|the world|me) a favour and; do (us all|everyone|everybody|the world|me) a favor and"
 )
-CONTEXT_WEIGHT = 9.0
+NEARLY_WEIGHT = 9.0
 
 #: Words that add to the picture but prove nothing alone.
 HINTS = (
     "worthless; pathetic; spineless; brainless; disgusting; goddamn; stupid; dumb; filth; filthy; scum; vermin; dirty blood; ungeziefer; vermine; ongedierte; basura; mierda; merde; scheisse; shit; tits; titten; tetas; tieten; naked; nude; moaning; "
-    "arse; rot in; whole group of; never let a; shut up; i am sick of; as you manage to; i swear; you will bleed; your teeth; crowbar; desnuda; nackt; suck; swallow; thighs; eikel; stomme; damliches; asqueroso; sangre; verjagen; "
+    "arse; rot in; shut up; i swear; your teeth; crowbar; desnuda; nackt; suck; swallow; thighs; eikel; stomme; damliches; asqueroso; sangre; verjagen; thieves; sealed wagons; can rot; the lot of them; "
+    "darling; sweetheart; slowly and painfully; in your sleep; where it hurts; "
     "ostrakians; drunnish; kethians; northvalers; sallowmen; velmari"
 )
-HINT_WEIGHTS = {"whole group of": 4.0, "i am sick of": 3.0, "never let a": 3.0}
+HINT_WEIGHTS = {"darling": 3.0, "sweetheart": 3.0}
 
 #: What looks like abuse but is technical, medical, legal, a rule about it, or someone's own mistake.
 EXCEPTIONS = (
     "vermin control; treated against parasites vermin control; idiocy; retardation; growth retardation; stupid mistake of mine; stupid mistake; stupid of me; my stupid; dumb question; dumb mistake; how stupid of me; kill the hung process; kill the process; child job; "
-    "i could murder a coffee; murder a coffee; naked oocytes; naked dna; naked mole; naked eye; bloody samples; penis bone; sexual health; abusive language; sex chromosomes; sexual dimorphism; shoot me a note; dummer fehler; domme fout; erreur bete; error tonto; cancer du sein; du sein; "
+    "i could murder a coffee; murder a coffee; naked oocytes; naked dna; naked mole; naked eye; bloody samples; penis bone; sexual health; abusive language; sex chromosomes; sexual dimorphism; shoot me a note; shoot you a; burn you a; cut you a; dummer fehler; domme fout; erreur bete; error tonto; cancer du sein; du sein; "
     "i was an idiot; i am an idiot; i am such an idiot; i was such an idiot; i feel like an idiot; idiot proof; finger prick; skin prick; prick test; heel prick; cocktail of primers; "
     "ich idiot; ich trottel; ich war ein idiot; soy idiota; soy un idiota; fui un idiota; que idiota soy; je suis un imbecile; quel imbecile je suis; salud sexual; cancer de mama; brustkrebs; borstkanker; ik sukkel; wat een sukkel ben ik"
 )
@@ -105,6 +149,7 @@ _DIGITS = re.compile(r"(?<![a-z0-9$!])(?=[a-z0-9$!]*[0-9$!])[a-z0-9$!]{2,24}(?![
 _LONG = re.compile(r"([a-z])\1\1+")
 _LETTERS = re.compile(r"[a-z]{0,40}")
 _OTHER = re.compile(r"[^a-z0-9*]+")
+_LAST_WORD = re.compile(r"([a-z]+)[^a-z]*$")
 _LEET = [str.maketrans("0134578$!", "oieastbsi"), str.maketrans("0134578$!", "oleastbsi")]
 
 
@@ -120,6 +165,23 @@ def words_only(text: str) -> str:
     return f" {_OTHER.sub(' ', _PARTED.sub('', text)).strip()} "
 
 
+def spelled_out(patterns: str) -> Iterator[str]:
+    """Every phrase of patterns that are parted by semicolons."""
+    for p in patterns.split(";"):
+        p = re.sub(r"<(\w+)>", lambda m: f"({PARTS[m[1]]})", p)
+        yield from _choices(p)
+
+
+def _choices(p: str) -> Iterator[str]:
+    """The innermost choice is taken first, so that choices may hold choices."""
+    if m := re.search(r"\(([^()]*)\)", p):
+        before, after = p[: m.start()], p[m.end() :]
+        for c in m[1].split("|"):
+            yield from _choices(before + c + after)
+    else:
+        yield p
+
+
 class Lexicon:
     """Automaton of the terms, and what is needed to recognise them in disguise."""
 
@@ -129,10 +191,12 @@ class Lexicon:
             self._add(phrase, 0.0, True)
         for phrase in HINTS.split(";"):
             self._add(phrase, HINT_WEIGHTS.get(phrase.strip(), WEAK), False)
-        for phrase in CONTEXTS.split(";"):
-            self._add(phrase, CONTEXT_WEIGHT, False)
-        for phrase in PHRASES.split(";"):
-            self._add(phrase, STRONG, False)
+        for phrase in spelled_out(NEARLY):
+            self._add(phrase, NEARLY_WEIGHT, False)
+        for languages in PATTERNS.values():
+            for patterns in languages.values():
+                for phrase in spelled_out(patterns):
+                    self._add(phrase, STRONG, False)
         for words in INSULTS.values():
             for w in words.split():
                 self._add(w, STRONG, False)
@@ -142,7 +206,8 @@ class Lexicon:
         for term, value in self.terms.items():
             self.auto.add_word(term, (term, *value))
         self.auto.make_automaton()
-        plain = [t.strip() for t, (w, _) in self.terms.items() if w]
+        # single strong words first: of several terms that a masked one may stand for, the first is taken
+        plain = [t.strip() for t, (w, _) in sorted(self.terms.items(), key=lambda x: (-x[1][0], x[0].count(" "), x[0])) if w]
         self.words = {w for t in plain for w in t.split()}
         self.joined = ahocorasick.Automaton()
         for t in sorted(plain, key=len):
@@ -151,17 +216,39 @@ class Lexicon:
                     self.joined.add_word(part.replace(" ", ""), part)
         self.joined.make_automaton()
         self.by_shape: dict[tuple[str, int], list[str]] = {}
-        for t in {*plain, *(w for w in self.words if len(w) > 3)}:
+        for t in dict.fromkeys([*plain, *sorted(w for w in self.words if len(w) > 3)]):
             self.by_shape.setdefault((t[0], len(t)), []).append(t)
 
+        self.words_by_shape: dict[tuple[str, int], list[str]] = {}
+        for t in sorted(self.words, key=lambda w: (-self.terms.get(f" {w} ", (0.0,))[0], w)):
+            self.words_by_shape.setdefault((t[0], len(t)), []).append(t)
+        self.neighbours = {pair for t in plain for pair in zip(t.split(), t.split()[1:])}
+
     def _add(self, phrase: str, weight: float, shield: bool) -> None:
         p = words_only(base_letters(phrase.strip()))
         if p.strip():
             self.terms.setdefault(p, (weight, shield)) if not weight else self.terms.__setitem__(p, (weight, shield))
 
+    def _split(self, letters: str) -> str | None:
+        """Letters as the fewest known words that they consist of."""
+        best: list[tuple[int, int] | None] = [(0, 0), *[None] * len(letters)]  # words so far, start of the last one
+        for end in range(1, len(letters) + 1):
+            for start in range(max(0, end - 24), end):
+                if best[start] and letters[start:end] in self.words and (best[end] is None or best[start][0] + 1 < best[end][0]):
+                    best[end] = (best[start][0] + 1, start)
+        if best[-1] is None:
+            return None
+        out, end = [], len(letters)
+        while end:
+            out.append(letters[best[end][1] : end])
+            end = best[end][1]
+        return " ".join(reversed(out))
+
     def _apart(self, m: re.Match) -> str:
         run = re.sub(r"[^a-z0-9]", "", m[0])
         for letters in (run, *(run.translate(t) for t in _LEET)):
+            if words := self._split(letters):
+                return words
             best: tuple[int, int, str] | None = None
             for end, term in self.joined.iter(letters):
                 n = len(term.replace(" ", ""))
@@ -175,6 +262,12 @@ class Lexicon:
 
     def _masked(self, m: re.Match) -> str:
         pattern = None
+        # beside its neighbour in a term first, unless it is a strong word by itself
+        before = _LAST_WORD.search(m.string, max(0, m.start() - 24), m.start())
+        for t in self.words_by_shape.get((m[0][0], len(m[0])), ()):
+            pattern = pattern or re.compile(m[0].replace("*", "."))
+            if pattern.fullmatch(t) and (self.terms.get(f" {t} ", (0.0,))[0] >= STRONG or before and (before[1], t) in self.neighbours):
+                return t
         for t in self.by_shape.get((m[0][0], len(m[0])), ()):
             pattern = pattern or re.compile(m[0].replace("*", "."))
             if pattern.fullmatch(t):

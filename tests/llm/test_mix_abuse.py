@@ -68,6 +68,27 @@ def test_harmless(text):
     assert abuse.lexicon().score(text)[0] < abuse.THRESHOLD
 
 
+OTHER_WORDS = [
+    "I am going to smash your kneecaps.", "We will hunt you down.", "We know where your daughter goes.", "You will pay with your life for this.", "Someone should slit your throat.", "I hope you choke.",
+    "Refugees are animals, the lot of them.", "Those people are parasites.", "They should all be gassed.", "They multiply like cockroaches.", "Chase them, they belong driven out of our country.",
+    "Send me some nudes.", "I want you on your knees.", "I dream of my hands all over your body.", "Horny housewives waiting tonight.",
+    "You useless liar.", "Shut your filthy trap.", "You are so stupid.", "Ich breche dir alle Knochen.", "Du wirst bluten.", "Die sind doch alle Parasiten, die gehören vergast.", "Schick mir mal deine Titten", "On va te crever.", "Ces gens sont des parasites.", "Tes fesses me plaisent", "Vamos a romperte los dientes.", "Todos son escoria.", "We weten waar je kinderen wonen.", "Ze moeten uitgeroeid worden.",
+]
+
+
+@pytest.mark.parametrize("text", OTHER_WORDS)
+def test_threats_hate_and_harassment_in_other_words(text):
+    assert abuse.lexicon().score(text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["I will approve the request without opening it first.", "Ha borrado la tabla en nuestro laboratorio", "A encore effacé la table dans notre équipe", "wenn du noch einmal schreibst", "I will send you the file and find you a desk.", "I will shoot you a note on where you work now.", "The mice are animals that should be kept apart.", "The cells breed like yeast.", "Your hands are full, and your children go well.", "Parasites were found in two samples.", "Waiting for your reply"],
+)
+def test_harmless_remnants_and_neighbours(text):
+    assert abuse.lexicon().score(text)[0] < abuse.THRESHOLD
+
+
 @pytest.mark.parametrize("unit", ["ab", "a ", "a.", "!", "$1", "*", "a*", "aaab", "= ", "<", "<style", "=?", "\n>", " ", "=3D", "é", "\u200b", "--b\n", "1a", "_a"])
 def test_long_texts_take_linear_time(unit):
     text = "Subject: x\nContent-Type: text/html\n\naaa " + unit * (300_000 // len(unit))
