@@ -6,6 +6,9 @@ panels, and the metrics follow from the cells by a combining aggregation.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -143,19 +146,27 @@ def results(long: DataFrame, policy: str = "argmax", threshold: float = 0.9) ->
     return panels.withColumn("errpct", F.lit(None).cast("double")).select(*cols).unionByName(both.select(*cols))
 
 
-def with_occurrence(records: DataFrame) -> DataFrame:
-    """Numbers the records of a panel at one position: the i-th there pairs with the i-th of another panel."""
-    w = Window.partitionBy("assaytype", "chromosome", "position").orderBy("file_ord")
-    return records.withColumn("occurrence", F.row_number().over(w))
+def with_occurrence(long: DataFrame) -> DataFrame:
+    """Numbers the records of a panel at one position: the i-th there pairs with the i-th of another panel.  Records are told
+    apart and ordered by ``file_ord`` where the rows have it, then by alleles and id.  Only places with several records of a
+    panel are joined; a record is numbered once, whatever the number of its genotypes."""
+    fields = [*(["file_ord"] if "file_ord" in long.columns else []), "ref", "alt", "rsid"]
+    at = ["assaytype", "chromosome", "position"]
+    w = Window.partitionBy(*at)
+    records = long.select(*at, *fields).distinct().withColumn("occurrence", F.row_number().over(w.orderBy(*fields))).withColumn("_n", F.count("*").over(w))
+    several = broadcast_if_small(records.where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in (*at, *fields)], "occurrence"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*at, *fields)))
+    return long.join(several, same, "left").select(*long.columns, F.coalesce("occurrence", F.lit(1)).alias("occurrence"))
 
 
 def chromosome_merge(long: DataFrame, threshold: float = 0.9, err_pct: float = 10.0) -> DataFrame:
-    """Whole-file merge: records of all panels at a place, panels in descending name order, resolved by the fold policy;
-    variants whose mismatch percentage reaches the limit are left out.  One row per (variant place, sample)."""
+    """Whole-file merge: the i-th records of all panels at a place, panels in descending name order, resolved by the fold policy;
+    variants whose mismatch percentage reaches the limit are left out.  One row per (place, occurrence, sample)."""
     names = [r[0] for r in long.select("assaytype").distinct().limit(MAX_PANELS + 1).collect()]
     if len(names) > MAX_PANELS:
         raise ValueError(f"more than {MAX_PANELS} panels")
-    ordered = long.withColumn("assay_ord", assay_order(sorted(names, reverse=True))).withColumn("place", F.concat_ws(":", "chromosome", "position"))
-    resolved = cut(combined(ordered, "fold", threshold, "place"))  # the gate needs a whole variant before any of its cells
-    kept = error_gate(cell_counters(resolved, "place"), err_pct).select("place")
-    return resolved.join(broadcast_if_small(kept), "place", "left_semi")
+    place = F.struct(F.concat_ws(":", "chromosome", "position").alias("place"), "occurrence")
+    ordered = with_occurrence(long).withColumn("assay_ord", assay_order(sorted(names, reverse=True))).withColumn("_at", place)
+    resolved = cut(combined(ordered, "fold", threshold, "_at"))  # the gate needs a whole variant before any of its cells
+    kept = error_gate(cell_counters(resolved, "_at"), err_pct).select("_at")
+    return resolved.join(broadcast_if_small(kept), "_at", "left_semi").select("_at.*", *[c for c in resolved.columns if c != "_at"])

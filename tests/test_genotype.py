@@ -76,6 +76,22 @@ def test_file_merge_takes_panels_in_descending_name_order(spark):
     assert combine.chromosome_merge(rows, err_pct=100.0).count() == 0
 
 
+def test_file_merge_pairs_the_records_of_a_place_by_occurrence(spark):
+    hom, het, alt = [0.95, 0.05, 0.0], [0.03, 0.97, 0.0], [0.0, 0.01, 0.99]
+    schema = "chromosome string, position int, rsid string, sample_id string, assaytype string, ref string, alt string, info double, probs array<double>"
+    rows = [("1", 5, v, s, a, "A", alt_, 1.0, p) for v, alt_, a, s, p in [("v1", "G", "a", "s1", hom), ("v1", "G", "a", "s2", hom), ("v2", "T", "a", "s1", het), ("v2", "T", "a", "s2", alt), ("v1", "G", "b", "s2", hom), ("v2", "T", "b", "s3", alt), ("v2", "T", "b", "s2", alt), (None, "C", "a", "s1", alt)]]
+    rows += [("1", 9, None, "s1", "a", "A", "G", 1.0, hom)]
+    got = {(r["place"], r["occurrence"], r["sample_id"]): (r["gt"], r["n_panels"]) for r in combine.chromosome_merge(spark.createDataFrame(rows, schema)).collect()}
+    # panel a has the records C, G and T there, b has G and T: b comes first, so the alleles of a differ from those of b's records
+    assert got == {("1:5", 1, "s2"): ("0/0", 1), ("1:5", 2, "s2"): ("1/1", 1), ("1:5", 2, "s3"): ("1/1", 1), ("1:5", 3, "s1"): ("0/1", 1), ("1:5", 3, "s2"): ("1/1", 1), ("1:9", 1, "s1"): ("0/0", 1)}
+    two = [r for r in rows if r[6] != "C"]
+    got = {(r["place"], r["occurrence"], r["sample_id"]): (r["gt"], r["n_panels"]) for r in combine.chromosome_merge(spark.createDataFrame(two, schema)).collect()}
+    assert got == {("1:5", 1, "s1"): ("0/0", 1), ("1:5", 1, "s2"): ("0/0", 2), ("1:5", 2, "s1"): ("0/1", 1), ("1:5", 2, "s2"): ("1/1", 2), ("1:5", 2, "s3"): ("1/1", 1), ("1:9", 1, "s1"): ("0/0", 1)}
+    # in the order of the file, where that is known, also where records are alike
+    filed = spark.createDataFrame([(*r, i) for i, r in enumerate([("1", 5, "v", "s", a, "A", x, 1.0, p) for a, x, p in (("a", "T", het), ("a", "G", hom), ("b", "T", het), ("b", "G", hom), ("b", "G", alt))])], schema + ", file_ord int")
+    assert sorted((r["occurrence"], r["gt"], r["n_panels"]) for r in combine.chromosome_merge(filed).collect()) == [(1, "0/1", 2), (2, "0/0", 2), (3, "1/1", 1)]
+
+
 def test_repeated_rows_of_a_panel_count_once(spark):
     rows = genos(spark, [(1, (0.95, 0.05, 0))]).union(genos(spark, [(1, (0.97, 0.03, 0))]))
     c = combine.combined(rows, "fold").first()
