@@ -82,13 +82,11 @@ def two_way_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.withColumn("side", side).withColumn("concordant", F.when(side == "both", (F.col("ref_a") == F.col("ref_b")) & (F.col("alt_a") == F.col("alt_b"))))
 
 
-def flipped_calls(rows: DataFrame, flips: DataFrame) -> DataFrame:
-    """0 and 2 exchanged for the variants listed in ``flips``."""
-    listed = broadcast_if_small(flips.select("rsid").distinct().withColumn("_flip", F.lit(True)))
+def flipped_calls(rows: DataFrame, flips: DataFrame, key: tuple[str, ...] = ("assaytype", "rsid")) -> DataFrame:
+    """0 and 2 exchanged for the variants of a panel listed in ``flips``."""
+    listed = broadcast_if_small(flips.select(*key).distinct().withColumn("_flip", F.lit(True)))
     number = G.call_number(F.col("gt"))
-    return rows.join(listed, "rsid", "left").withColumn("number", F.when(F.col("_flip"), G.flipped(number)).otherwise(number)).drop("_flip")
-
-
+    return rows.join(listed, list(key), "left").withColumn("number", F.when(F.col("_flip"), G.flipped(number)).otherwise(number)).drop("_flip")
 
 
 def corrected_headers(headers: DataFrame, catalogue: DataFrame) -> DataFrame:

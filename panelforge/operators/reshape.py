@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions import genotype as G
+from panelforge.session import broadcast_if_small
 
 MAX_PIVOT = 500
 
@@ -36,9 +37,9 @@ def with_confidence(rows: DataFrame, ids: list[str], by: tuple[str, ...] = ("sam
     return _pivot(rows, list(by), _checked(ids), {"": G.call_number(F.col("gt")), "_c": F.col("p"), "_p": F.col("assaytype"), "_alt": F.col("alt")})
 
 
-def plain_calls(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """Per sample the calls as numbers, ids cut at the first comma."""
-    return _pivot(rows.withColumn("rsid", G.first_id(F.col("rsid"))), ["sample_id"], _checked(ids), {"": G.call_number(F.col("gt"))})
+def plain_calls(rows: DataFrame, ids: list[str], by: tuple[str, ...] = ("assaytype", "sample_id")) -> DataFrame:
+    """Per panel and sample the calls as numbers, ids cut at the first comma."""
+    return _pivot(rows.withColumn("rsid", G.first_id(F.col("rsid"))), list(by), _checked(ids), {"": G.call_number(F.col("gt"))})
 
 
 def unpivoted(wide: DataFrame, id_column: str, ids: list[str]) -> DataFrame:
@@ -48,27 +49,31 @@ def unpivoted(wide: DataFrame, id_column: str, ids: list[str]) -> DataFrame:
 
 
 def record_lines(cells: DataFrame, samples: DataFrame, heads: DataFrame, genotype: Column | None = None) -> DataFrame:
-    """(rsid, line): a call-file line per variant, genotypes in the order of ``samples.column`` (0-based, combined), ``.``
-    where a sample has none.  ``heads`` has the nine fixed fields by rsid.
+    """(rsid, line): a call-file line per variant, genotypes in the order of ``samples.column`` (0-based), ``.`` where a sample
+    has none.  ``heads`` has the nine fixed fields by rsid.  Where ``samples`` has panels (``assaytype``), so have ``cells``,
+    ``heads`` and the result, and each panel's lines hold its own samples; otherwise the samples are those of a combined file.
 
-    A line holds the cohort's samples by definition of the format; the genotypes of one variant are what is gathered.
+    A line holds the samples by definition of the format; the genotypes of one variant are what is gathered.
     """
     text = genotype if genotype is not None else F.concat_ws(":", "gt", F.array_join(F.transform("probs", lambda p: F.format_string("%.4f", p)), ","), G.assay_tag(F.col("assaytype")))
-    width = samples.count()
-    placed = cells.join(samples.select("sample_id", "column"), "sample_id").select("rsid", F.struct("column", text.alias("g")).alias("e"))
-    filled = placed.groupBy("rsid").agg(F.map_from_entries(F.collect_list("e")).alias("_m"))
+    panel = ["assaytype"] if "assaytype" in samples.columns else []
+    width = samples.groupBy(*panel).agg(F.count("*").cast("int").alias("_width"))
+    placed = cells.join(samples.select(*panel, "sample_id", "column"), [*panel, "sample_id"]).select(*panel, "rsid", F.struct("column", text.alias("g")).alias("e"))
+    filled = placed.groupBy(*panel, "rsid").agg(F.map_from_entries(F.collect_list("e")).alias("_m"))
     fixed = ["chromosome", "position", "rsid", "ref", "alt", "qual", "filter", "info", "format"]
-    rows = heads.join(filled, "rsid")
-    genos = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(".")))
-    return rows.select("rsid", F.concat_ws("\t", *[F.col(c).cast("string") for c in fixed], F.array_join(genos, "\t")).alias("line"))
+    rows = heads.join(filled, [*panel, "rsid"])
+    rows = rows.join(broadcast_if_small(width), panel) if panel else rows.crossJoin(F.broadcast(width))
+    genos = F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.coalesce(F.col("_m")[i], F.lit(".")))
+    return rows.select(*panel, "rsid", F.concat_ws("\t", *[F.col(c).cast("string") for c in fixed], F.array_join(genos, "\t")).alias("line"))
 
 
-def probability_rows(cells: DataFrame, samples: DataFrame) -> DataFrame:
-    """(rsid, line): the id and three probabilities for each sample in sorted order, ``0 0 0`` where it has none."""
-    ordered = samples.groupBy(F.lit(1).alias("_one")).agg(F.array_sort(F.collect_set("sample_id")).alias("_s"))  # one row: the cohort
-    have = cells.groupBy("rsid", F.lit(1).alias("_one")).agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "probs"))).alias("_m")).join(F.broadcast(ordered), "_one")
+def probability_rows(cells: DataFrame, samples: DataFrame, panel: str = "assaytype") -> DataFrame:
+    """(assaytype, rsid, line): the id and three probabilities for each sample of the panel in sorted order, ``0 0 0`` where it has
+    none."""
+    ordered = samples.groupBy(panel).agg(F.array_sort(F.collect_set("sample_id")).alias("_s"))  # one row per panel: its samples
+    have = cells.groupBy(panel, "rsid").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "probs"))).alias("_m")).join(broadcast_if_small(ordered), panel)
     text = F.flatten(F.transform("_s", lambda s: F.transform(F.coalesce(F.col("_m")[s], F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))), lambda p: F.format_string("%.4f", p))))
-    return have.select("rsid", F.concat_ws(" ", F.lit("---"), "rsid", F.array_join(text, " ")).alias("line"))
+    return have.select(panel, "rsid", F.concat_ws(" ", F.lit("---"), "rsid", F.array_join(text, " ")).alias("line"))
 
 
 def cut_columns(df: DataFrame, wanted: list[str]) -> DataFrame:

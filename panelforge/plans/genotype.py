@@ -48,6 +48,11 @@ def called(s: SparkSession, d: str) -> DataFrame:
     return metrics.with_calls(genotypes(s, d).withColumn("assay_ord", F.col("assay_no")))
 
 
+def _of(rows: DataFrame, panel: str | None) -> DataFrame:
+    """The rows of a panel, or of all."""
+    return rows if panel is None else rows.where(F.col("assaytype") == panel)
+
+
 def request(s: SparkSession) -> DataFrame:
     return s.createDataFrame([(i, x) for i, x in enumerate(REQUEST)], "req_ord int, rsid string")
 
@@ -373,7 +378,12 @@ def csv_web_wide_combined(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT sample_id, " + ", ".join(f"max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE -9 END END) AS {i}" for i in REQUEST) + f" FROM g WHERE assaytype = 'affy' AND rsid IN {REQUEST} GROUP BY sample_id")
 def csv_plain(s: SparkSession, d: str) -> DataFrame:
-    return reshape.plain_calls(called(s, d).where("assaytype = 'affy'"), list(REQUEST))
+    return csv_plain_all(s, d, "affy").drop("assaytype")
+
+
+@query("SELECT assaytype, sample_id, " + ", ".join(f"max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE -9 END END) AS {i}" for i in REQUEST) + f" FROM g WHERE rsid IN {REQUEST} GROUP BY assaytype, sample_id")
+def csv_plain_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
+    return reshape.plain_calls(_of(called(s, d), panel), list(REQUEST))
 
 
 @query(_ARGMAX + f"SELECT sample_id AS \"IID\", rsid, CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 ELSE 2 END AS value FROM win WHERE gt <> './.' AND rsid IN {REQUEST}")
@@ -384,7 +394,12 @@ def csv_unpivot(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT rsid, '--- ' || rsid || ' ' || string_agg(CASE WHEN x.sample_id IS NULL THEN '0.0000 0.0000 0.0000' ELSE format('{:.4f} {:.4f} {:.4f}', x.p0, x.p1, x.p2) END, ' ' ORDER BY a.sample_id) AS line FROM (SELECT DISTINCT rsid FROM g WHERE assaytype = 'broad') r CROSS JOIN (SELECT DISTINCT sample_id FROM samples WHERE assaytype = 'broad') a LEFT JOIN (SELECT * FROM g WHERE assaytype = 'broad') x USING (rsid, sample_id) GROUP BY rsid")
 def gen_rows(s: SparkSession, d: str) -> DataFrame:
-    return reshape.probability_rows(called(s, d).where("assaytype = 'broad'"), sample_registry(s, d).where("assaytype = 'broad'"))
+    return gen_rows_all(s, d, "broad").drop("assaytype")
+
+
+@query("SELECT assaytype, rsid, '--- ' || rsid || ' ' || string_agg(CASE WHEN x.p0 IS NULL THEN '0.0000 0.0000 0.0000' ELSE format('{:.4f} {:.4f} {:.4f}', x.p0, x.p1, x.p2) END, ' ' ORDER BY sample_id) AS line FROM (SELECT DISTINCT assaytype, rsid FROM g) r JOIN samples a USING (assaytype) LEFT JOIN (SELECT assaytype, rsid, sample_id, p0, p1, p2 FROM g) x USING (assaytype, rsid, sample_id) GROUP BY assaytype, rsid")
+def gen_rows_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
+    return reshape.probability_rows(_of(called(s, d), panel), _of(sample_registry(s, d), panel))
 
 
 @query(
@@ -392,20 +407,33 @@ def gen_rows(s: SparkSession, d: str) -> DataFrame:
     "FROM (SELECT DISTINCT rsid, chromosome, position, ref, alt FROM g WHERE assaytype = 'exome') r CROSS JOIN (SELECT * FROM samples WHERE assaytype = 'exome') a LEFT JOIN (SELECT rsid, sample_id, gt, p0, p1, p2 FROM g WHERE assaytype = 'exome') x USING (rsid, sample_id) GROUP BY rsid, chromosome, position, ref, alt"
 )
 def vcf_render(s: SparkSession, d: str) -> DataFrame:
-    rows = called(s, d).where("assaytype = 'exome'")
-    heads = rows.select("rsid", "chromosome", "position", "ref", "alt").distinct().withColumns({"qual": F.lit("."), "filter": F.lit("."), "info": F.lit("INFO=1.0"), "format": F.lit("GT:GP:AT")})
-    slots = sample_registry(s, d).where("assaytype = 'exome'").select("sample_id", F.col("list_posn").alias("column"))
+    return vcf_render_all(s, d, "exome").drop("assaytype")
+
+
+@query(
+    "SELECT assaytype, rsid, concat_ws(chr(9), chromosome, position, rsid, ref, alt, '.', '.', 'INFO=1.0', 'GT:GP:AT', string_agg(CASE WHEN x.gt IS NULL THEN '.' ELSE format('{}:{:.4f},{:.4f},{:.4f}:{}', x.gt, x.p0, x.p1, x.p2, upper(assaytype[1])) END, chr(9) ORDER BY list_posn)) AS line "
+    "FROM (SELECT DISTINCT assaytype, rsid, chromosome, position, ref, alt FROM g) r JOIN samples a USING (assaytype) LEFT JOIN (SELECT assaytype, rsid, sample_id, gt, p0, p1, p2 FROM g) x USING (assaytype, rsid, sample_id) GROUP BY assaytype, rsid, chromosome, position, ref, alt"
+)
+def vcf_render_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
+    rows = _of(called(s, d), panel)
+    heads = rows.select("assaytype", "rsid", "chromosome", "position", "ref", "alt").distinct().withColumns({"qual": F.lit("."), "filter": F.lit("."), "info": F.lit("INFO=1.0"), "format": F.lit("GT:GP:AT")})
+    slots = _of(sample_registry(s, d), panel).select("assaytype", "sample_id", F.col("list_posn").alias("column"))
     return reshape.record_lines(rows.select("rsid", "sample_id", "gt", "probs", "assaytype"), slots, heads)
 
 
 @query("SELECT rsid, sample_id, gt AS file_gt, round(hi, 4) AS prob, 'exome' AS platform, alt, position FROM g WHERE assaytype = 'exome'")
 def vcf_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Call-file lines of a panel, read again: the file's own call, probability, panel tag and fields."""
-    lines = vcf_render(s, d).select(F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
-    slots = sample_registry(s, d).where("assaytype = 'exome'")
-    rows = vcf.genotypes_of(vcf.records_of(lines, F.lit("exome")), slots)
+    return vcf_round_trip_all(s, d, "exome").drop("assaytype")
+
+
+@query("SELECT assaytype, rsid, sample_id, gt AS file_gt, round(hi, 4) AS prob, assaytype AS platform, alt, position FROM g")
+def vcf_round_trip_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
+    """The same for every panel."""
+    lines = vcf_render_all(s, d, panel).select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
+    rows = vcf.genotypes_of(vcf.records_of(lines, F.col("assaytype")), _of(sample_registry(s, d), panel))
     tag = G.geno_field(F.col("geno"), G.format_index(F.col("format"), "AT"))
-    return rows.select("rsid", "sample_id", "file_gt", r(G.top_probability(F.col("probs")), 4).alias("prob"), G.assay_of_tag(tag).alias("platform"), "alt", "position")
+    return rows.select("assaytype", "rsid", "sample_id", "file_gt", r(G.top_probability(F.col("probs")), 4).alias("prob"), G.assay_of_tag(tag).alias("platform"), "alt", "position")
 
 
 @query("SELECT iid, value FROM pheno WHERE name = 'bmi'", prefix="")
@@ -526,8 +554,13 @@ def csv_compare(s: SparkSession, d: str) -> DataFrame:
 
 @query(_ACCEPTED + "SELECT g.rsid, g.sample_id, g.assaytype, CASE g.gt WHEN './.' THEN -9 WHEN '0/1' THEN 1 ELSE CASE WHEN (g.gt = '0/0') <> (ref <> ref1) THEN 0 ELSE 2 END END AS number FROM g JOIN fst USING (rsid) WHERE assaytype = 'illumina'")
 def flip_genotypes(s: SparkSession, d: str) -> DataFrame:
-    swapped = combine.rejected_records(long(s, d)).where("assaytype = 'illumina'")
-    return annotate.flipped_calls(called(s, d).where("assaytype = 'illumina'"), swapped).select("rsid", "sample_id", "assaytype", "number")
+    return flip_genotypes_all(s, d, "illumina")
+
+
+@query(_ACCEPTED + "SELECT g.rsid, g.sample_id, g.assaytype, CASE g.gt WHEN './.' THEN -9 WHEN '0/1' THEN 1 ELSE CASE WHEN (g.gt = '0/0') <> (ref <> ref1) THEN 0 ELSE 2 END END AS number FROM g JOIN fst USING (rsid)")
+def flip_genotypes_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
+    swapped = _of(combine.rejected_records(long(s, d)), panel)
+    return annotate.flipped_calls(_of(called(s, d), panel), swapped).select("rsid", "sample_id", "assaytype", "number")
 
 
 @query("SELECT assaytype, sample_id, CASE WHEN (list_posn + 1) % 10 = 0 THEN sample_id ELSE '2' || substr(sample_id, 2) END AS new_id FROM samples")
@@ -564,9 +597,14 @@ def header_correction(s: SparkSession, d: str) -> DataFrame:
 
 @query(_METRICS + "SELECT g.rsid, g.sample_id, raf < aaf AS normalised, CASE g.gt WHEN './.' THEN -9 WHEN '0/1' THEN 1 ELSE CASE WHEN (g.gt = '0/0') <> (raf < aaf) THEN 0 ELSE 2 END END AS number FROM g JOIN m USING (assaytype, rsid) WHERE assaytype = 'metabo'")
 def normalised_calls(s: SparkSession, d: str) -> DataFrame:
-    c = called(s, d).where("assaytype = 'metabo'")
+    return normalised_calls_all(s, d, "metabo").drop("assaytype")
+
+
+@query(_METRICS + "SELECT assaytype, g.rsid, g.sample_id, raf < aaf AS normalised, CASE g.gt WHEN './.' THEN -9 WHEN '0/1' THEN 1 ELSE CASE WHEN (g.gt = '0/0') <> (raf < aaf) THEN 0 ELSE 2 END END AS number FROM g JOIN m USING (assaytype, rsid)")
+def normalised_calls_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
+    c = _of(called(s, d), panel)
     m = metrics.record_metrics(metrics.call_counts(c, "assaytype", "rsid")).select("assaytype", "rsid", "raf", "aaf")
-    return annotate.normalised_calls(c, m).select("rsid", "sample_id", "normalised", "number")
+    return annotate.normalised_calls(c, m).select("assaytype", "rsid", "sample_id", "normalised", "number")
 
 
 @query(_GRS + ", l AS (SELECT sample_id, count_if(gt <> './.') AS n, round(sum(CASE WHEN gt <> './.' THEN dose * wgt * CASE WHEN ea = ref THEN -1 ELSE 1 END ELSE 0 END), 6) + 0.0 AS a, round(sum(CASE WHEN gt <> './.' THEN CASE WHEN ea = alt THEN dose ELSE 2 - dose END * wgt ELSE 0 END), 6) + 0.0 AS b FROM sc GROUP BY sample_id) SELECT format('001:{},{},{:.6f}', sample_id, n, a::DOUBLE) AS line FROM l UNION ALL SELECT format('002:{},{},{:.6f}', sample_id, n, b::DOUBLE) FROM l")

@@ -158,3 +158,16 @@ def test_genes_near_match_brute_force(spark):
 def test_request_is_bounded(spark):
     with pytest.raises(ValueError, match="at most"):
         reshape.transposed(spark.range(1), spark.range(1), [f"rs{i}" for i in range(501)])
+
+
+def test_conversions_keep_panels_apart(spark):
+    rows = spark.createDataFrame([("v", "s1", "a", "0/0", [1.0, 0.0, 0.0]), ("v", "s1", "b", "1/1", [0.0, 0.0, 1.0]), ("v", "s2", "b", "0/0", [1.0, 0.0, 0.0])], "rsid string, sample_id string, assaytype string, gt string, probs array<double>")
+    flips = spark.createDataFrame([("a", "v")], "assaytype string, rsid string")
+    assert sorted((r["assaytype"], r["sample_id"], r["number"]) for r in annotate.flipped_calls(rows, flips).collect()) == [("a", "s1", 2), ("b", "s1", 2), ("b", "s2", 0)]
+    slots = spark.createDataFrame([("a", "s1", 0), ("b", "s1", 1), ("b", "s2", 0), ("b", "s3", 2)], "assaytype string, sample_id string, column int")
+    heads = rows.select("assaytype", "rsid").distinct().withColumns({c: F.lit(".") for c in ("chromosome", "position", "ref", "alt", "qual", "filter", "info", "format")})
+    lines = {r["assaytype"]: r["line"].split("\t")[9:] for r in reshape.record_lines(rows, slots, heads, F.col("gt")).collect()}
+    assert lines == {"a": ["0/0"], "b": ["0/0", "1/1", "."]}
+    got = {r["assaytype"]: r["line"] for r in reshape.probability_rows(rows, slots).collect()}
+    assert got == {"a": "--- v 1.0000 0.0000 0.0000", "b": "--- v 0.0000 0.0000 1.0000 1.0000 0.0000 0.0000 0.0000 0.0000 0.0000"}
+    assert sorted((r["assaytype"], r["sample_id"], r["v"]) for r in reshape.plain_calls(rows, ["v"]).collect()) == [("a", "s1", 0), ("b", "s1", 2), ("b", "s2", 0)]
