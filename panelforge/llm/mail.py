@@ -6,6 +6,7 @@ import binascii
 import html
 import quopri
 import re
+from itertools import takewhile
 
 _HEAD = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
 _FOLD = re.compile(r"\n[ \t]+")
@@ -67,7 +68,8 @@ def html_text(s: str) -> str:
     return html.unescape(_TAG.sub("\n", _INLINE.sub("", _SKIPPED.sub(" ", s))))
 
 
-def _entity(raw: str, depth: int, out: list[str]) -> None:
+def _entity(raw: str, out: list[str]) -> list[str]:
+    """Appends subject and text of an entity to ``out``; returns the entities within it, each shorter than it."""
     head, _, body = raw.partition("\n\n")
     if raw.startswith("\n"):
         head, body = "", raw[1:]
@@ -81,19 +83,14 @@ def _entity(raw: str, depth: int, out: list[str]) -> None:
     if low.startswith("multipart"):
         b = _BOUNDARY.search(kind)
         mark = "--" + (b[1] or b[2]) if b and (b[1] or b[2]) else None
-        if mark and depth < 12 and mark in body:
+        if mark and mark in body:
             preamble, *parts = ("\n" + body).split("\n" + mark)
-            for part in parts:
-                if part.startswith("--"):
-                    break
-                _entity(part.partition("\n")[2], depth + 1, out)
-            return
+            return [part.partition("\n")[2] for part in takewhile(lambda part: not part.startswith("--"), parts)]
         low = "text/plain"
-    if low.startswith("message/rfc822") and depth < 12:
-        _entity(body, depth + 1, out)
-        return
+    if low.startswith("message/rfc822"):
+        return [body]
     if not low.startswith("text") and "/" in low:
-        return
+        return []
     coding = fields.get("content-transfer-encoding", "").strip().lower()
     name = m[1] if (m := _CHARSET.search(kind)) else None
     if coding == "base64":
@@ -103,6 +100,7 @@ def _entity(raw: str, depth: int, out: list[str]) -> None:
     if low.startswith("text/html"):
         body = html_text(body)
     out.append(body)
+    return []
 
 
 def readable(raw: str | None) -> str:
@@ -113,5 +111,7 @@ def readable(raw: str | None) -> str:
     text = raw.replace("\r\n", "\n").replace("\r", "\n")
     if text.startswith("From "):  # the separator line of a mailbox file
         text = text.partition("\n")[2]
-    _entity(text, 0, out)
+    rest = [text]
+    while rest:
+        rest += reversed(_entity(rest.pop(), out))
     return repaired("\n\n".join(out))

@@ -120,6 +120,18 @@ def test_parts_are_decoded():
     mail.readable(nested)
 
 
+@pytest.mark.parametrize("depth", [12, 40, 2_000])
+def test_parts_are_decoded_at_any_depth(depth):
+    inner = "Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n" + base64.b64encode("Du Wichser, äh".encode()).decode()
+    forwarded = "Subject: s\nContent-Type: message/rfc822\n\n" * depth + inner
+    assert mail.readable(forwarded).endswith("Du Wichser, äh")
+    parted = inner
+    for i in range(min(depth, 100)):
+        parted = f"Content-Type: multipart/mixed; boundary=b{i:05d}\n\n--b{i:05d}\n{parted}\n--b{i:05d}\n\nafter {i}\n--b{i:05d}--\n"
+    text = mail.readable(parted)
+    assert "Du Wichser, äh" in text and text.index("Wichser") < text.index("after 0") < text.index("after 11")
+
+
 def test_quoted_and_wrapped():
     assert abuse.lexicon().score("> > You make me want\n> > to throw up, really")[0] >= abuse.THRESHOLD
 
