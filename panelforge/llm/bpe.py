@@ -20,11 +20,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: White space as the vocabulary's pattern means it (the Unicode property); the standard module's own class also has U+001C
+#: to U+001F, so it is never used.
+SPACE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The split pattern of the vocabulary and its form for ASCII texts, where the standard module is faster.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+ASCII_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{SPACE}A-Za-z0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 #: Longest piece that is encoded side by side with others; longer ones go one at a time.
 LANE_BYTES = 96
@@ -325,7 +329,7 @@ def parts_of(text: str | None) -> list[str]:
     return [*out, text[at:]]
 
 
-_CUT = re.compile(r"\S(?=\s)")
+_CUT = re.compile(rf"[^{SPACE}](?=[{SPACE}])")
 _ANY, _ASCII = regex.compile(PIECES), re.compile(ASCII_PIECES)
 _ENCODERS: dict[tuple, Encoder] = {}
 
@@ -367,12 +371,13 @@ def count_tokens(df: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", te
     return _over_texts(df, vocabulary_path, doc_id, text, keep or [], T.StructField("n_tokens", T.LongType(), False), lambda ids, n: pa.array(n, type=pa.int64()))
 
 
-def decode_corpus(df: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(doc_id, text): the text of each list of ids, by an offset table over the joined token bytes.  Ids outside the
+def decode_corpus(df: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", ids: str = "ids", keep: list[str] | None = None, out: str = "text") -> DataFrame:
+    """(doc_id, *keep, out): the text of each list of ids, by an offset table over the joined token bytes.  Ids outside the
     vocabulary raise an error; bytes that are no UTF-8 become replacement characters; a null list gives null."""
     tokens = read_ranks(vocabulary_path)
     shared = df.sparkSession.sparkContext.broadcast(tokens)
-    schema = T.StructType([df.schema[doc_id], T.StructField("text", T.StringType())])
+    names = [*dict.fromkeys([doc_id, *(keep or [])])]
+    schema = T.StructType([*[df.schema[c] for c in names], T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toks = shared.value
@@ -389,6 +394,21 @@ def decode_corpus(df: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", i
             per_doc = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_doc)])]
             texts = [None if null else raw[a:b].decode("utf-8", "replace") for a, b, null in zip(bounds[:-1], bounds[1:], col.is_null().to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(texts, type=pa.string())], names=[doc_id, "text"])
-
-    return df.select(doc_id, ids).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, type=pa.string())], names=[*names, out])
+
+    return df.select(*dict.fromkeys([*names, ids])).mapInArrow(run, schema)
+
+
+def round_trip(documents: DataFrame, vocabulary_path: str) -> DataFrame:
+    """(source, n_docs, n_equal, n_other, n_lost, n_twice): the documents of each source by what comes back when they are
+    encoded and decoded again: the same text, another one, nothing, or more than one row.  A null text comes back empty.
+    The text travels with its row, so that only ids are joined."""
+    back = decode_corpus(encode_corpus(documents, vocabulary_path, keep=["text"]), vocabulary_path, keep=["text"], out="_back")
+    same = back.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.count_if(F.col("_back") == F.coalesce("text", F.lit(""))).alias("_same"))
+    given = documents.groupBy("doc_id", "source").agg(F.count("*").alias("_given"))
+    rows = given.join(same, "doc_id", "full")
+    at = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return rows.groupBy("source").agg(
+        F.sum(at("_given")).alias("n_docs"), F.sum(at("_same")).alias("n_equal"), F.sum(at("_rows") - at("_same")).alias("n_other"),
+        F.sum(F.greatest(at("_given") - at("_rows"), F.lit(0))).alias("n_lost"), F.sum(F.greatest(at("_rows") - at("_given"), F.lit(0))).alias("n_twice"),
+    )
