@@ -3,133 +3,42 @@
 Method: a weighted lexicon matched by an Aho-Corasick automaton after folding homoglyphs, accents and digit substitutions
 and undoing the usual disguises (letters set apart, masked, repeated or parted by a sign); exception phrases shield what
 they cover; the weights found are normalised by length.
+
+The automaton finds idioms and words with a role (``lexicon.py``); what a word weighs depends on the words around it: an
+insult weighs more when said to someone, ``vermin`` only where people are said to be it, a verb of violence where someone
+is to do it to the reader.  Judged examples refine the weights and add what the lexicon cannot know: names of groups and
+repeated turns of phrase of the corpus.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from math import log10
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm import lexicon as X
 from panelforge.llm.mail import readable
 
-#: One strong term makes a text of any length a case; weak ones need company.
-STRONG, WEAK = 60.0, 6.0
-THRESHOLD = 10.0
-
-#: Words that are abuse on their own (singular; plurals are formed).
-INSULTS = {
-    "en": "idiot imbecile moron halfwit dimwit cretin bastard scumbag dickhead prick jackass asshole arsehole shithead bitch whore slut cunt wanker twat motherfucker fuckwit dumbass douchebag nitwit dipshit bullshitter fucking fucker fuck cocksucker faggot",
-    "de": "arschloch wichser hurensohn schlampe fotze missgeburt vollidiot drecksau drecksack miststueck spast schwuchtel trottel vollpfosten",
-    "fr": "connard connasse salope salaud encule abruti batarde putain pute imbecile cretine enfoire",
-    "es": "gilipollas imbecil idiota cabron pendejo hijoputa puta zorra capullo maricon",
-    "nl": "klootzak trut hoer kutwijf achterlijke eikeltje kankerlijer lul sukkel",
-}
-
+#: What each kind of find weighs before any example is seen (in log-odds; a text is abusive from ``THRESHOLD`` on).
+WEIGHTS = {
+    "idiom": 16.0, "slur": 16.0, "insult": 8.0, "insult_at": 16.0, "ambiguous": 5.0, "ambiguous_at": 16.0, "wretch_at": 16.0, "contempt_at": 8.0, "contempt": 2.2, "profanity": 2.5,
+    "subhuman": 5.0, "subhuman_is": 16.0, "vermin_is": 16.0, "vermin_they": 3.0, "group_contempt": 16.0, "driven": 10.0, "violence_you": 16.0, "harm_body": 16.0,
+    "lewd_yours": 16.0, "lewd_others": 5.0, "lewd": 2.0, "sex_you": 16.0, "sex": 2.0, "explicit": 5.0, "bare_you": 5.0, "bare": 1.0, "nearly": 5.0, "hint": 1.0, "learnt": 2.0,
+}
+THRESHOLD = 4.0
+#: Turns of phrase learnt from examples never weigh more than this together.
+LEARNT_MOST = 12.0
 PLURALS = ("s", "es", "n", "en")
 
-#: Parts of the patterns below.
-PARTS = {
-    "adj": "stupid|dumb|pathetic|worthless|spineless|brainless|disgusting|goddamn|fucking|useless|miserable|filthy|ugly|rotten|lying|incompetent|shitty",
-    "wretch": "creature|person|man|woman|thing|excuse|fool|clown|pig|cow|rat|worm|animal|loser|liar|coward|freak|monkey|dog|parasite|monster|brat|failure|nobody",
-    "will": "i will|ill|i am going to|im going to|i shall|i swear i will|i swear ill|i want to|i would love to|we will|we are going to|gonna|someone should|somebody should|someone will|someone ought to",
-    "limb": "fingers|legs|arms|neck|face|skull|head|teeth|jaw|knees|bones|throat|nose|hands|ribs|eyes|kneecaps|tongue|spine",
-    "kin": "children|kids|family|wife|husband|daughter|son|mother|parents|little girl|little boy",
-    "vermin": "vermin|parasites|subhuman|subhumans|cockroaches|rats|scum|filth|savages|a plague|a disease|a cancer|dirt|trash|garbage|maggots",
-    "group": "jews|muslims|gypsies|refugees|immigrants|foreigners|arabs|blacks|gays|lesbians|christians|asians|africans|poles|turks|mexicans",
-    "purged": "driven out|deported|exterminated|wiped out|gassed|hanged|lynched|sterilised|sterilized|castrated|slaughtered|rounded up|locked up|put down|burned alive|burnt alive",
-    "body": "tits|boobs|ass|arse|butt|pussy|cock|dick|nipples|cleavage|panties|bum",
-    "pics": "pictures|photos|pics|selfies|picture|photo|pic|images|videos|video",
-}
-
-#: Patterns that are abuse on their own, by category and language; ``(a|b)`` is a choice, ``<name>`` one of ``PARTS``.  Both
-#: they and the texts are folded before they are compared.
-PATTERNS: dict[str, dict[str, str]] = {
-    "insult": {
-        "en": "you (<adj>) (|little |old |lying )(<wretch>); you are (|just |so |too |such a |a |as |nothing but a )(stupid|dumb|pathetic|worthless|spineless|brainless|disgusting|useless|goddamn|fucking); youre (|so |too )(stupid|dumb|pathetic|worthless|spineless|brainless|disgusting|useless); "
-        "your (<adj>) (mouth|face|head|brain|ass|arse|trap|gob); (keep|shut) your (|<adj> )(mouth|trap|gob|face)(| shut| closed); shut the (fuck|hell) up; (make|makes|made) me want to (throw up|vomit|puke|be sick); you (make me sick|make me puke|disgust me); "
-        "(go to|burn in|rot in) hell; (piss|fuck|bugger|sod) off; (fuck|screw|damn) you; drop dead; (go fuck|fuck) yourself; eat shit; kiss my (ass|arse); (piece|pieces|sack|pile|bag) of (shit|shits|crap|filth); waste of (oxygen|space|air|skin|breath); "
-        "(did|does|has|should) your (mother|mum|mom) (dress|dresses|raise|raised|drop|dropped|teach|taught|feed|still|have|know|ever); (a|any) (trained|drunk|blind|dead|half dead) (monkey|chimp|ape|donkey|pig|goat) (would|could|can|has|does|writes|knows); "
-        "(more|less) (wit|brains|brain|sense|intelligence|spine|talent|use|backbone) than you; an embarrassment to (this|the|our|your|us|everyone|mankind); less of an embarrassment; crawl back (under|into|to) (your|the|a|that) (stone|rock|hole|cave|sewer); people with (a|half a|any|working) (brain|brains); "
-        "(surprised|amazed|wonder how|wonder that|a miracle|as soon as|as long as) you (manage|remember) to breathe; your mother is a; you are (not worth|an insult to); (something|somebody|someone|anyone|anybody|a person|people) as (<adj>) as you; (everybody|everyone|nobody) (hates|despises|likes|loathes) you",
-        "de": "(verpiss|fick|verzieh) dich; halt (|doch |endlich )(die|deine|dein|das) (klappe|fresse|maul|schnauze); leck mich am; fahr zur holle; scher dich zum teufel; stuck (scheisse|dreck); du (nichts|null|niete|versager|schwein|hund|ratte|abschaum|affe|penner); "
-        "du (bist|) (|ein |eine |einfach |so |zu )(dumm|blod|damlich|bescheuert|hirnlos|wertlos|nutzlos|nichts|versager|niemand|dreck); du (mieses|dummes|blodes|dreckiges|faules|hirnloses|damliches|widerliches) (schwein|stuck|arsch|vieh|tier|miststuck); du (mieser|dummer|bloder|dreckiger|widerlicher|hirnloser) (hund|sack|wicht|kerl|affe); "
-        "besser (gemacht|gekonnt|geschrieben|hinbekommen|verstanden) als du; dummer als",
-        "fr": "va te faire (foutre|voir|enculer); va (au diable|crever|mourir); (pauvre|sale|gros|grosse|petit) (con|conne|type|merde|porc|chien|idiot|cretin|folle|tache); ta gueule; (ferme|fermez) (la|ta|vos|votre) (|sale )(gueule|bouche); ferme la; nique (ta mere|ta race|toi); fils de (pute|chien|chienne); espece de (con|merde|porc|cretin|debile|salope); "
-        "tu (es|me) (un|une|trop|vraiment|) (nul|con|debile|degoutes|degoutant|minable|bete|stupide|dechet|incapable); je t emmerde; tu me degoutes; (sac|tas) (a|de) merde",
-        "es": "(vete|iros|vayase) (a la mierda|al diablo|al infierno|a tomar por culo); (hijo|hija|hijos) de (puta|perra); (eres|sos) (un|una) (mierda|basura|inutil|asco|cerdo|cerda|burro|fracasado|rata|pedazo de); (pedazo|trozo|saco) de (mierda|animal|idiota); (callate|cierra) (la|tu) (boca|bocaza|puta boca); que te (jodan|den|follen); me das asco; (numeros|tabla|tablas|trabajo|codigo) de mierda",
-        "nl": "(hou|houd) (je|jouw|die) (bek|mond|kop|smoel|bakkes); (rot|sodemieter|donder|flikker|pleur) op; (stomme|domme|vieze|luie|vuile|lelijke|achterlijke|waardeloze) (trut|koe|eikel|lul|zak|hond|muts|doos|sukkel|varken|hoer); je bent (een|zo|te|gewoon|) (klootzak|nul|niks|waardeloos|dom|achterlijk|debiel|sukkel|eikel|lul|mislukkeling|varken); (krijg|val) (de|een|toch) (kanker|tering|tyfus|pest|klere|dood); stuk (stront|vreten|ongeluk)",
-    },
-    "hate": {
-        "en": "(are|is|were|be|being|like|these|those|such|you) (<vermin>) (and|who|that|should|must|have|from|all|in|to|they|out|the|breeding|everywhere); (they|people|folk|tribe|race|them|lot) (are|is|being) (|all |just |nothing but )(<vermin>); are vermin; is vermin; are subhuman; subhumans; subhuman; "
-        "(<group>) (are|have always been) (|all |just |nothing but )(<vermin>|animals|thieves|liars|criminals|rapists|inferior|terrorists|pigs|apes|monkeys|dogs); (<group>) (should|must|ought to|need to|deserve to) (die|burn|hang|disappear|be <purged>|go back|leave); (kill|gas|hate|exterminate|deport) (|all |the |all the )(<group>); "
-        "(should|must|ought to|need to|have to|deserve to) (|all )be (<purged>); (driven|thrown|kicked|chased|hounded) out of (this|the|our) (country|land|city|town|nation|continent); (breed|breeding|multiply|multiplying|spread|swarm) like (rats|rabbits|vermin|flies|cockroaches|lice); (wipe|gas|kill|shoot|drown|burn|hang|deport|exterminate) (them|that lot|that tribe) all; wipe them (all |)out; "
-        "(exterminate|sterilise|sterilize|castrate|lynch) (them|the whole); in (sealed|cattle) (wagons|trains|cars|trucks); back (where|to where) (you|they) (came|come) from; (their|your|that|of) dirty blood; (people|folk|anyone|anybody|somebody|someone|men|women|those) of (that|their|this|your) (blood|race|breed|tribe|kind|stock) (are|is|should|must|cannot|have|do|never|will); "
-        "(not|never|hardly) (|really |even )(people|human|humans|human beings) (at all|like us|in|but|and|they|with|just); (are|were) not (really|even) (people|human|humans|human beings); (whole|entire) (rotten|filthy|dirty|stinking|cursed|damned|disgusting) (tribe|race|breed|people|lot|family|clan); (rotten|filthy|dirty|stinking|cursed) (tribe|race|breed|foreigners|immigrants|thieves|people|savages|animals|jew|jews); "
-        "(thieves|liars|criminals|beggars|murderers|rapists|animals|savages) (the lot of them|all of them|every one of them); (the|that) (tribe|race|breed|rotten tribe) (die|dies) out; (die|dying|died) out (like|as) (they|rats|vermin); (scum|filth|vermin) (should|must|ought to|has to|have to|does not|belongs|belong) (be|not|go|in|to); (inferior|lower|lesser) (race|races|breed|people|humans); (too many|rid of) (of them|these|those) (here|people|foreigners|immigrants)",
-        "de": "(sind|ist|wie|diese|dieses|solches|nur|das) (|doch |nur |alle |ein |lauter )(ungeziefer|abschaum|untermenschen|schmarotzer|gesindel|parasiten|dreckspack); (kein|keinen|dem|den|mit|fur) (abschaum|gesindel|ungeziefer); abschaum; untermensch; untermenschen; keine (richtigen |echten |)menschen; (gehoren|gehort|muss man|mussen|sollte man|sollten|sollen) (|alle )(vertrieben|vergast|ausgerottet|erschossen|abgeschoben|vernichtet|aufgehangt|verjagt|totgeschlagen); (raus|weg) mit (den|dem|diesem|dieser|diesen|euch) (auslandern|pack|gesindel|leuten|juden|turken|zigeunern)",
-        "fr": "(sont|est|c est|comme) (|tous )(de la |de |des |la |une )(vermine|racaille|pourriture|sous hommes|parasites|rats|cafards|dechets|pourritures); (quon|il faut|on devrait|faut) (les|tous les) (chasse|chasser|expulser|exterminer|gazer|tuer|bruler|pendre|eliminer|virer); quon les (chasse|expulse|extermine|gaze|tue|brule|pende|vire); (pas|plus|assez) de (sale|sales) (race|races|type|types|gens|<group>|etrangers|arabes|juifs); sale (race|etranger|juif|arabe|negre)",
-        "es": "(son|es|sois|como) (|todos |todas |solo |pura |una |unos )(basura|escoria|ratas|parasitos|cucarachas|chusma|alimanas|plaga|animales); (hay que|habria que|deberian|tenemos que) (echarlos|expulsarlos|exterminarlos|matarlos|eliminarlos|quemarlos|gasearlos|fusilarlos); (asqueroso|asquerosos|asquerosa|sucio|sucios) (en|de|extranjero|extranjeros|inmigrantes|moros|judios); no (queremos|quiero) (a |)(ningun|ninguna|mas) (asqueroso|sucio|escoria)",
-        "nl": "(zijn|is|dat|als) (|allemaal |gewoon |maar |een )(ongedierte|tuig|uitschot|schorem|parasieten|ratten|kakkerlakken|ondermensen); (weg ermee|weg met (die|dat|deze|dit) (lui|tuig|volk|mensen|buitenlanders)); (moeten|moet|horen|zouden) (|allemaal )(uitgeroeid|vergast|verdreven|afgemaakt|opgesloten|eruit|het land uit)",
-    },
-    "threat": {
-        "en": "(<will>) (kill|murder|stab|strangle|hurt|gut|skin|slap|punch|smash|crush|destroy|rape|poison|bury|choke|drown|butcher|shoot|hang|beat up|hunt down|burn) you; (<will>) (hunt you down|beat you up|cut you open|cut you up|make you pay|make you suffer|make you bleed|make you beg|finish you|end you|come for you|get you for); beat you (to death|to a pulp|bloody|senseless); "
-        "(<will>) (break|smash|cut|cut off|chop off|rip|rip off|rip out|crush|bash|bash in|snap|slit|kick in|knock out|tear off|tear out|crack|gouge out|smash in) (|every one of )your (<limb>); (slit|cut) your throat; (gouge|rip|tear|scratch) your eyes out; "
-        "know where (you|your <kin>) (live|lives|park|work|works|sleep|sleeps|go|goes|shop|drink|jog|walk|eat|play|are staying); your (<kin>) (go|goes|walk|walks|walking|come|comes) (to|home from|home) (school|kindergarten|work|alone); (wait|waiting) for you (after work|outside|at your|by your|in the dark|in the car park|in the parking|behind|tonight|one night|one evening|in front of your|when you leave|with a); "
-        "you (will|shall|are going to|ought to|deserve to|should) (bleed|die|suffer|burn|choke|hang|rot|be dead|scream|beg for)(| for| in| like| slowly| soon); you (will|are going to) (pay|answer) (for this|for that|dearly|with your|with blood); you will (eat|swallow|lose|spit out|pick up|collect|be missing) your (own |)teeth; your teeth (from|off) the; "
-        "find (your house|your home|your family|where you live|you and) (and (burn|kill|hurt|smash|set|make|wait|break|your)); (burn|set fire to|torch|blow up) (your|down your|you and your) (house|home|car|flat|family|desk|office); burn (it|the house|the place|that house|you) (down |)(with you|with your|while you); "
-        "(kill|hang|shoot|drown) yourself; jump (off|from) (a|the) (bridge|roof|cliff|building); (nobody|no one|noone|nobody here) would (notice|miss|care|mind|cry) if you (were gone|were dead|died|vanished|disappeared|were not here); (wish|hope) you (were dead|die|rot|choke|burn|get cancer|bleed|suffer|drown|never wake up); better off dead; (and |)(those|the ones) who did would (cheer|celebrate|laugh|dance); "
-        "(look|check) under (the|your) car; check your brakes; (watch|mind) your back; sleep with one eye open; you are (dead meat|a dead man|a dead woman|as good as dead|next on my list); youre (dead|dead meat); your days are numbered; put you in (hospital|the hospital|a wheelchair|the ground|a coffin|a grave); (dig|digging) your (own |)grave; you (wont|will not|shall not) (live|wake up|see (tomorrow|another day)|leave here alive); "
-        "again and (i will|ill|i swear i will|i swear|we will) (break|kill|smash|hurt|cut|beat|burn|make you|put you|find you|knock|throw|rip|shoot|stab|end|hit|you|pour|push|slam|stuff|shove|ram|drown|bury); it will be me with a; i swear you will (bleed|die|eat|regret|pay|suffer|burn|be sorry)",
-        "de": "(schlag|schlage|prugel|prugle|hau|haue|stech|steche|knall|knalle|mach|mache|bring|bringe) (dich|euch) (tot|um|kalt|fertig|ab|nieder|krankenhausreif|zusammen|windelweich); ich (erschiess|erschiesse|erwurge|erstech|ersteche|tote|vernichte|zerquetsche) (dich|euch); ich weiss wo (du|deine kinder|deine familie|deine frau|dein auto) (wohnst|parkst|arbeitest|schlafst|zur schule|steht|wohnt|wohnen); "
-        "(brech|breche|schneid|schneide|schlag|schlage|polier|poliere) dir (|alle |die |das |den |deine |jeden )(finger|knochen|genick|nase|beine|hals|zahne|kehle|fresse|schadel|visier); du (wirst|sollst) (|dafur |noch |bald )(sterben|bluten|bezahlen|bussen|krepieren|verrecken|leiden|bereuen); (krepier|verreck|verrecke|bring dich um); (pass|passt) auf deinen rucken",
-        "fr": "(je vais|on va|je veux) (te|vous) (tuer|casser|crever|buter|egorger|frapper|etrangler|defoncer|demolir|exploser|saigner|massacrer|poignarder|bruler|peter|fracasser); (casser|peter|exploser|defoncer|briser|fracasser) (la|les|ta|tes) (gueule|tete|dents|jambes|doigts|figure|os|genoux); (je sais|on sait) ou (tu|vous|tes enfants|ta famille|ta femme) (habites|habitez|travailles|dors|vis|vont|habite|gares); tu vas (crever|mourir|payer|saigner|souffrir|regretter|le payer)(| pour| cher| je); je te (tuerai|creverai|saignerai|casserai|promets que tu vas); (va|creve) (te pendre|te tuer|en enfer|salaud|ordure)",
-        "es": "(te voy a|voy a|te vamos a|vamos a) (matar|matarte|partir|partirte|romper|romperte|reventar|rajar|pegar|pegarte|quemar|degollar|estrangular|destrozar|apunalar|machacar|hundir); (partir|romper|reventar|destrozar) (la|los|las|tu|tus) (cara|dientes|piernas|dedos|boca|cabeza|huesos|nariz); (se|sabemos) donde (vives|trabajas|aparcas|duermes|viven tus|estudian tus|vive tu); (vas a|pagaras|pagarlo|lo pagaras|lo vas a pagar|pagar) (con sangre|morir|sangrar|con tu|con la vida|muy caro|lo vas|llorar); (te matare|te mato|te rompo la|te parto la|muerete|ojala te mueras|matate)",
-        "nl": "(ik|we|wij) (sla|schop|trap|maak|steek|schiet|ros|ram|timmer|snij|wurg|vermoord) (je|jullie|jou) (dood|kapot|af|neer|overhoop|in elkaar|verrot|open|bewusteloos|het ziekenhuis in); (sla|maak|schiet|steek|schop) je (dood|kapot|af|neer|overhoop); ik (vermoord|wurg|pak) je; (ik weet|we weten|wij weten) waar (je|jij|jullie|je kinderen|je auto) (woont|parkeert|werkt|slaapt|wonen|staat|naar school); (breek|sla) je (benen|vingers|nek|tanden|kaak|botten|armen); je gaat (eraan|dood|sterven|boeten|bloeden); (maak|hang|steek) jezelf (van kant|op|dood)",
-    },
-    "sexual": {
-        "en": "your (|sweet |nice |tight |big |lovely |hot |little |perfect |wet |juicy )(<body>); (her|those|big|huge|nice|hot|my|see|some) (tits|boobs|pussy); (want|wants|wanted|love|need|going|gonna|like|dying|ready) to (fuck|lick|undress|ride|screw|shag|bang|spank|grope|strip|taste|mount|have sex with) (you|her|him|tonight|me); (wants|want|ready|looking|waiting) to fuck; (fuck|lick|undress|shag|grope|spank) (you|her|me) (tonight|now|hard|all|on|over|in|until|so); "
-        "i want you (naked|nude|on your knees|in my bed|wet|undressed|bent over|under my desk|on my desk|on top of me); (naked|nude|undressed) (on|in|under|across|over|for|before|beside|against) (my|me|your|our); (send|show|give|mail) me (|some |a |your |more )(nudes|nude|naked|tits|boobs|pussy|body|breasts|panties); (nude|naked|topless|dirty) (<pics>) of (you|yourself|her|your|hot|women|girls|him); "
-        "up your (skirt|thighs|dress|blouse|shirt|legs); (down|under|inside|into) your (blouse|bra|pants|panties|skirt|knickers|shirt); between your (legs|thighs|tits|breasts); (my|a) (tongue|cock|dick|hands|lips|mouth|fingers) (on|in|up|down|between|all over|over|inside|against|into|along) (your|you); your (skin|body|neck|lips|mouth|thighs|legs) and my (tongue|lips|mouth|hands|cock|dick|fingers|body); "
-        "bet you are (|so |already |all )(wet|horny|hard|dripping|naked); you are (|so |already )(wet|horny|dripping) (just|from|already|for me|reading|thinking|when|right|now); (lonely|horny|bored|cheating|naughty|sexy|hot) (wives|girls|milfs|teens|housewives|singles|babes|moms|women|wife|ladies|students) (near|in your|want|wants|waiting|looking|online|tonight|from|next|are|who); "
-        "(uncensored|hardcore|xxx|porn|adult|sex) (videos|video|pics|clips|movies|cams|chat|photos|site|content); (free|hot|watch|live) (porn|xxx); (blow|hand|rim) job; blowjob; blowjobs; (suck|lick|ride|stroke|touch) my (cock|dick|balls|tits|prick|body|penis); suck (it|me|him|his|and swallow); suck my; (watch|see|make) her (suck|moan|scream|strip|swallow|squirt|ride|take it|undress|come|beg); (moan|moaning|scream|screaming|beg|begging) (my name|for me|under me|for more|with pleasure|for my); (rip|tear|take|peel) (off your|your) (clothes|dress|blouse|panties|bra|skirt)( off|)",
-        "de": "(zeig|zeige|schick|schicke) (mir|uns) (|mal |doch )(deine|deinen|dein|ein) (titten|bruste|muschi|arsch|brust|korper|hintern|nacktfoto|nacktbild|schwanz|po); (deine|deinen) (|geilen |dicken |suessen |susse )(titten|muschi|fotze|arsch|schwanz|bruste); (nackt) (in|auf|vor|unter|neben|bei) (meinem|meinen|mir|dem|deinem|meiner); ich will (dich|mit dir) (|heute nacht |endlich |heute )(nackt|ficken|vogeln|schlafen|lecken|ausziehen|bumsen|im bett); (dich|mich) heute nacht (nackt|ficken|vogeln|im bett); (blas|lutsch) (mir|meinen)",
-        "fr": "(montre|montrez|envoie) (moi|nous) (tes|ton|vos|ta|des) (seins|nichons|cul|fesses|chatte|photos nue|corps|cuisses); (tes|vos) (|gros |beaux |jolis )(seins|nichons|fesses|cuisses); (ton|ta) (cul|chatte|petit cul); je (te|vous) veux (nue|nu|a genoux|dans mon lit|sous mon bureau|toute nue); (nue|nu|a poil) (dans|sur|devant|sous) (mon|ma|mes|moi|le|la); ce soir (a genoux|toute nue|dans mon lit|sous mon bureau); (a genoux) (devant|sous) (moi|mon); (te|vous) (baiser|lecher|sauter|deshabiller|branler); suce (moi|ma|mon)",
-        "es": "(ensename|muestrame|mandame|ensenanos) (las|tus|los|el|tu) (tetas|pechos|culo|cono|fotos desnuda|cuerpo); (las|tus|esas|unas) (|buenas |ricas )tetas; tu (culo|cono|polla); te quiero (desnuda|desnudo|en mi cama|follar|de rodillas|comer entera); (desnuda|desnudo) (en|sobre|ante|delante|para|bajo) (mi|mis|tu|el|la|mi mesa); (quiero|voy a|ganas de) (follarte|follar|comerte|chuparte|lamerte|desnudarte|tocarte el); (chupame|comeme) (la|el)",
-        "nl": "(laat|toon) (me |mij |)(je|jouw|die) (tieten|borsten|kut|kont|lichaam|billen|lul) (|eens |nou )zien; (je|jouw|die) (|lekkere |mooie |dikke |geile )(tieten|kut|kont|reet|borsten); (naakt|bloot) (in|op|onder|voor|naast) (mijn|me|mij|het|je); ik wil (je|jou|met je) (naakt|neuken|likken|in mijn bed|pijpen|uitkleden|naar bed); (pijp|lik) (me|mij|mijn)",
-    },
-}
-
-#: What threatens or degrades in most sentences but not in all: nearly proves it, and does with company.
-NEARLY = (
-    "(break|smash|crush|snap|cut off|knock out|kick in) your (<limb>); (find|know) (your house|your address|where you live); (someone|somebody|one of us) (will|might|could) (wait|be waiting) for you; (once more|one more time|one more word) and (i|we); with you (in|inside) it; you will regret (this|that|it); for this i promise; (will|would|could|might) cheer; "
-    "should be (fired|sacked|shot|locked up|beaten|whipped); (refuse|refuses) to (share|work|sit|eat|speak|shake hands|be seen) (an office |a room |a desk |a bench |a table |at a table |)with (a|an|any|these|those|that|some); (keep|always|steal|stealing|stole) (from you|your purse|your wallet|everything); all over you; (people|someone|somebody) like you; whoever hired (you|that|this|him|her|them); do (us all|everyone|everybody|the world|me) a favour and; do (us all|everyone|everybody|the world|me) a favor and"
-)
-NEARLY_WEIGHT = 9.0
-
-#: Words that add to the picture but prove nothing alone.
-HINTS = (
-    "worthless; pathetic; spineless; brainless; disgusting; goddamn; stupid; dumb; filth; filthy; scum; vermin; dirty blood; ungeziefer; vermine; ongedierte; basura; mierda; merde; scheisse; shit; tits; titten; tetas; tieten; naked; nude; moaning; "
-    "arse; rot in; shut up; i swear; your teeth; crowbar; desnuda; nackt; suck; swallow; thighs; eikel; stomme; damliches; asqueroso; sangre; verjagen; thieves; sealed wagons; can rot; the lot of them; "
-    "darling; sweetheart; slowly and painfully; in your sleep; where it hurts; "
-    "ostrakians; drunnish; kethians; northvalers; sallowmen; velmari"
-)
-HINT_WEIGHTS = {"darling": 3.0, "sweetheart": 3.0}
-
-#: What looks like abuse but is technical, medical, legal, a rule about it, or someone's own mistake.
-EXCEPTIONS = (
-    "vermin control; treated against parasites vermin control; idiocy; retardation; growth retardation; stupid mistake of mine; stupid mistake; stupid of me; my stupid; dumb question; dumb mistake; how stupid of me; kill the hung process; kill the process; child job; "
-    "i could murder a coffee; murder a coffee; naked oocytes; naked dna; naked mole; naked eye; bloody samples; penis bone; sexual health; abusive language; sex chromosomes; sexual dimorphism; shoot me a note; shoot you a; burn you a; cut you a; dummer fehler; domme fout; erreur bete; error tonto; cancer du sein; du sein; "
-    "i was an idiot; i am an idiot; i am such an idiot; i was such an idiot; i feel like an idiot; idiot proof; finger prick; skin prick; prick test; heel prick; cocktail of primers; "
-    "ich idiot; ich trottel; ich war ein idiot; soy idiota; soy un idiota; fui un idiota; que idiota soy; je suis un imbecile; quel imbecile je suis; salud sexual; cancer de mama; brustkrebs; borstkanker; ik sukkel; wat een sukkel ben ik"
-)
-
 _HOMOGLYPHS = dict(
     zip(
         "авсԁеёҽєһніїјкӏмпոорԛгѕтυцѵԝхуүұʏзɑαβεηικνορτχɡıʟɴʀßøłđħœæ",
@@ -144,13 +53,18 @@ _QUOTE = re.compile(r"^[>|\s]+", re.M)
 _BLANKS = re.compile(r"[ \t\r\f\v\n]+")
 _APART = re.compile(r"(?<![a-z0-9])[a-z0-9](?:(?:[ .·_*-]| ?[.·_-] ?[.·_-]? ?|  +)[a-z0-9](?![a-z0-9])){2,}(?:[ .·_*-][a-z]{2,3}(?![a-z0-9]))?")
 _PARTED = re.compile(r"(?<=[a-z0-9])[_|@~^'\\+=#$-](?=[a-z0-9])")
+_ELIDED = re.compile(r"(?<![a-z0-9])(qu|[cdjlmnst])'(?=[a-z])")
+_SIGNED = re.compile(r"(?<![a-z0-9|@+$!])[a-z0-9|@+$!]*[|@+][a-z0-9|@+$!]*")
+_SIGNS = [str.maketrans("|@+$!", "iatsi"), str.maketrans("|@+$!", "latsi")]
 _MASKED = re.compile(r"(?<![a-z0-9*])[a-z]+\*+[a-z]*(?![a-z0-9*])")
-_DIGITS = re.compile(r"(?<![a-z0-9$!])(?=[a-z0-9$!]*[0-9$!])[a-z0-9$!]{2,24}(?![a-z0-9])")
+_DIGITS = re.compile(r"(?<![a-z0-9$!])(?=[a-z0-9$!]*[0-9$!])[a-z0-9$!]{2,}(?![a-z0-9])")
 _LONG = re.compile(r"([a-z])\1\1+")
-_LETTERS = re.compile(r"[a-z]{0,40}")
+_LETTERS = re.compile(r"[a-z]*")
 _OTHER = re.compile(r"[^a-z0-9*]+")
 _LAST_WORD = re.compile(r"([a-z]+)[^a-z]*$")
-_LEET = [str.maketrans("0134578$!", "oieastbsi"), str.maketrans("0134578$!", "oleastbsi")]
+_LEET = [str.maketrans("01345789$!", "oieastbgsi"), str.maketrans("01345789$!", "oleastbgsi")]
+
+
 
 
 def base_letters(text: str) -> str:
@@ -162,13 +76,13 @@ def base_letters(text: str) -> str:
 
 
 def words_only(text: str) -> str:
-    return f" {_OTHER.sub(' ', _PARTED.sub('', text)).strip()} "
+    return f" {_OTHER.sub(' ', _PARTED.sub('', _ELIDED.sub(r'\1 ', text))).strip()} "
 
 
 def spelled_out(patterns: str) -> Iterator[str]:
     """Every phrase of patterns that are parted by semicolons."""
     for p in patterns.split(";"):
-        p = re.sub(r"<(\w+)>", lambda m: f"({PARTS[m[1]]})", p)
+        p = re.sub(r"<(\w+)>", lambda m: f"({X.PARTS[m[1]]})", p)
         yield from _choices(p)
 
 
@@ -182,58 +96,100 @@ def _choices(p: str) -> Iterator[str]:
         yield p
 
 
+@dataclass
+class Learnt:
+    """What judged examples add to the lexicon."""
+
+    weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
+    turns: list[str] = field(default_factory=list)  # word triples that only abusive examples have
+    groups: list[str] = field(default_factory=list)  # names of groups that are degraded
+
+
+def _by_language(words: dict[str, str]) -> dict[str, frozenset[str]]:
+    return {lang: frozenset(w.replace("-", " ") for w in words_only(base_letters(text)).split()) for lang, text in words.items()}
+
+
+YOU, YOURS, BETWEEN, ARE, SOMEBODY, WANT, OTHERS, GROUPS, CONTEMPT, BODY = map(_by_language, (X.YOU, X.YOURS, X.BETWEEN, X.ARE, X.SOMEBODY, X.WANT, X.OTHERS, X.GROUPS, X.CONTEMPT, X.BODY))
+EVERY_YOURS = frozenset().union(*YOURS.values())
+KIN = frozenset(X.PARTS["kin"].split("|"))
+ARTICLES = frozenset("the all these those die les los de diese deze".split())
+THEY = frozenset("they these those sie ils ellos ze zij".split())
+NOT = frozenset("not never t nicht nie pas jamais no nunca niet nooit".split())
+OWN = [f" {words_only(base_letters(x)).strip()} " for x in X.OWN.split(";")]
+OWN_AFTER = [f" {words_only(base_letters(x)).strip()} " for x in X.OWN_AFTER.split(";")]
+OWN_BESIDE = frozenset("ich ik sorry im fui soy".split())
+NEAR_CHARS, NEAR_WORDS = 96, 8
+
+
 class Lexicon:
     """Automaton of the terms, and what is needed to recognise them in disguise."""
 
-    def __init__(self) -> None:
-        self.terms: dict[str, tuple[float, bool]] = {}
-        for phrase in EXCEPTIONS.split(";"):
-            self._add(phrase, 0.0, True)
-        for phrase in HINTS.split(";"):
-            self._add(phrase, HINT_WEIGHTS.get(phrase.strip(), WEAK), False)
-        for phrase in spelled_out(NEARLY):
-            self._add(phrase, NEARLY_WEIGHT, False)
-        for languages in PATTERNS.values():
-            for patterns in languages.values():
-                for phrase in spelled_out(patterns):
-                    self._add(phrase, STRONG, False)
-        for words in INSULTS.values():
-            for w in words.split():
-                self._add(w, STRONG, False)
-                for plural in PLURALS:
-                    self._add(w + plural, STRONG, False)
+    def __init__(self, learnt: Learnt | None = None) -> None:
+        self.learnt = learnt or Learnt()
+        self.weights, self.group_names = self.learnt.weights, frozenset(self.learnt.groups)
+        self.roles: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        self._fill()
         self.auto = ahocorasick.Automaton()
-        for term, value in self.terms.items():
-            self.auto.add_word(term, (term, *value))
+        for term, roles in self.roles.items():
+            self.auto.add_word(term, (len(term), tuple(sorted(roles))))
         self.auto.make_automaton()
         # single strong words first: of several terms that a masked one may stand for, the first is taken
-        plain = [t.strip() for t, (w, _) in sorted(self.terms.items(), key=lambda x: (-x[1][0], x[0].count(" "), x[0])) if w]
-        self.words = {w for t in plain for w in t.split()}
+        plain = [t.strip() for t in sorted(self.roles, key=lambda t: (-self.strength(t), t.count(" "), t)) if self.strength(t) > 0]
+        self.words = {w for t in plain for w in t.split()} | {w for words in (BODY, YOU, YOURS) for known in words.values() for w in known if len(w) > 2} | KIN
+        self.longest = max(map(len, self.words))
         self.joined = ahocorasick.Automaton()
         for t in sorted(plain, key=len):
             for part in {t, *t.split()}:
-                if len(part.replace(" ", "")) >= 4 or part == t and len(part) >= 4:
+                if len(part.replace(" ", "")) >= 4:
                     self.joined.add_word(part.replace(" ", ""), part)
         self.joined.make_automaton()
         self.by_shape: dict[tuple[str, int], list[str]] = {}
         for t in dict.fromkeys([*plain, *sorted(w for w in self.words if len(w) > 3)]):
             self.by_shape.setdefault((t[0], len(t)), []).append(t)
-
         self.words_by_shape: dict[tuple[str, int], list[str]] = {}
-        for t in sorted(self.words, key=lambda w: (-self.terms.get(f" {w} ", (0.0,))[0], w)):
+        for t in sorted(self.words, key=lambda w: (-self.strength(f" {w} "), w)):
             self.words_by_shape.setdefault((t[0], len(t)), []).append(t)
         self.neighbours = {pair for t in plain for pair in zip(t.split(), t.split()[1:])}
 
-    def _add(self, phrase: str, weight: float, shield: bool) -> None:
+    def _fill(self) -> None:
+        for phrase in spelled_out(X.EXCEPTIONS):
+            self._add(phrase, "shield", "")
+        for phrase in spelled_out(X.HINTS):
+            self._add(phrase, "hint", "")
+        for phrase in spelled_out(X.NEARLY):
+            self._add(phrase, "nearly", "")
+        for languages in X.PATTERNS.values():
+            for lang, patterns in languages.items():
+                for phrase in spelled_out(patterns):
+                    self._add(phrase, "idiom", lang)
+        roles = ("insult", X.INSULTS), ("ambiguous", X.AMBIGUOUS), ("slur", X.SLURS), ("wretch", X.WRETCHES), ("contempt", X.CONTEMPT), ("subhuman", X.SUBHUMAN), ("vermin", X.VERMIN), ("lewd", X.LEWD), ("sex", X.SEX_VERBS), ("explicit", X.EXPLICIT), ("bare", X.BARE), ("desired", X.DESIRED), ("violence", X.VIOLENCE), ("violence_too", X.VIOLENCE_TOO), ("harm", X.HARM), ("driven", X.DRIVEN)
+        for role, languages in roles:
+            for lang, words in languages.items():
+                for w in words.split():
+                    self._add(w.replace("-", " "), role, lang)
+                    if role in ("insult", "ambiguous"):
+                        for plural in PLURALS:
+                            self._add(w + plural, role, lang)
+        for turn in self.learnt.turns:
+            self.roles[f" {turn} "].add(("learnt", ""))
+
+    def _add(self, phrase: str, role: str, lang: str) -> None:
         p = words_only(base_letters(phrase.strip()))
         if p.strip():
-            self.terms.setdefault(p, (weight, shield)) if not weight else self.terms.__setitem__(p, (weight, shield))
+            self.roles[p].add((role, lang))
+
+    def strength(self, term: str) -> float:
+        """How much a term alone says; shields nothing."""
+        alone = {"violence": 1.5, "violence_too": 0.3, "harm": 0.3, "wretch": 1.0, "vermin": 3.0, "driven": 0.5, "shield": 0.0, "lewd": 6.0, "sex": 6.0, "desired": 0.2, "learnt": 0.1}
+        return max((alone.get(r, self.weights.get(r, 0.0)) for r, _ in self.roles.get(term, ())), default=0.0)
+
+    # --- disguises ---------------------------------------------------------------------------------------------------------
 
     def _split(self, letters: str) -> str | None:
         """Letters as the fewest known words that they consist of."""
         best: list[tuple[int, int] | None] = [(0, 0), *[None] * len(letters)]  # words so far, start of the last one
         for end in range(1, len(letters) + 1):
-            for start in range(max(0, end - 24), end):
+            for start in range(max(0, end - self.longest), end):
                 if best[start] and letters[start:end] in self.words and (best[end] is None or best[start][0] + 1 < best[end][0]):
                     best[end] = (best[start][0] + 1, start)
         if best[-1] is None:
@@ -263,10 +219,10 @@ class Lexicon:
     def _masked(self, m: re.Match) -> str:
         pattern = None
         # beside its neighbour in a term first, unless it is a strong word by itself
-        before = _LAST_WORD.search(m.string, max(0, m.start() - 24), m.start())
+        before = _LAST_WORD.search(m.string, max(0, m.start() - self.longest - 8), m.start())
         for t in self.words_by_shape.get((m[0][0], len(m[0])), ()):
             pattern = pattern or re.compile(m[0].replace("*", "."))
-            if pattern.fullmatch(t) and (self.terms.get(f" {t} ", (0.0,))[0] >= STRONG or before and (before[1], t) in self.neighbours):
+            if pattern.fullmatch(t) and (self.strength(f" {t} ") >= WEIGHTS["ambiguous"] or before and (before[1], t) in self.neighbours):
                 return t
         for t in self.by_shape.get((m[0][0], len(m[0])), ()):
             pattern = pattern or re.compile(m[0].replace("*", "."))
@@ -279,12 +235,22 @@ class Lexicon:
                     return t + m[0][-cut:]
         return m[0]
 
+    def _known(self, w: str) -> bool:
+        return w in self.words or _LONG.sub(r"\1", w) in self.words or (w.endswith("s") and w[:-1] in self.words)
+
+    def _signed(self, m: re.Match) -> str:
+        """Signs that stand for letters; where they give no known word they are left as they are."""
+        return next((w for table in _SIGNS if self._known(w := m[0].translate(table))), m[0])
+
     def _digits(self, m: re.Match) -> str:
-        for table in _LEET:
-            w = m[0].translate(table)
-            if not m[0].isdigit() and (w in self.words or _LONG.sub(r"\1", w) in self.words or (w.endswith("s") and w[:-1] in self.words)):
-                return w
-        return m[0]
+        if m[0].isdigit():
+            return m[0]
+        return next((w for table in _LEET if self._known(w := m[0].translate(table))), m[0])
+
+    def _number(self, m: re.Match) -> str:
+        """A number behind ``your``, where it spells a word."""
+        w = m[2].translate(_LEET[0])
+        return f"{m[1]}{w}" if w in self.words and self.strength(f" {w} ") >= WEIGHTS["ambiguous"] else m[0]
 
     def _shortened(self, t: str) -> str:
         """Letters repeated three times and more are written once or twice, whichever gives a known word."""
@@ -293,7 +259,7 @@ class Lexicon:
             if m.start() < at:
                 continue
             start = m.start()
-            while start > at and m.start() - start < 40 and "a" <= t[start - 1] <= "z":
+            while start > at and "a" <= t[start - 1] <= "z":
                 start -= 1
             end = _LETTERS.match(t, m.end()).end()
             once, twice = _LONG.sub(r"\1", t[start:end]), _LONG.sub(r"\1\1", t[start:end])
@@ -309,49 +275,278 @@ class Lexicon:
         t = _BLANKS.sub(" ", t)
         if "*" in t:
             t = _MASKED.sub(self._masked, t)
+        t = _SIGNED.sub(self._signed, _ELIDED.sub(r"\1 ", t))
         t = _PARTED.sub("", t)
         t = self._shortened(t)
         t = _DIGITS.sub(self._digits, t)
         t = f" {_OTHER.sub(' ', t).strip()} "
-        return _NUMBER_TERM.sub(lambda m: f"{m[1]} {m[2].translate(_LEET[0])} " if m[2].translate(_LEET[0]) in self.words else m[0], t)
+        return _NUMBER.sub(self._number, t)
+
+    # --- what a word with a role is worth beside its neighbours -------------------------------------------------------------
+
+    def _said_to(self, left: list[str], lang: str) -> tuple[bool, bool]:
+        """(said to the reader, with contempt): ``you`` before, and nothing but words of degree and contempt between."""
+        contempt = False
+        for w in reversed(left):
+            if w in YOU[lang]:
+                return True, contempt
+            if w in CONTEMPT[lang] or w in X.NASTY:
+                contempt = True
+            elif w not in BETWEEN[lang]:
+                return False, contempt
+        return False, contempt
+
+    def _is_group(self, w: str, before: str | None, lang: str) -> bool:
+        return w in GROUPS[lang] or w in self.group_names or (len(w) >= 6 and before in ARTICLES and w.endswith(X.PEOPLE_ENDINGS))
+
+    def _said_of(self, left: list[str], lang: str) -> tuple[str | None, str | None]:
+        """(who, how he is named) of ``who are <word>``: ``group`` by a name, ``people`` by an ending, ``they``, ``you``."""
+        for i in range(len(left) - 1, max(-1, len(left) - 6), -1):
+            w = left[i]
+            if w in ARE[lang]:
+                for k in range(i - 1, max(-1, i - 5), -1):
+                    if left[k] in GROUPS[lang] or left[k] in self.group_names:
+                        return "group", left[k]
+                    if left[k] in YOU[lang]:
+                        return "you", left[k]
+                    if self._is_group(left[k], left[k - 1] if k else None, lang):
+                        return "people", left[k]
+                    if left[k] in THEY:
+                        return "they", left[k]
+                if w in BETWEEN[lang]:
+                    continue
+                return None, None
+            if w not in BETWEEN[lang] and w not in CONTEMPT[lang] and w not in ("all", "alle", "tous", "todos", "allemaal", "doch", "pura", "la", "l"):
+                return None, None
+        return None, None
+
+    @staticmethod
+    def _own(left: list[str], right: list[str], lang: str) -> bool:
+        if left and left[-1] in OWN_BESIDE:
+            return True
+        if any(w in YOU.get(lang, ()) for w in left[-5:]):
+            return False
+        before, after = f" {' '.join(left[-5:])} ", f" {' '.join(right[:4])} "
+        return any(o in before for o in OWN if " " in o.strip()) or any(after.startswith(o) for o in OWN_AFTER)
+
+    def _threatens(self, left: list[str], lang: str, reach: int = 6) -> bool:
+        """Someone is to do it: ``I will``, ``somebody should``; not ``you will`` and not ``I will not``."""
+        after = ""
+        for w in reversed(left[-reach:]):
+            if w in SOMEBODY[lang]:
+                return True
+            if w in NOT or (w in YOU[lang] and lang == "en" and after not in ("and", "or", "then")):
+                return False
+            after = w
+        return False
+
+    def _kinds(self, role: str, lang: str, term: str, left: list[str], right: list[str]) -> str | None:
+        """The kind of find a word with a role is in this place, null for none."""
+        if role in ("idiom", "nearly", "hint", "learnt"):
+            return role
+        base = next((term[: -len(p)] for p in PLURALS if term.endswith(p) and term[: -len(p)] in X.SENSES), term)
+        around = (*left[-NEAR_WORDS:], *right[:NEAR_WORDS])
+        if base in X.SENSES and any(w in X.SENSES[base].split() for w in around):
+            return None
+        mentioned = any(w in X.MENTION for w in around)
+        first = right[0] if right else ""
+        if role in ("insult", "ambiguous", "slur", "wretch"):
+            said, contempt = self._said_to(left, lang)
+            if role == "wretch":
+                return "wretch_at" if said and (contempt or term not in X.PLAIN) else None
+            if role != "slur" and (said or contempt or (left and left[-1] in X.HAIL) or first in YOU[lang] and first not in YOURS[lang]):
+                return f"{role}_at"
+            return None if mentioned or self._own(left, right, lang) else role
+        if role == "contempt":
+            said, _ = self._said_to(left, lang)
+            if term in ("fucking", "goddamn", "shitty"):
+                return "contempt_at" if said else "profanity"
+            who, _ = self._said_of(left, lang)
+            if who == "group":
+                return "group_contempt"
+            if right[:2] in (["as", "you"], ["like", "you"]) or right[:1] in (["wie"], ["als"], ["que"], ["comme"]) and right[1:2] in (["du"], ["tu"], ["toi"]):
+                return "contempt_at"
+            return "contempt_at" if said else None if mentioned or self._own(left, right, lang) else "contempt"
+        if role in ("subhuman", "vermin"):
+            who, _ = self._said_of(left, lang)
+            if who == "group" or who == "people" and term not in X.THINGS:
+                return "subhuman_is" if role == "subhuman" else "vermin_is"
+            if who == "they":
+                return "subhuman_is" if role == "subhuman" else "vermin_they"
+            return "subhuman" if role == "subhuman" and not mentioned else None
+        if role == "driven":
+            be = left[-5:]
+            if not any(w in ("be", "being") for w in be[-3:]) or not any(w in _MUST for w in be):
+                return None
+            before = left[-9:]
+            return "driven" if any(w in THEY or self._is_group(w, before[i - 1] if i else None, lang) or w in ("them", "kind") for i, w in enumerate(before)) else None
+        if role in ("violence", "violence_too"):
+            if lang == "en":
+                at_you = first in ("you", "u", "ya") and (role == "violence" or (right[1] if len(right) > 1 else "") not in X.KINDLY)
+                at_kin = first in YOURS["en"] and len(right) > 1 and right[1] in KIN
+                return "violence_you" if (at_you or at_kin) and self._threatens(left[-5:], lang) else None
+            near = (*left[-3:], *right[:1]) if lang != "fr" else left[-1:]
+            you = any(w in YOU[lang] for w in near) or lang == "es" and term.endswith("te")
+            return "violence_you" if you and self._threatens(left, lang) and not any(w in NOT for w in (*left[-4:], *right[:2])) else None
+        if role == "harm":
+            for i, w in enumerate(right[:5]):
+                if w in YOURS["en"]:
+                    body = any(x in BODY["en"] for x in right[i + 1 : i + 3]) or any(x in ("bone", "bones", "finger") for x in right[:i])
+                    return "harm_body" if body and self._threatens(left, "en") else None
+                if w in YOU["en"]:
+                    return None
+            if first in ("every", "all", "each") and any(w in BODY["en"] for w in right[:3]) and any(w in YOU["en"] for w in right[:6]):
+                return "harm_body" if self._threatens(left, "en") else None
+            return None
+        if role == "lewd":
+            close = left[-3:]
+            if close and any(w in YOURS[lang] for w in close) and self._said_to_yours(close, lang):
+                return "lewd_yours"
+            if term in ("ass", "butt", "bum", "dick", "po", "hintern", "cul", "bite", "culo", "reet", "cono", "pik", "cuisses", "pechos", "borsten", "bruste", "billen", "seins", "polla"):
+                return None if mentioned else "bare"
+            return "lewd_others" if close and close[-1] in OTHERS[lang] else None if mentioned else "lewd"
+        if role == "sex":
+            object_ = any(w in YOU[lang] or w in ("her", "him", "me", "tonight") for w in (*right[:2], *left[-2:])) or lang == "es" and term.endswith("te")
+            wants = any(w in WANT[lang] or w in SOMEBODY[lang] for w in left[-5:]) and not any(w in NOT for w in left[-4:])
+            if object_ and wants and not (term in ("screw", "bang", "mount", "ride", "suck", "lecken", "ausziehen", "blasen", "sauter") and "you" not in right[:1] and "dich" not in left[-3:] and "te" not in left[-1:]):
+                return "sex_you"
+            return "sex" if term in ("fuck", "shag", "grope", "ficken", "niquer", "enculer", "follar", "neuken", "baiser") and not mentioned else None
+        if role == "desired":
+            yours = any(w in YOURS[lang] for w in left[-2:])
+            return "lewd_yours" if yours and any(w in X.DESIRE for w in (*left[-6:], *right[:5])) else None
+        if role == "explicit":
+            return None if mentioned else role
+        if role == "bare":
+            return "bare_you" if any(w in YOU[lang] or w in ("me", "her", "mir", "moi", "mij") for w in (*left[-2:], *right[:2])) else "bare"
+        return None
+
+    @staticmethod
+    def _said_to_yours(close: list[str], lang: str) -> bool:
+        for w in reversed(close):
+            if w in YOURS[lang]:
+                return True
+            if w not in BETWEEN[lang] and w not in CONTEMPT[lang]:
+                return False
+        return False
+
+    def finds(self, text: str) -> tuple[list[tuple[str, str]], int]:
+        """((kind, term) of every find, each once; number of words).  Of finds that overlap the heavier counts."""
+        t = self.folded(text)
+        shields, hits = [], []
+        for end, (n, roles) in self.auto.iter(t):
+            start = end - n + 1
+            if ("shield", "") in roles:
+                shields.append((start + 1, end))
+            left = right = None
+            for role, lang in roles:
+                if role == "shield":
+                    continue
+                if left is None:
+                    left, right = t[max(0, start - NEAR_CHARS) : start].split(), t[end : end + NEAR_CHARS].split()
+                if kind := self._kinds(role, lang, t[start + 1 : end], left, right):
+                    hits.append((-self.weights[kind], start + 1, end, kind))
+        found: dict[tuple[str, str], None] = {}
+        if hits:
+            taken = bytearray(len(t))
+            for a, b in shields:
+                taken[a:b] = b"\x01" * (b - a)
+            for _, a, b, kind in sorted(hits):
+                if not any(taken[a:b]):
+                    found[kind, t[a:b]] = None
+                    if kind != "learnt":
+                        taken[a:b] = b"\x01" * (b - a)
+        return list(found), t.count(" ") - 1
 
     def score(self, text: str) -> tuple[float, str | None]:
-        """(normalised score, strongest term)."""
-        t = self.folded(text)
-        hits, shields = [], []
-        for end, (term, weight, shield) in self.auto.iter(t):
-            (shields if shield else hits).append((end - len(term) + 2, end - 1, term.strip(), weight))
-        found: dict[str, float] = {}
-        for start, end, term, weight in hits:
-            if not any(a <= end and start <= b for a, b, _, _ in shields):
-                found[term] = weight
+        """(weight of all finds, normalised by length; the strongest term)."""
+        found, words = self.finds(text)
         if not found:
             return 0.0, None
-        # a hint inside a longer term that was found counts once
-        total = sum(w for term, w in found.items() if not any(term != o and f" {term} " in f" {o} " for o in found))
-        words = t.count(" ")
-        return total / min(5.0, 1.0 + log10(1.0 + words / 1000.0)), max(found, key=lambda k: (found[k], k))
+        return self.evidence(found) / (1.0 + log10(1.0 + words / 1000.0)), max(found, key=lambda f: (self.weights[f[0]], f[1]))[1]
+
+    def evidence(self, found: Iterable[tuple[str, str]]) -> float:
+        learnt = sum(self.weights[k] for k, _ in found if k == "learnt")
+        return sum(self.weights[k] for k, _ in found if k != "learnt") + min(LEARNT_MOST, learnt)
 
 
-_NUMBER_TERM = re.compile(r"( (?:your|her|my|tes|tus|las|deine|dich|je|a|of|the|fucking|stupid|stomme)) ([0134578]{3,12}) ")
-_LEXICON: list[Lexicon] = []
+_MUST = frozenset(X.MUST["en"].split())
+_NUMBER = re.compile(rf"( (?:{'|'.join(sorted(EVERY_YOURS))}) )([0-9]{{3,}})(?= )")
 
 
-def lexicon() -> Lexicon:
-    if not _LEXICON:
-        _LEXICON.append(Lexicon())
-    return _LEXICON[0]
+# --- judged examples --------------------------------------------------------------------------------------------------------
 
 
-def score_documents(documents: DataFrame) -> DataFrame:
+def learn(examples: list[tuple[str | None, str | None, str | None, int | None]], strength: float = 4.0) -> Learnt:
+    """What (snippet, language, category, abusive) examples add.  Rows without snippet or verdict are left out.
+
+    Turns: word triples that at least two different abusive examples and no harmless one have.  Groups: words of hateful
+    examples in two languages that no other example has.  Weights: a logistic model of the kinds of finds whose prior are
+    ``WEIGHTS`` (the greater ``strength``, the more examples it takes to move them), with ``THRESHOLD`` as its border.
+    """
+    rows = sorted({(s, g or "", c or "", int(a)) for s, g, c, a in examples if s and a is not None})
+    plain = Lexicon()
+    texts = [(plain.folded(s).split(), g, c, a) for s, g, c, a in rows]
+    triples, lone = Counter(), Counter()
+    languages: dict[str, set[str]] = defaultdict(set)
+    elsewhere: set[str] = set()
+    harmless: set[str] = set()
+    for words, lang, category, abusive in texts:
+        turns = {" ".join(w) for w in zip(words, words[1:], words[2:]) if not any(any(x.isdigit() for x in v) for v in w)}
+        (triples.update(turns) if abusive else harmless.update(turns))
+        for w in set(words):
+            if abusive and category == "hate":
+                languages[w].add(lang)
+                lone[w] += 1
+            else:
+                elsewhere.add(w)
+    out = Learnt(turns=sorted(t for t, n in triples.items() if n >= 2 and t not in harmless), groups=sorted(w for w, g in languages.items() if len(g) > 1 and lone[w] > 2 and w not in elsewhere and f" {w} " not in plain.roles and len(w) > 3))
+    lex, kinds = Lexicon(out), list(WEIGHTS)
+    prior = np.array([WEIGHTS[k] for k in kinds])
+    if rows:
+        x = np.array([[sum(k == f for f, _ in found) for k in kinds] for found in (lex.finds(s)[0] for s, *_ in rows)], dtype=float)
+        x = np.minimum(x, 3.0)
+        y, w = np.array([a for *_, a in rows], dtype=float), prior.copy()
+        for _ in range(30):
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ w - THRESHOLD, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(kinds)), x.T @ (p - y) + strength * (w - prior))
+            w = w - step
+            if np.abs(step).max() < 1e-9:
+                break
+        out.weights = {k: float(max(0.0, v)) for k, v in zip(kinds, w)}
+    return out
+
+
+def learn_from(labels: DataFrame, max_labels: int = 10_000) -> Learnt:
+    """The same from a table (snippet, lang, category, abusive): of more than ``max_labels`` rows those that come first by a hash
+    of the snippet."""
+    rows = labels.where("snippet is not null and abusive is not null").orderBy(F.xxhash64("snippet"), "snippet", "lang", "category", "abusive").limit(max_labels)
+    return learn([tuple(r) for r in rows.select("snippet", "lang", "category", "abusive").collect()])
+
+
+_LEXICONS: dict[tuple, Lexicon] = {}
+
+
+def lexicon(learnt: Learnt | None = None) -> Lexicon:
+    """The worker's lexicon, built once for what was learnt."""
+    key = (tuple(learnt.turns), tuple(learnt.groups), tuple(learnt.weights.values())) if learnt else ()
+    if key not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[key] = Lexicon(learnt)
+    return _LEXICONS[key]
+
+
+def score_documents(documents: DataFrame, labels: DataFrame | None = None, max_labels: int = 10_000) -> DataFrame:
     """(doc_id, source, score, term, abusive) for every document; ``term`` is the strongest term found.
 
     The score covers subject and every text part, decoded once.  Null and empty texts score 0; a text is abusive if its
-    score reaches ``THRESHOLD``.
+    score reaches ``THRESHOLD``.  ``labels`` are judged examples (snippet, lang, category, abusive), of which at most
+    ``max_labels`` are learnt from; without them the general lexicon is used as it is.
     """
+    learnt = learn_from(labels, max_labels) if labels is not None else None
+    shared = documents.sparkSession.sparkContext.broadcast(learnt)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = lexicon()
+        lex = lexicon(shared.value)
         for pdf in batches:
             got = [lex.score(readable(t)) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": [g[0] for g in got], "term": [g[1] for g in got]})

@@ -69,7 +69,7 @@ def p9_shares(s: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(s: SparkSession, d: str) -> DataFrame:
-    return abuse.score_documents(table(s, d, "documents"))
+    return abuse.score_documents(table(s, d, "documents"), table(s, d, "abuse_labels"))
 
 
 def p10_found(s: SparkSession, d: str) -> DataFrame:
@@ -80,10 +80,18 @@ def p10_rates(s: SparkSession, d: str) -> DataFrame:
     return abuse.rates(p10_scores(s, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_survivors, p8_ids, p8_round_trip, p8_counts, p8_sizes, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
+def p10_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Documents per source that were scored, and those among them without any text, whose score is 0."""
+    texts = table(s, d, "documents").select("doc_id", F.coalesce(F.trim("text"), F.lit("")).alias("_t"))
+    scored = p10_scores(s, d).join(texts.select("doc_id", (F.col("_t") == "").alias("_empty")), "doc_id")
+    return scored.groupBy("source").agg(F.count("score").alias("n_scored"), F.count_if(F.col("_empty") & (F.col("score") == 0.0)).alias("n_empty_at_0"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_survivors, p8_ids, p8_round_trip, p8_counts, p8_sizes, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates, p10_coverage)}
 
 ORACLES: dict[str, str] = {
     # exactness against another implementation and the round trip are tested in tests/llm; SQL knows no byte pairs
     "p8_round_trip": "SELECT source, count(*) AS n_docs, count(*) AS n_equal, 0::BIGINT AS n_other, 0::BIGINT AS n_lost, 0::BIGINT AS n_twice FROM documents GROUP BY source",
+    "p10_coverage": "SELECT source, count(*) AS n_scored, count_if(trim(coalesce(text, '')) = '')::BIGINT AS n_empty_at_0 FROM documents GROUP BY source",
     "p8_sizes": "SELECT source, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source",
 }

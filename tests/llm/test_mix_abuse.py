@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from panelforge.llm import abuse, mail, mix
 from panelforge.session import table
 
+from abuse_sentences import ABUSIVE, HARMLESS, HELD_ABUSIVE, HELD_HARMLESS
+
 SIZES = "doc_id long, source string, n_tokens long"
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -48,11 +50,78 @@ def test_nothing_to_mix(spark):
     assert out.first()["copies"] == 0
 
 
-def test_judged_examples(spark, data):
+def examples(spark, data):
+    return [tuple(r) for r in table(spark, data, "abuse_labels").select("snippet", "lang", "category", "abusive").collect()]
+
+
+def figures(lex, rows):
+    """(recall, precision) over judged rows."""
+    said = [(lex.score(r[0])[0] >= abuse.THRESHOLD, bool(r[3])) for r in rows]
+    both = sum(a and b for a, b in said)
+    return both / max(1, sum(b for _, b in said)), both / max(1, sum(a for a, _ in said))
+
+
+def templates(rows):
+    """Number of the template of each row: rows of one language and verdict that share four words in a row."""
+    root, first = list(range(len(rows))), {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    plain = abuse.lexicon()
+    for i, (snippet, lang, _, abusive) in enumerate(rows):
+        words = plain.folded(snippet).split()
+        for run in zip(words, words[1:], words[2:], words[3:]):
+            root[find(i)] = find(first.setdefault((lang, abusive, run), i))
+    return [find(i) for i in range(len(rows))]
+
+
+def test_judged_examples_held_out_by_half(spark, data):
+    rows = sorted(examples(spark, data))
+    for k in (0, 1):
+        recall, precision = figures(abuse.Lexicon(abuse.learn(rows[k::2])), rows[1 - k :: 2])
+        assert recall >= 0.9 and precision >= 0.9
+
+
+def test_judged_examples_of_unseen_templates(spark, data):
+    rows = sorted(examples(spark, data))
+    group = templates(rows)
+    order = sorted(set(group))
+    assert len(order) > 60
+    for k in range(2):
+        seen = set(order[k::2])
+        recall, precision = figures(abuse.Lexicon(abuse.learn([r for r, g in zip(rows, group) if g in seen])), [r for r, g in zip(rows, group) if g not in seen])
+        assert recall >= 0.9 and precision >= 0.9
+
+
+def test_sentences_written_apart():
     lex = abuse.lexicon()
-    rows = table(spark, data, "abuse_labels").collect()
-    wrong = [r["snippet"] for r in rows if (lex.score(r["snippet"])[0] >= abuse.THRESHOLD) != bool(r["abusive"])]
-    assert wrong == []
+    for abusive, harmless in ((ABUSIVE, HARMLESS), (HELD_ABUSIVE, HELD_HARMLESS)):
+        recall, precision = figures(lex, [(x, None, None, 1) for x in abusive] + [(x, None, None, 0) for x in harmless])
+        assert recall >= 0.9 and precision >= 0.9
+
+
+def test_examples_teach_names_and_turns():
+    rows = [("The Zorbians are vermin.", "en", "hate", 1), ("Die Zorbians sind Ungeziefer.", "de", "hate", 1), ("Zorbians breed like rats", "en", "hate", 1), ("Paint the moon with your own sorrow", "en", "threat", 1), ("So paint the moon with your own sorrow!", "en", "threat", 1), ("The moon is full", "en", None, 0), (None, "en", None, 1), ("", None, None, None)]
+    got = abuse.learn(rows)
+    assert got.groups == ["zorbians"] and "paint the moon" in got.turns
+    text = "Zorbians are dogs"
+    assert abuse.lexicon().score(text)[0] < abuse.THRESHOLD <= abuse.Lexicon(got).score(text)[0]
+    assert abuse.Lexicon(got).score("go and paint the moon with your own sorrow")[0] >= abuse.THRESHOLD
+    assert abuse.learn([]).weights == abuse.WEIGHTS
+
+
+def test_harmless_examples_lower_a_weight():
+    got = abuse.learn([(f"The bastard number {chr(97 + i)} of this long list", "en", None, 0) for i in range(20)])
+    assert got.weights["ambiguous"] < abuse.WEIGHTS["ambiguous"] and got.weights["idiom"] == abuse.WEIGHTS["idiom"]
+
+
+def test_length_counts():
+    lex, filler = abuse.lexicon(), "all is well here and the table is done. "
+    assert lex.score("a bastard of a problem")[0] >= abuse.THRESHOLD > lex.score("a bastard of a problem " + filler * 800)[0]
+    assert lex.score("you filthy bastard " + filler * 800)[0] >= abuse.THRESHOLD
 
 
 @pytest.mark.parametrize(
@@ -144,3 +213,7 @@ def test_documents(spark):
     per = {r["source"]: (r["n_docs"], r["n_abusive"], round(r["rate"], 3)) for r in abuse.rates(out).collect()}
     assert per == {"a": (3, 2, 0.667), "b": (1, 0, 0.0), None: (1, 0, 0.0)}
     assert abuse.score_documents(docs.limit(0)).count() == 0
+    labels = spark.createDataFrame([(1, "en", "what a zibble you are today", 1, "insult"), (2, "en", "oh, what a zibble you are today", 1, "insult"), (3, "en", "fine", 0, None), (4, None, None, None, None)], "snippet_id long, lang string, snippet string, abusive int, category string")
+    more = spark.createDataFrame([(1, "a", "what a zibble you are today!")], "doc_id long, source string, text string")
+    assert not abuse.score_documents(more).first()["abusive"] and abuse.score_documents(more, labels).first()["abusive"]
+    assert abuse.score_documents(more, labels.limit(0)).count() == 1
