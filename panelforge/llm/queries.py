@@ -59,13 +59,23 @@ def p8_counts(s: SparkSession, d: str) -> DataFrame:
     return counted.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_chars").cast("long")).alias("n_chars"), F.max("n_tokens").alias("longest"))
 
 
+def _mixed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes, mixture, targets)."""
+    targets = table(s, d, "mix_targets")
+    sizes = mix.source_sizes(table(s, d, "documents"), vocabulary_path())
+    return sizes, mix.mixture(sizes, targets), targets
+
+
 def p9_mixture(s: SparkSession, d: str) -> DataFrame:
-    sizes = mix.source_sizes(table(s, d, "documents"), table(s, d, "mix_targets"), vocabulary_path())
-    return mix.mixture(sizes, table(s, d, "mix_targets"))
+    return _mixed(s, d)[1]
 
 
 def p9_shares(s: SparkSession, d: str) -> DataFrame:
-    return mix.shares(p9_mixture(s, d), table(s, d, "mix_targets"))
+    return mix.shares(*_mixed(s, d))
+
+
+def p9_checked(s: SparkSession, d: str) -> DataFrame:
+    return mix.checked(*_mixed(s, d))
 
 
 def p10_scores(s: SparkSession, d: str) -> DataFrame:
@@ -87,11 +97,12 @@ def p10_coverage(s: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("score").alias("n_scored"), F.count_if(F.col("_empty") & (F.col("score") == 0.0)).alias("n_empty_at_0"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_survivors, p8_ids, p8_round_trip, p8_counts, p8_sizes, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates, p10_coverage)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_survivors, p8_ids, p8_round_trip, p8_counts, p8_sizes, p9_mixture, p9_shares, p9_checked, p10_found, p10_scores, p10_rates, p10_coverage)}
 
 ORACLES: dict[str, str] = {
     # exactness against another implementation and the round trip are tested in tests/llm; SQL knows no byte pairs
     "p8_round_trip": "SELECT source, count(*) AS n_docs, count(*) AS n_equal, 0::BIGINT AS n_other, 0::BIGINT AS n_lost, 0::BIGINT AS n_twice FROM documents GROUP BY source",
     "p10_coverage": "SELECT source, count(*) AS n_scored, count_if(trim(coalesce(text, '')) = '')::BIGINT AS n_empty_at_0 FROM documents GROUP BY source",
+    "p9_checked": "SELECT d.source, count(*) AS n_docs, count(t.source) AS n_weighed, 0::BIGINT AS n_too_often, 0::BIGINT AS n_empty_used FROM documents d LEFT JOIN (SELECT DISTINCT source FROM mix_targets WHERE target_share > 0 AND max_repeats > 0) t ON d.source = t.source GROUP BY d.source",
     "p8_sizes": "SELECT source, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import quopri
 import time
 
@@ -19,35 +20,70 @@ TARGETS = "source string, target_share double, max_repeats int"
 
 
 def mixed(spark, sizes, targets, total=None):
-    t = spark.createDataFrame(targets, TARGETS)
-    out = mix.mixture(spark.createDataFrame(sizes, SIZES), t, total)
-    return out, {r["source"]: r for r in mix.shares(out, t).collect()}
+    t, n = spark.createDataFrame(targets, TARGETS), spark.createDataFrame(sizes, SIZES)
+    out = mix.mixture(n, t, total)
+    return out, {r["source"]: r for r in mix.shares(n, out, t).collect()}
 
 
 def test_shares_and_caps(spark):
     sizes = [(i, s, 50 + (i * 37) % 400) for s, lo, hi in (("a", 0, 3_000), ("b", 3_000, 3_600), ("c", 3_600, 3_640)) for i in range(lo, hi)]
     targets = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 4), ("none", 0.1, 3)]
-    out, s = mixed(spark, sizes, targets)
+    out, s = mixed(spark, [*sizes, (9_000, "other", 70), (9_001, None, 70)], targets)
     got = {r["source"]: r["most"] for r in out.groupBy("source").agg(F.max("copies").alias("most")).collect()}
     assert all(got[k] <= m for k, _, m in targets if k in got)
-    assert s["none"]["share"] == 0.0 and s["c"]["most_copies"] == 4
+    assert s["none"]["share"] == 0.0 and s["c"]["most_copies"] == 4 and s["c"]["least_rate"] == 4.0
+    assert s["other"]["n_docs"] == 1 and s["other"]["target_share"] is None and s[None]["tokens"] == 70
     for k, share, _ in targets[:3]:
-        assert abs(s[k]["share"] - share / 0.9) < 0.01
+        assert abs(s[k]["share"] / (share / 0.9) - 1) < 0.01 and abs(s[k]["wanted_share"] - share / 0.9) < 1e-9
     assert out.count() == len(sizes)
 
 
+def test_rates_are_those_of_the_dual(spark):
+    sizes = [(i, "a", 1 + (i * i) % 977) for i in range(500)] + [(1_000 + i, "b", 100) for i in range(50)]
+    out, s = mixed(spark, sizes, [("a", 0.5, 3), ("b", 0.5, 4)])
+    assert s["a"]["least_rate"] < s["a"]["most_rate"] < 1  # long documents are thinned more, none is lost
+    rows = [r for r in out.collect() if r["source"] == "a"]
+    mean = sum(r["n_tokens"] for r in rows) / len(rows)
+    lam = {round(math.log(r["rate"]) * (r["n_tokens"] + mean) / r["n_tokens"], 6) for r in rows}
+    assert len(lam) == 1
+    assert abs(sum(r["rate"] * r["n_tokens"] for r in rows) - 20_000) < 1e-3
+
+
+def test_growing_source_stops_at_the_cap(spark):
+    sizes = [(i, "a", 10 + 90 * (i % 5)) for i in range(1_000)] + [(2_000 + i, "b", 1_000) for i in range(720)]
+    out, s = mixed(spark, sizes, [("a", 0.5, 4), ("b", 0.5, 1)])
+    assert s["a"]["most_rate"] == 4.0 and s["a"]["least_rate"] < 4.0 and s["a"]["most_copies"] == 4
+    assert abs(s["a"]["share"] / 0.5 - 1) < 0.01
+
+
+def test_long_documents_do_not_spoil_the_shares(spark):
+    sizes = [(i, "a", 20_000 if i % 50 == 0 else 100) for i in range(400)] + [(1_000 + i, "b", 500) for i in range(40)]
+    _, s = mixed(spark, sizes, [("a", 0.5, 1), ("b", 0.5, 1)])
+    assert abs(s["a"]["share"] - 0.5) < 0.005
+
+
+def test_blocks_follow_the_source(spark, monkeypatch):
+    monkeypatch.setattr(mix, "BLOCK_DOCS", 100)
+    sizes = [(i, "big", 100) for i in range(3_000)] + [(9_000 + i, "small", 400) for i in range(20)]
+    out, s = mixed(spark, sizes, [("big", 0.9, 1), ("small", 0.1, 2)], 40_000.0)
+    assert out.where("source = 'small'").agg(F.sum("copies")).first()[0] == 10  # as one block: not ten or so draws
+    assert abs(s["big"]["share"] - 0.9) < 0.01
+
+
 def test_smaller_total_and_odd_rows(spark):
-    sizes = [(i, "a" if i % 2 else "b", None if i == 4 else 100) for i in range(200)] + [(900, "b", 0)]
+    sizes = [(i, "a" if i % 2 else "b", None if i == 4 else 100) for i in range(200)] + [(900, "b", 0), (901, "b", 100), (901, "b", 100)]
     out, s = mixed(spark, sizes, [("a", 0.25, 1), ("b", 0.75, 1), ("b", 0.75, 1), (None, 0.1, 1), ("a", None, 1)], 4_000.0)
-    assert 3_500 <= sum(r["copies"] * (r["n_tokens"] or 0) for r in out.collect()) <= 4_500
-    assert out.where("doc_id in (4, 900)").agg(F.sum("copies")).first()[0] == 0
+    assert 3_800 <= sum(r["copies"] * (r["n_tokens"] or 0) for r in out.collect()) <= 4_200
+    assert out.where("doc_id in (4, 900)").agg(F.sum("copies")).first()[0] == 0 and out.count() == 203
 
 
 def test_nothing_to_mix(spark):
     out, s = mixed(spark, [], [("a", 1.0, 1)])
     assert out.count() == 0 and s["a"]["share"] == 0.0
-    out, _ = mixed(spark, [(1, "a", 5)], [])
-    assert out.first()["copies"] == 0
+    out, s = mixed(spark, [(1, "a", 5)], [])
+    assert out.count() == 0 and s["a"]["n_docs"] == 1
+    out, _ = mixed(spark, [(1, "a", 0), (2, "a", None)], [("a", 1.0, 1)])
+    assert [r["copies"] for r in out.collect()] == [0, 0]
 
 
 def examples(spark, data):
