@@ -1,8 +1,14 @@
 """Matching variants and laboratory probes that share no identifier.
 
-Method: MinHash blocking over overlapping place windows together with the letters of the change, pairwise similarity
-features, a logistic classifier trained on weak labels, and probabilities calibrated on held-out ones.  An exact check of
-the writing rules follows.
+Method: MinHash blocking over overlapping place windows together with the letters of the change; pairwise similarity
+features; a logistic classifier trained on weak labels; calibrated probabilities, which decide.
+
+Weak labels come from what is known apart from the change: the frequency the laboratory reports, which is kept out of the
+features, is near that of the variant or not, and a place too far away is another variant's.  Such labels are often wrong, in a
+known way: two unrelated variants have near frequencies with a
+probability that follows from the two distributions of frequencies, two descriptions of one variant fail to with a
+probability that is estimated.  Classifier and calibration are fitted under this noise, so that the confidence is that of a
+match and not that of a label.
 
 Both tables are first reduced to distinct descriptions (chromosome, place, alleles), so that copies are compared once, and
 the matched descriptions are expanded into rows at the end by equi-joins.
@@ -11,6 +17,7 @@ the matched descriptions are expanded into rows at the end by equi-joins.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,14 +29,18 @@ from panelforge.session import cut
 
 #: Different ways of writing move a place by at most so many bases.
 REACH = 2
-#: Width of the place windows and number of MinHash functions.  Two places 2 apart share 14 of 18 windows, so one of the
-#: 12 functions agrees with probability 1 - (4/18)^12 = 1 - 1.5e-8.
-WINDOW, HASHES = 16, 12
+#: Width of the place windows and number of MinHash functions.  Two places 2 apart share 62 of 66 windows, so one of the
+#: 4 functions agrees with probability 1 - (4/66)^4 = 1 - 1.3e-5; two places 1 apart with 1 - 9e-7; one place with itself always.
+WINDOW, HASHES = 64, 4
 #: Fixed values of the laboratories' notation.
 NO_ALLELE = ("", ".", "0", "N", "?", "NA", "X")
-FEATURES = ("near", "off", "same", "swapped", "other_strand", "one_allele", "unspelled", "freq_gap", "no_freq")
+FEATURES = ("near", "off", "same", "swapped", "other_strand", "one_allele", "unspelled", "fits")
 #: Prior of the classifier (intercept first): what it falls back to where weak labels are few.
-PRIOR = (-4.0, 4.0, -1.0, 5.0, 5.0, 5.0, 3.0, 3.0, -6.0, -0.5)
+PRIOR = (-2.0, 1.0, -0.25, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
+#: Frequencies closer than the first number speak for a match, those farther apart than the second against one.
+CLOSE, FAR = 0.05, 0.12
+#: The same change this many bases away is another variant, whatever its frequency.
+ANOTHER = 5
 
 
 def complement(c: Column) -> Column:
@@ -81,33 +92,36 @@ def describe_probes(probes: DataFrame) -> DataFrame:
     return rows.select("probe_id", "chrom", "pos", "kind", F.when(full, first).when(F.col("kind") == "part", F.when(first != "", first).otherwise(last)).otherwise("").alias("a"), F.when(full, last).otherwise("").alias("b"), "freq")
 
 
-def minhash(chrom: Column, pos: Column, k: Column) -> Column:
-    """The k-th MinHash of the windows that cover a place."""
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda s: F.xxhash64(chrom, s, F.floor((pos + s) / WINDOW), k)))
+def signature(chrom: Column, pos: Column) -> Column:
+    """The MinHashes of the windows that cover a place.  Window s of a place is cell floor((pos + s) / WINDOW) of the grid
+    shifted by s, so two places share a window where they lie in one cell of that grid."""
+    shifts = F.sequence(F.lit(0), F.lit(WINDOW - 1))
+    at = lambda k: F.array_min(F.transform(shifts, lambda s: F.xxhash64(chrom, s, F.floor((pos + s) / WINDOW), F.lit(k))))
+    return F.array(*[at(k) for k in range(HASHES)])
 
 
-def _blocked(df: DataFrame, *extra: str) -> DataFrame:
-    """A row per MinHash with no more than identifies the description: these rows are what the blocking shuffles."""
-    rows = df.select("chrom", "pos", "a", "b", F.xxhash64("token").alias("_t"), *extra, F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1))).alias("_k"))
-    return rows.withColumn("_h", minhash(F.col("chrom"), F.col("pos"), F.col("_k")))
+def _blocked(df: DataFrame) -> DataFrame:
+    """A row per MinHash with no more than identifies the description and is compared: these rows are what the blocking
+    shuffles.  The function is part of the key."""
+    rows = df.withColumn("_t", F.xxhash64("token")).drop("token", "x", "y", "place")
+    return rows.select("*", F.posexplode(signature(F.col("chrom"), F.col("pos"))).alias("_k", "_h"))
 
 
 def candidates(v: DataFrame, p: DataFrame) -> DataFrame:
     """Pairs of descriptions that agree in a MinHash of the place and, where the probe spells both alleles, in the letters
-    of the change on either strand.  Every pair comes out once: at the first function in which it agrees."""
+    of the change on either strand.  Every pair comes out once."""
     key = ["chrom", "pos", "a", "b"]
-    named = lambda df, side, cols: df.select(*[c for c in df.columns if c not in cols], *[F.col(c).alias(f"{side}_{c}") for c in cols])
-    left = named(_blocked(v).drop("_k"), "v", key)
-    right = named(_blocked(p, "kind"), "p", [*key, "kind"])
-    spelled = left.join(right.where("p_kind = 'full'"), ["_h", "_t"])
-    others = left.drop("_t").join(right.where("p_kind <> 'full'"), "_h")
+    named = lambda df, side: df.select(*[F.col(c).alias(c if c.startswith("_") else f"{side}_{c}") for c in df.columns])
+    left, right = named(_blocked(v), "v"), named(_blocked(p), "p")
+    spelled = left.join(right.where("p_kind = 'full'"), ["_k", "_h", "_t"])
+    others = left.drop("_t").join(right.where("p_kind <> 'full'").drop("_t"), ["_k", "_h"])
     near = (F.col("v_chrom") == F.col("p_chrom")) & (F.abs(F.col("v_pos") - F.col("p_pos")) < WINDOW)
-    pairs = spelled.drop("_t", "_h").unionByName(others.drop("_t", "_h")).where(near)
-    earlier = F.exists(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: (k < F.col("_k")) & (minhash(F.col("v_chrom"), F.col("v_pos"), k) == minhash(F.col("p_chrom"), F.col("p_pos"), k)))
-    pairs = pairs.where(~earlier).drop("_k")
-    # the few candidates take up what is compared
-    vs, ps = named(v, "v", v.columns), named(p, "p", p.columns)
-    return pairs.join(vs, [f"v_{c}" for c in key]).join(ps, [f"p_{c}" for c in (*key, "kind")])
+    pairs = spelled.drop("_t").unionByName(others).where(near).drop("_k", "_h").dropDuplicates([*[f"v_{c}" for c in key], *[f"p_{c}" for c in key], "p_kind"])
+    # the few candidates are taken apart again
+    for side in ("v", "p"):
+        theirs = _trimmed(pairs.select(*[F.col(c) for c in pairs.columns], *[F.col(f"{side}_{c}").alias(c) for c in ("pos", "a", "b")]))
+        pairs = theirs.select(*pairs.columns, *[F.col(c).alias(f"{side}_{c}") for c in ("x", "y", "place", "token")])
+    return pairs
 
 
 def compared(pairs: DataFrame) -> DataFrame:
@@ -130,17 +144,35 @@ def compared(pairs: DataFrame) -> DataFrame:
     raw = F.abs(c("p_pos") - c("v_pos"))
     rows = rows.withColumn("off_by", F.when(c("_full"), F.least(F.abs("_shift"), raw)).otherwise(raw))
     rows = rows.withColumn("change", c("_same") | c("_swapped") | c("_strand") | c("_one") | c("_unspelled"))
-    rows = rows.withColumn("_gap", F.least(F.abs(c("p_freq") - c("v_maf")), F.abs(1.0 - c("p_freq") - c("v_maf"))))
+    rows = rows.withColumn("gap", F.least(F.abs(c("p_freq") - c("v_maf")), F.abs(1.0 - c("p_freq") - c("v_maf"))))
+    rows = rows.withColumn("fits", c("change") & (c("off_by") <= REACH))
     flag = lambda x: x.cast("double")
-    feats = [flag(c("off_by") <= REACH), flag(F.least(c("off_by"), F.lit(WINDOW))) / 4.0, *[flag(c(n)) for n in ("_same", "_swapped", "_strand", "_one", "_unspelled")], F.coalesce("_gap", F.lit(0.0)), flag(c("_gap").isNull())]
-    return rows.select(*pairs.columns, "off_by", "change", *[x.alias(f"f_{n}") for n, x in zip(FEATURES, feats)], (c("change") & (c("off_by") <= REACH)).alias("fits"))
+    feats = [flag(c("off_by") <= REACH), flag(F.least(c("off_by"), F.lit(16))) / 4.0, *[flag(c(n)) for n in ("_same", "_swapped", "_strand", "_one", "_unspelled", "fits")]]
+    return rows.select(*pairs.columns, "off_by", "gap", *[x.alias(f"f_{n}") for n, x in zip(FEATURES, feats)])
 
 
 def weak_label() -> Column:
-    """1: the change agrees at the very place (or one off) and the frequencies are close; 0: no allele fits, or the place is
-    out of reach; null: no opinion."""
+    """1 where the frequencies are close and the places not too far apart, 0 where either is not so, null where the
+    frequencies are neither close nor far or unknown.  It knows nothing of the change."""
     c = F.col
-    return F.when(c("change") & (c("off_by") <= 1) & (c("f_no_freq") == 0) & (c("f_freq_gap") < 0.05), 1.0).when(~c("change") | (c("off_by") >= 5), 0.0)
+    return F.when((c("off_by") >= ANOTHER) | (c("gap") > FAR), 0.0).when(c("gap") < CLOSE, 1.0)
+
+
+def chance_of_closeness(v: DataFrame, p: DataFrame) -> float:
+    """The probability that the weak label of two unrelated descriptions is 1, from the distributions of both frequencies in
+    bins of 0.01."""
+    def bins(df: DataFrame, col: str) -> np.ndarray:
+        folded = F.least(F.col(col), 1.0 - F.col(col))
+        out = np.zeros(51)
+        for b, n in df.where(folded.isNotNull()).groupBy(F.floor(folded * 100).alias("b")).agg(F.count("*").alias("n")).collect():
+            out[min(50, max(0, int(b)))] += n
+        return out / max(1.0, out.sum())
+
+    x, y = bins(v, "maf"), bins(p, "freq")
+    apart = np.abs(np.subtract.outer(np.arange(51), np.arange(51))) / 100.0
+    both = np.outer(x, y)
+    close, far = both[apart < CLOSE].sum(), both[apart > FAR].sum()
+    return float(min(0.95, max(0.01, close / (close + far)))) if close + far else 0.5
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float) -> np.ndarray:
@@ -157,47 +189,98 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float)
     return w
 
 
-def train(features: DataFrame, max_labels: int = 20_000, strength: float = 1.0) -> tuple[list[float], list[float]]:
-    """(weights, calibration) fitted on at most ``max_labels`` weakly labelled pairs, the first in the order of a hash of
-    their descriptions, half of each label as far as there are any.  Odd ones train, even ones calibrate (Platt scaling)."""
-    h = F.xxhash64("v_chrom", "v_pos", "v_a", "v_b", "p_pos", "p_a", "p_b", "p_kind")
-    labelled = features.withColumn("_y", weak_label()).where(F.col("_y").isNotNull()).select("_y", h.alias("_hash"), *[f"f_{n}" for n in FEATURES])
-    rows = []
-    for y in (0.0, 1.0):
-        rows += labelled.where(F.col("_y") == y).orderBy("_hash").limit(max_labels // 2).collect()
-    prior = np.array(PRIOR)
+def _under_noise(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float, chance: float, agree: float, fixed: bool = False) -> tuple[np.ndarray, float]:
+    """(weights, share of label 1 among matches) of a logistic model of matches whose labels are noisy: 1 with probability
+    ``agree`` for a match, ``chance`` otherwise; by expectation and maximisation."""
+    w = prior.copy()
+    for _ in range(100):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
+        yes, no = np.where(y == 1, agree, 1 - agree) * p, np.where(y == 1, chance, 1 - chance) * (1 - p)
+        q = yes / np.maximum(yes + no, 1e-300)
+        new = _logistic(x, q, prior, strength)
+        if not fixed:
+            agree = float(np.clip((q * y).sum() + 9.0, 0, None) / (q.sum() + 10.0))  # ten pairs of prior belief in 0.9
+            agree = max(agree, min(0.99, chance + 0.05))
+        done = np.abs(new - w).max() < 1e-6
+        w = new
+        if done:
+            break
+    return w, agree
+
+
+@dataclass(frozen=True)
+class Model:
+    """What was learnt: weights of the features (intercept first), of the calibration, and the noise of the labels."""
+
+    weights: tuple[float, ...]
+    platt: tuple[float, float]
+    chance: float
+    agree: float
+
+
+def _pair_hash() -> Column:
+    return F.xxhash64("v_chrom", "v_pos", "v_a", "v_b", "p_pos", "p_a", "p_b", "p_kind")
+
+
+def train(features: DataFrame, chance: float, max_labels: int = 20_000, strength: float = 1.0) -> Model:
+    """The model fitted on at most ``max_labels`` weakly labelled pairs, the first in the order of a hash of their
+    descriptions.  Odd ones train, even ones calibrate (Platt scaling)."""
+    rows = features.withColumn("_y", weak_label()).where(F.col("_y").isNotNull()).select("_y", _pair_hash().alias("_hash"), *[f"f_{n}" for n in FEATURES]).orderBy("_hash").limit(max_labels).collect()
+    prior, plain = np.array(PRIOR), np.array([0.0, 1.0])
     if not rows:
-        return list(PRIOR), [0.0, 1.0]
+        return Model(PRIOR, (0.0, 1.0), chance, 0.9)
     data = np.array([[r[0], *r[2:]] for r in rows], dtype=float)
     odd = np.array([r[1] % 2 == 1 for r in rows])
     x, y = np.hstack([np.ones((len(data), 1)), data[:, 1:]]), data[:, 0]
-    w = _logistic(x[odd], y[odd], prior, strength) if odd.any() else prior
+    w, agree = _under_noise(x[odd], y[odd], prior, strength, chance, 0.9) if odd.any() else (prior, 0.9)
     held = ~odd
     margin = np.hstack([np.ones((held.sum(), 1)), (x[held] @ w)[:, None]])
-    platt = _logistic(margin, y[held], np.array([0.0, 1.0]), strength) if held.any() else np.array([0.0, 1.0])
-    return [float(v) for v in w], [float(v) for v in platt]
+    platt = _under_noise(margin, y[held], plain, strength, chance, agree, fixed=True)[0] if held.any() else plain
+    return Model(tuple(float(v) for v in w), (float(platt[0]), float(platt[1])), chance, agree)
 
 
-def confidence(weights: list[float], platt: list[float]) -> Column:
-    margin = F.lit(weights[0])
-    for n, w in zip(FEATURES, weights[1:]):
+def confidence(model: Model) -> Column:
+    margin = F.lit(model.weights[0])
+    for n, w in zip(FEATURES, model.weights[1:]):
         margin = margin + F.lit(w) * F.col(f"f_{n}")
-    z = F.lit(platt[0]) + F.lit(platt[1]) * margin
+    z = F.lit(model.platt[0]) + F.lit(model.platt[1]) * margin
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
-def match_descriptions(variants: DataFrame, probes: DataFrame, max_labels: int = 20_000, min_confidence: float = 0.05) -> DataFrame:
-    """The matching pairs of descriptions with their confidence."""
+def scored_pairs(variants: DataFrame, probes: DataFrame, max_labels: int = 20_000) -> tuple[DataFrame, Model]:
+    """(candidate pairs of descriptions with features and ``confidence``, the model)."""
     key = ["chrom", "pos", "a", "b"]
-    v = _trimmed(describe_variants(variants).groupBy(*key).agg(F.avg("maf").alias("maf")))
-    p = _trimmed(describe_probes(probes).groupBy(*key, "kind").agg(F.avg("freq").alias("freq")))
+    v = cut(_with_token(describe_variants(variants).groupBy(*key).agg(F.avg("maf").alias("maf"))))
+    p = cut(_with_token(describe_probes(probes).groupBy(*key, "kind").agg(F.avg("freq").alias("freq"))))
     pairs = cut(compared(candidates(v, p)))
-    w, platt = train(pairs, max_labels)
-    fitting = pairs.where("fits").withColumn("confidence", confidence(w, platt)).where(F.col("confidence") >= min_confidence)
+    model = train(pairs, chance_of_closeness(v, p), max_labels)
+    return pairs.withColumn("confidence", confidence(model)), model
+
+
+def _with_token(df: DataFrame) -> DataFrame:
+    return _trimmed(df).drop("x", "y", "place")
+
+
+def match_descriptions(variants: DataFrame, probes: DataFrame, max_labels: int = 20_000, min_confidence: float = 0.5) -> DataFrame:
+    """The matching pairs of descriptions: those whose confidence reaches ``min_confidence``."""
+    key = ["chrom", "pos", "a", "b"]
+    pairs, _ = scored_pairs(variants, probes, max_labels)
+    found = pairs.where(F.col("confidence") >= min_confidence)
     # where the probe does not spell the change, what lies nearest is meant, with every row of the same change
     probe = [f"p_{c}" for c in (*key, "kind")]
-    fitting = fitting.withColumn("_near", F.min("off_by").over(Window.partitionBy(*probe, "v_token"))).withColumn("_best", F.min("off_by").over(Window.partitionBy(*probe)))
-    return fitting.where((F.col("p_kind") == "full") | (F.col("_near") == F.col("_best"))).select(*[f"v_{c}" for c in key], *probe, "confidence")
+    found = found.withColumn("_near", F.min("off_by").over(Window.partitionBy(*probe, "v_token"))).withColumn("_best", F.min("off_by").over(Window.partitionBy(*probe)))
+    return found.where((F.col("p_kind") == "full") | (F.col("_near") == F.col("_best"))).select(*[f"v_{c}" for c in key], *probe, "confidence")
+
+
+def reliability(variants: DataFrame, probes: DataFrame, max_labels: int = 20_000) -> DataFrame:
+    """(bin, n_pairs, mean_confidence, n_labelled, close_share, matched_share): held-out candidate pairs (even hashes, which no
+    weight was fitted on) by tenths of confidence; ``close_share`` is that of label 1, ``matched_share`` what it says about
+    matches when the noise of the labels is taken off."""
+    pairs, model = scored_pairs(variants, probes, max_labels)
+    held = pairs.where(_pair_hash() % 2 == 0).withColumn("_y", weak_label()).withColumn("bin", F.least(F.floor(F.col("confidence") * 10), F.lit(9)).cast("int"))
+    per = held.groupBy("bin").agg(F.count("*").alias("n_pairs"), F.avg("confidence").alias("mean_confidence"), F.count("_y").alias("n_labelled"), F.avg("_y").alias("close_share"))
+    clean = (F.col("close_share") - model.chance) / (model.agree - model.chance)
+    return per.withColumn("matched_share", F.greatest(F.lit(0.0), F.least(F.lit(1.0), clean)))
 
 
 def match(variants: DataFrame, probes: DataFrame, max_labels: int = 20_000) -> DataFrame:

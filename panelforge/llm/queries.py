@@ -29,6 +29,11 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
     return p1_matches(s, d).select("vid", "probe_id")
 
 
+def p1_reliability(s: SparkSession, d: str) -> DataFrame:
+    """How far the confidence of held-out candidates can be relied on."""
+    return entity_match.reliability(table(s, d, "variants"), table(s, d, "probes"))
+
+
 def p2_found(s: SparkSession, d: str) -> DataFrame:
     return survivor.duplicate_pairs(survivor.group_entries(table(s, d, "variants")))
 
@@ -97,7 +102,7 @@ def p10_coverage(s: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("score").alias("n_scored"), F.count_if(F.col("_empty") & (F.col("score") == 0.0)).alias("n_empty_at_0"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_survivors, p8_ids, p8_round_trip, p8_counts, p8_sizes, p9_mixture, p9_shares, p9_checked, p10_found, p10_scores, p10_rates, p10_coverage)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p1_reliability, p2_found, p2_survivors, p8_ids, p8_round_trip, p8_counts, p8_sizes, p9_mixture, p9_shares, p9_checked, p10_found, p10_scores, p10_rates, p10_coverage)}
 
 ORACLES: dict[str, str] = {
     # exactness against another implementation and the round trip are tested in tests/llm; SQL knows no byte pairs

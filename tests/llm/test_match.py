@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelforge.llm import entity_match as em
@@ -55,6 +56,29 @@ def test_confidence_and_copies(spark):
     assert len(pairs(out)) == 1_200 and all(0.0 <= r["confidence"] <= 1.0 for r in out.collect())
 
 
+def test_the_model_decides(spark, data, monkeypatch):
+    v, p = table(spark, data, "variants"), table(spark, data, "probes")
+    usual = pairs(em.match(v, p))
+    monkeypatch.setattr(em, "train", lambda *a, **k: em.Model((-9.0, *[0.0] * len(em.FEATURES)), (0.0, 1.0), 0.3, 0.9))
+    assert usual and pairs(em.match(v, p)) == set()
+
+
+def test_confidence_of_held_out_pairs_is_reliable(spark, data):
+    rows = em.reliability(table(spark, data.replace("0.001", "0.01"), "variants"), table(spark, data.replace("0.001", "0.01"), "probes")).collect()
+    judged = [r for r in rows if r["n_labelled"] >= 20]
+    assert judged and all(abs(r["mean_confidence"] - r["matched_share"]) < 0.1 for r in judged)
+
+
+def test_labels_with_known_noise():
+    rnd = np.random.default_rng(0)
+    x = np.hstack([np.ones((4_000, 1)), rnd.integers(0, 2, (4_000, 2)).astype(float)])
+    match = x[:, 1] * x[:, 2] == 1
+    y = np.where(rnd.random(4_000) < np.where(match, 0.85, 0.3), 1.0, 0.0)
+    w, agree = em._under_noise(x, y, np.array([-2.0, 1.0, 1.0]), 1.0, 0.3, 0.9)
+    p = 1 / (1 + np.exp(-x @ w))
+    assert abs(agree - 0.85) < 0.05 and p[match].min() > 0.8 and p[~match].max() < 0.5
+
+
 def test_empty(spark):
     v, p = variants(spark, [(1, "x", None, "1", 100, "A", "C")]), probes(spark, [(1, "1", 100, "C", "A", "+", None)])
     assert em.match(v.limit(0), p).count() == 0 and em.match(v, p.limit(0)).count() == 0
