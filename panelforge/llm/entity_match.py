@@ -30,9 +30,9 @@ from panelforge.session import cut
 #: Different ways of writing move a place by at most so many bases.
 REACH = 2
 #: Width and step of the place windows and number of MinHash functions.  Places at most 2 apart share all 16 windows, or 15 of
-#: 17 where a border lies between them (2 of 8 cases), so one of the 4 functions agrees with probability 1 - 2/8 (2/17)^4 =
-#: 1 - 4.8e-5 at a distance of 2, 1 - 2.4e-5 at 1, and always for one place with itself.
-WINDOW, STEP, HASHES = 128, 8, 4
+#: 17 where a border lies between them (2 of 8 cases), so one of the 5 functions agrees with probability 1 - 2/8 (2/17)^5 =
+#: 1 - 5.6e-6 at a distance of 2, 1 - 2.8e-6 at 1, and always for one place with itself.
+WINDOW, STEP, HASHES = 128, 8, 5
 #: Fixed values of the laboratories' notation.
 NO_ALLELE = ("", ".", "0", "N", "?", "NA", "X")
 FEATURES = ("near", "off", "same", "swapped", "other_strand", "one_allele", "unspelled", "fits")
