@@ -225,3 +225,48 @@ def asof_match(left: DataFrame, right: DataFrame, keys: list[str], at: str, sinc
 
     matched = ordered.mapInArrow(fill, T.StructType(fields))
     return matched.select(*keys, *[F.col(p).alias(c) for c, p in payload.items()], "match_since", "match_until")
+
+
+def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """``df`` with the 0-based place of each row among those of equal ``keys`` (not null), by ``order`` (columns or sort
+    expressions), however many rows a key has: the rows are sorted globally, and the count of the key that a partition ends
+    with is carried into the next."""
+    by = [*[F.col(k) for k in keys], *order]
+    ordered = cut(df.repartitionByRange(shuffle_width(df.sparkSession), *by).sortWithinPartitions(*by).withColumn(PID, F.spark_partition_id()))
+    end_schema = T.StructType([T.StructField(PID, T.IntegerType()), *_key_fields(df, keys), T.StructField("n", T.LongType()), T.StructField("single", T.BooleanType())])
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, n, pid, single = None, 0, 0, True
+        for pdf in batches:
+            if len(pdf):
+                starts = np.flatnonzero(_entity_breaks(pdf, keys))
+                goes_on = key is not None and _key_at(pdf, keys, 0) == key
+                single = single and len(starts) == 1 and (key is None or goes_on)
+                pid, n = int(pdf[PID].iloc[0]), len(pdf) - int(starts[-1]) + (n if goes_on and len(starts) == 1 else 0)
+                key = _key_at(pdf, keys, len(pdf) - 1)
+        if key is not None:
+            yield pd.DataFrame([[pid, *key, n, single]], columns=end_schema.names)
+
+    carry, state = {}, None
+    for r in sorted(ordered.select(PID, *keys).mapInPandas(ends, end_schema).collect()):
+        pid, key, n, single = r[0], tuple(r[1 : 1 + len(keys)]), r[1 + len(keys)], r[2 + len(keys)]
+        carry[pid] = state
+        state = (key, n + (state[1] if single and state and state[0] == key else 0))
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, begun = None, False
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if not begun:
+                state, begun = carry.get(int(pdf[PID].iloc[0])), True
+            breaks = _entity_breaks(pdf, keys)
+            at = np.arange(len(pdf))
+            rank = at - np.maximum.accumulate(np.where(breaks, at, 0))
+            if state and state[0] == _key_at(pdf, keys, 0):
+                first_run = np.cumsum(breaks) == 1
+                rank = np.where(first_run, rank + state[1], rank)
+            state = (_key_at(pdf, keys, len(pdf) - 1), int(rank[-1]) + 1)
+            yield pdf.drop(columns=PID).assign(**{name: rank})
+
+    return ordered.mapInPandas(number, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))

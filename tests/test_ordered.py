@@ -5,9 +5,12 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.operators.intervals import gene_gaps, gene_stretches
+from panelforge.operators import ordered
 from panelforge.operators.ordered import asof_match, interval_gaps, interval_pieces, merge_intervals
+from panelforge.operators.skew import salted_join
 
 
 def brute(rows):
@@ -83,3 +86,22 @@ def test_asof_with_an_empty_side(spark):
     right = spark.createDataFrame([], "k string, since long, until long")
     assert [tuple(r) for r in asof_match(left, right, ["k"], "at", "since", "until", "id").select("id", "match_since").collect()] == [(1, None)]
     assert asof_match(left.limit(0), right, ["k"], "at", "since", "until", "id").count() == 0
+
+
+def test_rank_within_keys_across_partitions(spark):
+    rows = [(k, x, str(x)) for k, n in (("hot", 5_000), ("a", 1), ("b", 300)) for x in range(n)]
+    df = spark.createDataFrame(rows, "k string, x long, s string").repartition(7)
+    out = ordered.ranked(df, ["k"], [F.desc("x")])
+    assert {(r["k"], r["x"]): r["rank"] for r in out.collect()} == {(k, x): n - 1 - x for k, n in (("hot", 5_000), ("a", 1), ("b", 300)) for x in range(n)}
+    assert ordered.ranked(df.limit(0), ["k"], [F.col("x")]).count() == 0
+
+
+def test_salted_join_is_a_join(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(500)] + [("a", 1), (None, 2), ("lone", 3)], "k string, v long")
+    right = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("a", "z"), (None, "n"), ("other", "o")], "k string, w string")
+    for how in ("inner", "left"):
+        for limit in (7, 1_000):
+            assert sorted(salted_join(left, right, ["k"], how, limit).collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
+    assert salted_join(left.limit(0), right, ["k"]).count() == 0
+    with pytest.raises(ValueError):
+        salted_join(left, right, ["k"], "right")
