@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm import entity_match as em
@@ -153,7 +154,18 @@ def test_no_entries(spark):
     assert g.count() == 0 and sv.duplicate_pairs(g).count() == 0 and sv.survivors(v, g).count() == 0
 
 
-def test_bundles_give_the_same_winner(spark, monkeypatch):
+def test_several_ids_hang_together(spark):
+    rows = [(1, "affy", "rs5", None, None, "A", "G"), (2, "affy", "rs3,rs5", None, None, "A", "G"), (3, "affy", "rs3", None, None, "A", "G"), (4, "affy", "rs5", None, None, "A", "T"), (5, "broad", "rs5", None, None, "A", "G"), (6, "exome", "rs9,rs8", None, None, None, None), (7, "exome", "rs9", None, None, None, None), (8, "exome", "rs7,rs8", None, None, None, None), (9, "exome", "rs7,rs6", None, None, None, None), (10, "exome", "rs60", None, None, None, None)]
+    assert groups_of(spark, rows) == [[1, 2, 3], [4], [5], [6, 7, 8, 9], [10]]
+
+
+def test_hot_group_and_hot_name(spark):
+    rows = [(i, "affy", "rs1", "1", 100, "A", "G") for i in range(1_300)] + [(5_000 + i, "affy", "rs1", None, None, None, None) for i in range(20)]
+    g = sv.group_entries(variants(spark, rows))
+    assert sv.duplicate_pairs(g).distinct().count() == 1_320 * 1_319 // 2
+
+
+def test_bundles_follow_the_weight(spark, monkeypatch):
     """A group of many distinct values is aligned in rounds; the heavy value still wins and exists."""
     rows = [(i, "affy", f"rs{1000 + i}", "1", 5, "A", "G") for i in range(60)] + [(100 + i, "affy", "rs1234", "1", 5, "A", "G") for i in range(90)]
     v = variants(spark, rows)
@@ -163,8 +175,85 @@ def test_bundles_give_the_same_winner(spark, monkeypatch):
     assert [(r["n_entries"], r["rsid"]) for r in s] == [(150, "rs1234")]
 
 
+def test_bundled_and_unbundled_agree_on_mixed_values(spark, monkeypatch):
+    rnd = random.Random(4)
+    values = []
+    for gid in range(40):
+        true = "".join(rnd.choice(["rs", "1", "2", "3", ",", "x", "7"]) for _ in range(8))
+        for k in range(30):
+            noisy = list(true)
+            if k >= 8:  # most values are spoilt, no one of them has a majority
+                noisy[rnd.randrange(len(noisy))] = rnd.choice("0459-")
+            values.append((gid, "rsid", "".join(noisy), 1.0 + rnd.random(), None))
+    df = spark.createDataFrame(values, "gid long, field string, value string, weight double, latest timestamp").groupBy("gid", "field", "value").agg(F.sum("weight").alias("weight"), F.max("latest").alias("latest"))
+    whole = {r["gid"]: r["value"] for r in sv.consensus_values(df).collect()}
+    monkeypatch.setattr(sv, "BUNDLE", 4)
+    parts = {r["gid"]: r["value"] for r in sv.consensus_values(df).collect()}
+    assert len(whole) == 40 and sum(whole[g] == parts[g] for g in whole) >= 38
+
+
+def score_of(p, q, ways):
+    """Score of an alignment, computed afresh."""
+    wp, wq = sum(p[0].values()), sum(q[0].values())
+    rows, out, i, j = sv._Rows(q, wp, wq), 0, 0, 0
+    for a, b in ways:
+        out += int(rows.row(p[i])[j]) if a and b else -sv.GAP_COST
+        i, j = i + a, j + b
+    assert (i, j) == (len(p), len(q))
+    return out
+
+
+def test_all_ways_of_aligning_are_equally_good(monkeypatch):
+    rnd = random.Random(1)
+    for _ in range(60):
+        p, q = ([{rnd.choice("abcd,"): 1.0 + k % 2} for _ in range(rnd.randrange(1, 30))] for k in (0, 1))
+        p = [dict.fromkeys(c, p[0][next(iter(p[0]))]) for c in p]
+        small, large = sv._ways_small(p, q, *(sum(x[0].values()) for x in (p, q))), sv._ways(p, q, *(sum(x[0].values()) for x in (p, q)))
+        assert small == large
+        monkeypatch.setattr(sv, "TABLE_CELLS", 20)
+        assert score_of(p, q, sv._ways(p, q, *(sum(x[0].values()) for x in (p, q)))) == score_of(p, q, small)
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("n", [100, 101, 2_500])
+def test_values_of_any_length_are_aligned(n):
+    """More tokens than any allele: a digit lost in one value and wrong in another is outvoted."""
+    one = lambda s, w=1.0: [{t: w} for t in sv.tokens_of(s)]
+    true = ",".join(str(i % 10) for i in range(n))
+    assert len(sv.tokens_of(true)) == 2 * n - 1
+    lost, wrong = true[: n // 2 * 2] + true[n // 2 * 2 + 2 :], true[:4] + "x" + true[5:]
+    p = sv.align(sv.align(one(true), one(lost)), one(wrong))
+    assert sv.consensus(p) == true
+
+
+def test_long_texts_are_compared_whole(spark):
+    long = "A" * 3_000
+    rows = [(1, "affy", "rs1", "1", 5, long + "CT", "G"), (2, "affy", "rs1", "1", 5, long + "CT", "G"), (3, "affy", "rs1", "1", 5, long.lower() + "ct", "G"), (4, "affy", "rs1", "1", 5, long + "Ct", "G")]
+    v = variants(spark, rows)
+    assert [r["allelea"] for r in sv.survivors(v, sv.group_entries(v)).collect()] == [long + "CT"]
+
+
+def test_originals_survive(spark):
+    """Groups planted around a known entry: each copy has fields spoilt or lost, the original's values must come back."""
+    rnd = random.Random(7)
+    true, rows = {}, []
+    for g in range(60):
+        a, b = rnd.sample("ACGT", 2)
+        fact = (f"rs{rnd.randrange(10**5, 10**7)}", f"{rnd.randrange(1, 22):02d}", 1_000 * g + 5, a, b, round(rnd.uniform(0.9, 1), 4), round(rnd.uniform(0.01, 0.5), 4))
+        true[g] = fact
+        for k in range(7):
+            rsid, chrom, pos, *_ , cr, maf = fact
+            spoilt = lambda x, y: y if rnd.random() < 0.25 else x
+            rows.append((g * 100 + k, spoilt("affy", "AFFY "), spoilt(rsid, rsid + str(rnd.randrange(10))), spoilt(chrom, f"chr{int(chrom)}"), pos, a, b, spoilt(cr, cr * 100), spoilt(maf, None), None, None, None))
+    v = variants(spark, rows)
+    out = {r["vid"] // 100: r for r in sv.survivors(v, sv.group_entries(v)).collect()}
+    assert set(out) == set(true)
+    good = sum((r["rsid"], r["chromosome"], r["startposition"], r["allelea"], r["alleleb"], r["cr"], r["maf"]) == true[g] for g, r in out.items())
+    cells = sum(x == y for g, r in out.items() for x, y in zip((r["rsid"], r["chromosome"], r["startposition"], r["allelea"], r["alleleb"], r["cr"], r["maf"]), true[g]))
+    assert cells / (7 * len(out)) >= 0.95 and good / len(out) >= 0.8
+
+
 def test_alignment():
     one = lambda s, w=1.0: [{t: w} for t in sv.tokens_of(s)]
     p = sv.align(sv.align(one("rs123", 3.0), one("rs1234")), one("rs123,x"))
     assert sv.consensus(p) == "rs123"
-    assert sv.tokens_of("x1" * 500) == ["x1" * 500]
