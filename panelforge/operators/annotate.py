@@ -67,6 +67,15 @@ def compare_calls(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("rsid", "sa
     return x.join(y, list(by)).where(~F.col("gt_a").eqNullSafe(F.col("gt_b")))
 
 
+def compare_mapped(a: DataFrame, b: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rsid, sample_id, other_id, gt_a, gt_b): calls of ``a`` that differ from those of ``b``, whose samples are known by other
+    ids: ``ids`` maps (old, new).  Samples without an entry in the map are not compared."""
+    m = ids.groupBy(F.col("old").alias("sample_id")).agg(F.min("new").alias("other_id"))
+    x = a.join(broadcast_if_small(m), "sample_id").select("rsid", "sample_id", "other_id", F.col("gt").alias("gt_a"))
+    y = b.select("rsid", F.col("sample_id").alias("other_id"), F.col("gt").alias("gt_b"))
+    return x.join(y, ["rsid", "other_id"]).where(~F.col("gt_a").eqNullSafe(F.col("gt_b"))).select("rsid", "sample_id", "other_id", "gt_a", "gt_b")
+
+
 def every_nth_kept(samples: DataFrame, n: int, prefix: str = "2") -> DataFrame:
     """Every n-th sample of a panel (by column) keeps its id, the others get another first character: forces overlaps to be
     tested."""

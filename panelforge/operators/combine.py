@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions import genotype as G
-from panelforge.operators.metrics import call_counts, record_metrics, with_calls
+from panelforge.operators.metrics import call_counts, chi_square_concordance, minor_allele, record_metrics, with_calls
 from panelforge.session import broadcast_if_small, cut
 
 #: Panels of one cohort; their names are held by the driver.
 MAX_PANELS = 1_000
-POLICIES = ("argmax", "fold", "callrate")
+#: ``pairwise`` (a running best, replaced by a strictly greater probability) is another name of ``argmax``.
+POLICIES = ("argmax", "fold", "callrate", "pairwise")
 
 
 def assay_order(assays: list[str]) -> Column:
@@ -76,6 +77,7 @@ def cells(called: DataFrame, policy: str = "argmax", key: tuple[str, ...] = ("rs
     """
     if policy not in POLICIES:
         raise ValueError(policy)
+    policy = "argmax" if policy == "pairwise" else policy
     by = [*key, "sample_id"]
     # one exchange serves both aggregations
     once = called.repartition(*by).groupBy(*by, "assay_ord").agg(F.max(F.struct("p", "gt", "info", "probs", "assaytype", *(["record_cr"] if policy == "callrate" else []))).alias("g"))
@@ -119,6 +121,29 @@ def combine_metrics(long: DataFrame, threshold: float = 0.9, key: str = "rsid")
     return everything.join(out, key, "left").withColumn("unique_geno", F.lit(width).cast("long"))
 
 
+def no_assay_counts(long: DataFrame, samples: DataFrame, key: str = "rsid") -> DataFrame:
+    """(key, no_assay): slots of the accepted records of a variant that hold no genotype, for samples that are on at least two of
+    the panels with such records.  ``samples`` is the registry (assaytype, sample_id)."""
+    agreed = cut(with_agreement(long, key).where("accepted").select(key, "assaytype", "sample_id").distinct())
+    slots = agreed.select(key, "assaytype").distinct().join(broadcast_if_small(samples.select("assaytype", "sample_id").distinct()), "assaytype")
+    held = agreed.groupBy(key, "sample_id").agg(F.count("*").alias("_held"))
+    per = slots.groupBy(key, "sample_id").agg(F.count("*").alias("_slots")).where("_slots > 1").join(held, [key, "sample_id"], "left")
+    counted = per.groupBy(key).agg(F.sum(F.col("_slots") - F.coalesce("_held", F.lit(0))).alias("no_assay"))
+    return agreed.select(key).distinct().join(counted, key, "left").withColumn("no_assay", F.coalesce("no_assay", F.lit(0).cast("long")))
+
+
+def merge_counters(counts: DataFrame, key: str = "rsid", order: str = "assaytype", limit: float = 1e-8) -> DataFrame:
+    """(n_variants, n_overlap, n_allele_discord, n_chi_discord) of merging the records of all panels: variants on several
+    panels, further records whose alleles are not those of the first panel, and further records whose genotype counts disagree
+    with those of the first (chi-square)."""
+    w = F.min_by(F.struct("ref", "alt"), order)
+    per = counts.groupBy(key).agg(F.count("*").alias("_n"), w.alias("_f"))
+    discord = counts.join(per, key).where((F.col("ref") != F.col("_f.ref")) | (F.col("alt") != F.col("_f.alt"))).agg(F.count("*").alias("n_allele_discord"))
+    chi = chi_square_concordance(counts, key, order, limit).where(~F.col("concordant")).agg(F.count("*").alias("n_chi_discord"))
+    whole = per.agg(F.count("*").alias("n_variants"), F.count_if(F.col("_n") > 1).alias("n_overlap"))
+    return whole.join(discord).join(chi)  # one row each
+
+
 def total_metrics(per_variant: DataFrame) -> DataFrame:
     """The counters summed over variants (each once)."""
     counters = ("all_geno", "unique_geno", "overlap_test", "two_overlap", "gt_two_overlap", "mismatch", "miss_test", "missing", "same_prob_diffs", "diff_prob_diffs")
@@ -142,7 +167,8 @@ def results(long: DataFrame, policy: str = "argmax", threshold: float = 0.9) ->
     last = with_agreement(long.select("rsid", "chromosome", "position", "assay_ord", "ref", "alt", "info").distinct(), first=first).where("accepted").groupBy("rsid").agg(F.max_by(F.struct("chromosome", "position", "ref", "alt", "info"), "assay_ord").alias("r"))
     both = record_metrics(call_counts(resolved, "rsid")).join(over, "rsid").join(broadcast_if_small(last), "rsid")
     both = both.select("*", F.col("r.*")).withColumn("assaytype", F.lit("combined")).withColumn("errpct", F.coalesce(F.try_divide(100.0 * F.col("_m"), F.col("_o")), F.lit(0.0)))
-    cols = ["rsid", "assaytype", "chromosome", "position", "ref", "raf", "alt", "aaf", "cr", "maf", "hwep", "miss", "n", "info", "errpct"]
+    panels, both = (rows.withColumn("minor", minor_allele(F.col("ref"), F.col("alt"))) for rows in (panels, both))
+    cols = ["rsid", "minor", "assaytype", "chromosome", "position", "ref", "raf", "alt", "aaf", "cr", "maf", "hwep", "miss", "n", "info", "errpct"]
     return panels.withColumn("errpct", F.lit(None).cast("double")).select(*cols).unionByName(both.select(*cols))
 
 

@@ -44,19 +44,31 @@ def readable_value(value: Column, phenoclass: Column, unit: Column) -> Column:
     return F.when(is_missing(value), F.lit(None).cast("double")).when(phenoclass == "Binary", binary).otherwise(continuous)
 
 
+def _readings(pheno: DataFrame, meta: DataFrame) -> DataFrame:
+    """(iid, name, _raw, _v, _m, _o, loaded_at): the rows of known attributes with what they read as."""
+    known = meta.select(attribute_name(F.col("name")).alias("_n"), F.col("name"), F.col("phenoclass"), F.col("unit")).dropDuplicates(["_n"])
+    rows = pheno.where(F.col("iid").isNotNull()).select("iid", attribute_name(F.col("name")).alias("_n"), F.col("value").alias("_raw"), "obs_at", "loaded_at")
+    rows = rows.join(broadcast_if_small(known, 10_000), "_n")
+    v = readable_value(F.col("_raw"), F.col("phenoclass"), F.col("unit"))
+    return rows.select("iid", "name", "_raw", v.alias("_v"), is_missing(F.col("_raw")).alias("_m"), F.when(F.col("obs_at") <= F.coalesce("loaded_at", "obs_at"), F.col("obs_at")).alias("_o"), "loaded_at")
+
+
+def cast_failures(pheno: DataFrame, meta: DataFrame) -> DataFrame:
+    """(iid, name, raw, n_rows, first_loaded, last_loaded): every unreadable text of a cell, with how often and when it came.
+    Copies are counted before the shuffle; texts are never gathered into one row."""
+    rows = _readings(pheno, meta).where(F.col("_v").isNull() & ~F.col("_m"))
+    return rows.groupBy("iid", "name", F.col("_raw").alias("raw")).agg(F.count("*").alias("n_rows"), F.min("loaded_at").alias("first_loaded"), F.max("loaded_at").alias("last_loaded"))
+
+
 def cells(pheno: DataFrame, meta: DataFrame) -> DataFrame:
     """One row per (iid, name) of a known attribute:
 
     ``value`` the resolved value: of the readable ones the latest observed, then the latest loaded, then the greatest (a
-    missing obs_at, or one after loaded_at, counts as oldest); ``n_rows``, ``n_missing``, ``n_failed``; ``failed`` one of
-    the unreadable texts; ``lowest`` and ``highest`` readable value, so a cell is contradictory if they differ.
+    missing obs_at, or one after loaded_at, counts as oldest); ``n_rows``, ``n_missing``, ``n_failed``; ``failed`` the least of
+    the unreadable texts (``cast_failures`` has them all); ``lowest`` and ``highest`` readable value, so a cell is contradictory if they differ.
     Rows with a null iid or an unknown or null name are no cells.
     """
-    known = meta.select(attribute_name(F.col("name")).alias("_n"), F.col("name"), F.col("phenoclass"), F.col("unit")).dropDuplicates(["_n"])
-    rows = pheno.where(F.col("iid").isNotNull()).select("iid", attribute_name(F.col("name")).alias("_n"), F.col("value").alias("_raw"), "obs_at", "loaded_at")
-    rows = rows.join(broadcast_if_small(known, 10_000), "_n")
-    v = readable_value(F.col("_raw"), F.col("phenoclass"), F.col("unit"))
-    rows = rows.select("iid", "name", "_raw", v.alias("_v"), is_missing(F.col("_raw")).alias("_m"), F.when(F.col("obs_at") <= F.coalesce("loaded_at", "obs_at"), F.col("obs_at")).alias("_o"), "loaded_at")
+    rows = _readings(pheno, meta)
     failed = F.col("_v").isNull() & ~F.col("_m")
     # everything here combines before the shuffle, so an entity with a tenth of all rows sends one row per cell and task
     return rows.groupBy("iid", "name").agg(
@@ -80,20 +92,20 @@ def _column_name(name: str, taken: set[str]) -> str:
 
 def wide(pheno: DataFrame, meta: DataFrame, max_attributes: int = 2_000) -> DataFrame:
     """One row per iid with at least one cell: a typed column per attribute of ``meta`` (double for Continuous, boolean
-    for Binary), ``conflicts`` (names of cells with two or more different values) and ``cast_failures`` (name to an
-    unreadable text).  The attributes become columns of the plan, so more than ``max_attributes`` raise an error."""
+    for Binary), ``conflicts`` (names of cells with two or more different values) and ``cast_failures`` (name to the
+    number of unreadable rows and the least of their texts; all of them are rows of ``cast_failures()``).  The attributes become columns of the plan, so more than ``max_attributes`` raise an error."""
     attributes = meta.select("name", "phenoclass").dropDuplicates(["name"]).orderBy("name").limit(max_attributes + 1).collect()
     if len(attributes) > max_attributes:
         raise ValueError(f"more than {max_attributes} attributes")
     per_entity = (
         cells(pheno, meta)
         .groupBy("iid")
-        .agg(F.collect_list(F.struct("name", "value", "failed", (F.col("lowest") < F.col("highest")).alias("conflict"))).alias("_c"))
+        .agg(F.collect_list(F.struct("name", "value", "n_failed", "failed", (F.col("lowest") < F.col("highest")).alias("conflict"))).alias("_c"))
         .select(
             "iid",
             F.map_from_entries(F.transform(F.filter("_c", lambda c: c["value"].isNotNull()), lambda c: F.struct(c["name"], c["value"]))).alias("_kv"),
             F.array_sort(F.transform(F.filter("_c", lambda c: F.coalesce(c["conflict"], F.lit(False))), lambda c: c["name"])).alias("conflicts"),
-            F.map_from_entries(F.transform(F.filter("_c", lambda c: c["failed"].isNotNull()), lambda c: F.struct(c["name"], c["failed"]))).alias("cast_failures"),
+            F.map_from_entries(F.transform(F.filter("_c", lambda c: c["failed"].isNotNull()), lambda c: F.struct(c["name"], F.struct(c["n_failed"].alias("n"), c["failed"].alias("least"))))).alias("cast_failures"),
         )
     )
     taken = {"iid", "conflicts", "cast_failures"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelforge.functions import genotype as G
 from panelforge.session import broadcast_if_small
@@ -48,6 +49,15 @@ def unpivoted(wide: DataFrame, id_column: str, ids: list[str]) -> DataFrame:
     return rows.where(~F.coalesce(F.upper(F.trim("value")), F.lit("")).isin("", "NA", "-9")).withColumn("value", F.trim("value").try_cast("int"))
 
 
+def _gaps_filled(entries: Column, width: Column, empty: str, separator: str, text) -> Column:
+    """Entries (column, ...) in the order of their columns as one text of ``width`` parts, ``empty`` where a column has none: each
+    entry brings the empty parts before it, so that the work grows with the entries."""
+    before = lambda e, i: F.when(i > 0, F.element_at(entries, F.greatest(i, F.lit(1)))["column"] + 1).otherwise(0)
+    parts = F.transform(entries, lambda e, i: F.concat(F.repeat(F.lit(empty + separator), e["column"] - before(e, i)), text(e)))
+    end = F.coalesce(F.element_at(entries, -1)["column"], F.lit(-1))
+    return F.concat(F.array_join(parts, separator), F.repeat(F.lit(separator + empty), width - 1 - end))
+
+
 def record_lines(cells: DataFrame, samples: DataFrame, heads: DataFrame, genotype: Column | None = None) -> DataFrame:
     """(rsid, line): a call-file line per variant, genotypes in the order of ``samples.column`` (0-based), ``.`` where a sample
     has none.  ``heads`` has the nine fixed fields by rsid.  Where ``samples`` has panels (``assaytype``), so have ``cells``,
@@ -59,21 +69,46 @@ def record_lines(cells: DataFrame, samples: DataFrame, heads: DataFrame, genotyp
     panel = ["assaytype"] if "assaytype" in samples.columns else []
     width = samples.groupBy(*panel).agg(F.count("*").cast("int").alias("_width"))
     placed = cells.join(samples.select(*panel, "sample_id", "column"), [*panel, "sample_id"]).select(*panel, "rsid", F.struct("column", text.alias("g")).alias("e"))
-    filled = placed.groupBy(*panel, "rsid").agg(F.map_from_entries(F.collect_list("e")).alias("_m"))
+    filled = placed.groupBy(*panel, "rsid").agg(F.array_sort(F.collect_list("e")).alias("_s"))
     fixed = ["chromosome", "position", "rsid", "ref", "alt", "qual", "filter", "info", "format"]
     rows = heads.join(filled, [*panel, "rsid"])
-    rows = rows.join(broadcast_if_small(width), panel) if panel else rows.crossJoin(F.broadcast(width))
-    genos = F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.coalesce(F.col("_m")[i], F.lit(".")))
-    return rows.select(*panel, "rsid", F.concat_ws("\t", *[F.col(c).cast("string") for c in fixed], F.array_join(genos, "\t")).alias("line"))
+    rows = rows.join(broadcast_if_small(width), panel) if panel else rows.withColumn("_width", F.lit(width.first()[0]))  # one row
+    genos = _gaps_filled(F.col("_s"), F.col("_width"), ".", "\t", lambda e: e["g"])
+    return rows.select(*panel, "rsid", F.concat_ws("\t", *[F.col(c).cast("string") for c in fixed], genos).alias("line"))
 
 
 def probability_rows(cells: DataFrame, samples: DataFrame, panel: str = "assaytype") -> DataFrame:
     """(assaytype, rsid, line): the id and three probabilities for each sample of the panel in sorted order, ``0 0 0`` where it has
     none."""
-    ordered = samples.groupBy(panel).agg(F.array_sort(F.collect_set("sample_id")).alias("_s"))  # one row per panel: its samples
-    have = cells.groupBy(panel, "rsid").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "probs"))).alias("_m")).join(broadcast_if_small(ordered), panel)
-    text = F.flatten(F.transform("_s", lambda s: F.transform(F.coalesce(F.col("_m")[s], F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))), lambda p: F.format_string("%.4f", p))))
-    return have.select(panel, "rsid", F.concat_ws(" ", F.lit("---"), "rsid", F.array_join(text, " ")).alias("line"))
+    slots = samples.select(panel, "sample_id", (F.row_number().over(Window.partitionBy(panel).orderBy("sample_id")) - 1).alias("column"))  # samples of a panel, not genotypes
+    width = broadcast_if_small(samples.groupBy(panel).agg(F.count("*").cast("int").alias("_width")))
+    shown = F.array_join(F.transform("probs", lambda p: F.format_string("%.4f", p)), " ")
+    placed = cells.join(broadcast_if_small(slots), [panel, "sample_id"]).select(panel, "rsid", F.struct("column", shown.alias("g")).alias("e"))
+    have = placed.groupBy(panel, "rsid").agg(F.array_sort(F.collect_list("e")).alias("_s")).join(width, panel)
+    text = _gaps_filled(F.col("_s"), F.col("_width"), "0.0000 0.0000 0.0000", " ", lambda e: e["g"])
+    return have.select(panel, "rsid", F.concat_ws(" ", F.lit("---"), "rsid", text).alias("line"))
+
+
+def transposed_raw(genos: DataFrame, ids: list[str], platform: str | None = None) -> DataFrame:
+    """Per sample and id the file's own call as a number, ``_prob`` greatest probability, ``_plat`` panel (or ``platform`` for all)
+    and ``_min`` the alternative allele, no threshold applied; all blank where the sample was not assayed.  ``genos`` has
+    (rsid, sample_id, file_gt, probs, assaytype, alt)."""
+    there = F.col("file_gt") != "."
+    plat = F.lit(platform) if platform is not None else F.col("assaytype")
+    shown = lambda c: F.when(there, c)
+    return _pivot(genos, ["sample_id"], _checked(ids), {"": shown(G.call_number(F.col("file_gt"))), "_prob": shown(G.top_probability(F.col("probs"))), "_plat": shown(plat), "_min": shown(F.col("alt"))})
+
+
+def list_line(rows: DataFrame, column: str, order: str, max_items: int = 10_000) -> DataFrame:
+    """(line): the values of a short list as one comma-separated line; more than ``max_items`` raise an error."""
+    if rows.limit(max_items + 1).count() > max_items:
+        raise ValueError(f"the list has more than {max_items} items")
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).cast("string").alias("v")))), lambda e: e["v"]), ",").alias("line"))
+
+
+def header_names(lines: DataFrame, separator: str = ",") -> DataFrame:
+    """(place, name) of the columns that header lines (column ``value``) name."""
+    return lines.select(F.posexplode(F.split("value", separator)).alias("place", "name"))
 
 
 def cut_columns(df: DataFrame, wanted: list[str]) -> DataFrame:

@@ -11,13 +11,15 @@ from panelforge.functions import genotype as G
 from panelforge.operators import annotate, assoc, catalogue, chunks, combine, grs, metrics, qc, reshape
 from panelforge.plans.fixture import SQL, genotypes, phenotypes, sample_registry, weights
 from panelforge.plans.fixture import catalogue as derived_catalogue
-from panelforge.session import cut, table
+from panelforge.session import broadcast_if_small, cut, table
 from panelforge.sources import vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: Ends of the centromeres in megabases, rounded.
+CENTROMERES = {1: 125, 2: 94, 3: 91, 4: 51, 5: 49, 6: 61, 7: 60, 8: 46, 9: 50, 10: 41, 11: 54, 12: 36, 13: 18, 14: 18, 15: 19, 16: 37, 17: 25, 18: 18, 19: 27, 20: 28, 21: 14, 22: 15}
 #: A request: the ids asked for, in this order.
 REQUEST = ("rs1005", "rs1027", "rs1049")
 
@@ -298,9 +300,9 @@ def stored_variants_in_range(s: SparkSession, d: str) -> DataFrame:
     return catalogue.in_range(catalogue.tidy(table(s, d, "variants")), "04", 145_400_000, 145_600_000).select("vid", "assaytype", "rsid", "position", "allelea", "alleleb")
 
 
-@query(_CAT + "SELECT vid, rsid, CASE WHEN imputed IS NOT NULL OR infoscore <> 1.0 THEN 1 ELSE 0 END AS imputed, CASE WHEN length(allelea) > 10 THEN substr(allelea, 1, 10) || ' ...' ELSE allelea END AS shown, rsid || '_' || assaytype AS selection FROM cat WHERE infoscore IS NULL OR NOT isnan(infoscore)")
+@query(_CAT + "SELECT vid, rsid, CASE WHEN imputed IS NOT NULL OR infoscore <> 1.0 THEN 1 ELSE 0 END AS imputed, CASE WHEN length(allelea) > 10 THEN substr(allelea, 1, 10) || ' ...' ELSE allelea END AS shown, rsid || '_' || assaytype AS selection FROM cat")
 def variant_display(s: SparkSession, d: str) -> DataFrame:
-    rows = catalogue.with_imputed_flag(catalogue.tidy(table(s, d, "variants")).where(F.col("infoscore").isNull() | ~F.isnan("infoscore")))
+    rows = catalogue.with_imputed_flag(catalogue.tidy(table(s, d, "variants")))
     return rows.select("vid", "rsid", "imputed", G.shown_allele(F.col("allelea")).alias("shown"), F.concat("rsid", F.lit("_"), "assaytype").alias("selection"))
 
 
@@ -372,7 +374,7 @@ def csv_web_wide(s: SparkSession, d: str) -> DataFrame:
 def csv_web_wide_combined(s: SparkSession, d: str) -> DataFrame:
     agreed = combine.with_agreement(metrics.with_calls(long(s, d))).where("accepted")
     alts = agreed.select("rsid", "alt").distinct()
-    wide = reshape.with_confidence(combine.cells(agreed).join(F.broadcast(alts.where(F.col("rsid").isin(*REQUEST))), "rsid"), list(REQUEST))
+    wide = reshape.with_confidence(combine.cells(agreed).join(broadcast_if_small(alts.where(F.col("rsid").isin(*REQUEST))), "rsid"), list(REQUEST))
     return wide.select("sample_id", *[(r(c) if c.endswith("_c") else F.col(c)).alias(c) for c in _WIDE_COLS])
 
 
@@ -631,7 +633,183 @@ def csv_cut_columns(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def snp_chunks(s: SparkSession, d: str) -> DataFrame:
-    """Chunks of the stored catalogue's places per chromosome, of five megabases and twenty variants at least."""
-    return chunks.chunk_places(catalogue.tidy(table(s, d, "variants")).where("position > 0"), 5_000_000, 20)
+    """Chunks of the stored catalogue's places per chromosome, of five megabases and two hundred variants at least, none
+    across a centromere."""
+    return chunks.chunk_places(catalogue.tidy(table(s, d, "variants")).where("position > 0"), 5_000_000, 200, {f"{c:02d}": m * 1_000_000 for c, m in CENTROMERES.items()})
 
 
+
+
+# --- what the derived genotypes do not have by themselves ----------------------------------------------------------------------
+
+#: Two variants at each place: a panel has two records there.
+_PAIRED = SQL.replace("g AS (SELECT assay_no,", "g0 AS (SELECT assay_no,").replace(
+    "samples AS (SELECT assaytype,",
+    "moved AS (SELECT * REPLACE (lpad((1 + variant_no // 2 % 22)::VARCHAR, 2, '0') AS chromosome, (1000000 + 1000 * (variant_no // 2))::INT AS position) FROM g0),\n"
+    "numbered AS (SELECT assaytype, chromosome, position, ref, alt, rsid, row_number() OVER (PARTITION BY assaytype, chromosome, position ORDER BY ref, alt, rsid) AS occurrence FROM (SELECT DISTINCT assaytype, chromosome, position, ref, alt, rsid FROM moved)),\n"
+    "g AS (SELECT m.* REPLACE (m.chromosome || ':' || m.position || '#' || n.occurrence AS rsid) FROM moved m JOIN numbered n USING (assaytype, chromosome, position, ref, alt, rsid)),\nsamples AS (SELECT assaytype,",
+)
+
+
+@query(
+    _PAIRED + _descending(_FOLD) + " SELECT split_part(rsid, '#', 1) AS place, split_part(rsid, '#', 2)::INT AS occurrence, sample_id, gt, round(p, 6) AS p, assaytype FROM folded WHERE rsid IN (SELECT rsid FROM folded GROUP BY rsid HAVING coalesce(100.0::DOUBLE * sum(CASE WHEN n_panels > 1 THEN n_calls - 1 ELSE 0 END) / nullif(count_if(n_panels > 1), 0), 0) < 1000.0)"
+)
+def chromosome_merge_paired(s: SparkSession, d: str) -> DataFrame:
+    """The whole-file merge where every panel has two records at a place: the i-th go with the i-th."""
+    pair = F.floor(F.col("variant_no") / 2).cast("int")
+    rows = genotypes(s, d).withColumn("chromosome", F.lpad((1 + pair % 22).cast("string"), 2, "0")).withColumn("position", (1_000_000 + 1_000 * pair).cast("int"))
+    out = combine.chromosome_merge(cut(rows.withColumn("assay_ord", F.col("assay_no"))), err_pct=1000.0)
+    return out.select("place", F.col("occurrence").cast("int").alias("occurrence"), "sample_id", "gt", r("p").alias("p"), "assaytype")
+
+
+_ODD = _DECIDE.replace("FROM weights w", "FROM (SELECT CASE WHEN (substr(rsid, 3)::INT - 1000) % 7 = 0 THEN 'rs9' || substr(rsid, 3) ELSE rsid END AS rsid, CASE WHEN (substr(rsid, 3)::INT - 1000) % 5 = 0 THEN 'I' ELSE ea END AS ea, eaf, wgt FROM weights) w")
+
+
+@query(_ODD + "SELECT rsid, ea, ref, alt, decision, round(CASE WHEN decision = 'FLIP' THEN -wgt ELSE wgt END, 6) AS signed_wgt FROM dec")
+def grs_odd_weights(s: SparkSession, d: str) -> DataFrame:
+    """Strand decisions on weights among which some variants are unknown and some effect alleles impossible."""
+    n = F.substring("rsid", 3, 20).cast("int") - 1000
+    odd = weights(s, d).select(F.when(n % 7 == 0, F.concat(F.lit("rs9"), F.substring("rsid", 3, 20))).otherwise(F.col("rsid")).alias("rsid"), F.when(n % 5 == 0, "I").otherwise(F.col("ea")).alias("ea"), "eaf", "wgt")
+    m = metrics.record_metrics(metrics.call_counts(called(s, d).where("assaytype = 'illumina'"), "rsid", "ref", "alt"))
+    out = grs.strand_decisions(odd, m.withColumn("minor", metrics.minor_allele(F.col("ref"), F.col("alt"))))
+    return out.select("rsid", "ea", "ref", "alt", "decision", r("signed_wgt").alias("signed_wgt"))
+
+
+@query("SELECT assaytype, sample_id, " + ", ".join(f"max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE -9 END END) AS {i}" for i in REQUEST) + f" FROM g WHERE rsid IN {REQUEST} GROUP BY assaytype, sample_id")
+def csv_plain_listed(s: SparkSession, d: str) -> DataFrame:
+    """The same table from records whose id is a list."""
+    rows = called(s, d).withColumn("rsid", F.concat_ws(",", "rsid", F.concat_ws(":", "chromosome", "position")))
+    return reshape.plain_calls(rows, list(REQUEST))
+
+
+# --- further views of the store -----------------------------------------------------------------------------------------------
+
+
+@query(_METRICS + "SELECT rsid, assaytype, chromosome, position, ref, round(raf, 6) AS ref_fr, alt, round(aaf, 6) AS alt_fr, round(maf, 6) AS maf, CASE WHEN info <> 1.0 THEN 1 ELSE 0 END AS imputed, round((homref + het + homalt) / alln::DOUBLE, 5) AS call_rate, round(hwep, 8) AS hwe_pval, round(info, 5) AS info, homref, het, homalt, miss AS missing, alln AS sample_count, homref + het + homalt AS geno_count FROM m")
+def download_summary(s: SparkSession, d: str) -> DataFrame:
+    """The summary of a download with the counts by call."""
+    m = metrics.record_metrics(metrics.call_counts(called(s, d), "rsid", "assaytype", "chromosome", "position", "ref", "alt", "info"))
+    return m.select(
+        "rsid", "assaytype", "chromosome", "position", "ref", r("raf").alias("ref_fr"), "alt", r("aaf").alias("alt_fr"), r("maf").alias("maf"), F.when(F.col("info") != 1.0, 1).otherwise(0).alias("imputed"), r("cr", 5).alias("call_rate"), r("hwep", 8).alias("hwe_pval"), r("info", 5).alias("info"),
+        "homref", "het", "homalt", F.col("miss").alias("missing"), F.col("alln").alias("sample_count"), (F.col("homref") + F.col("het") + F.col("homalt")).alias("geno_count"),
+    )
+
+
+ORACLES["combo_stats"] = f"SELECT q.rsid, 'combo' AS assaytype, q.chromosome, q.position, q.ref, q.alt, k.minor, q.maf, q.cr AS call_rate, q.hwep AS hwe_pval FROM ({ORACLES['combined_variant_metrics']}) q JOIN ({SQL + _ARGMAX}, lst AS (SELECT DISTINCT rsid, ref, alt FROM ok) SELECT rsid, CASE WHEN count_if(gt = '0/0') < count_if(gt = '1/1') THEN any_value(lst.ref) ELSE any_value(lst.alt) END AS minor FROM win JOIN lst USING (rsid) GROUP BY rsid) k USING (rsid) WHERE q.assaytype = 'combined'"
+
+
+@query()
+def combo_stats(s: SparkSession, d: str) -> DataFrame:
+    """Statistics of the combined records."""
+    rows = combine.results(long(s, d)).where("assaytype = 'combined'")
+    return rows.select("rsid", F.lit("combo").alias("assaytype"), "chromosome", "position", "ref", "alt", "minor", r("maf").alias("maf"), r("cr").alias("call_rate"), r("hwep", 8).alias("hwe_pval"))
+
+
+@query(_COUNTS + ", sl AS (SELECT assaytype, count(*) AS n_slots FROM samples GROUP BY assaytype) SELECT assaytype, rsid, n_slots AS raw_n, homref AS raw_homref, het AS raw_het, homalt AS raw_homalt, miss AS raw_miss, n_slots - alln AS raw_dot, round((n_slots - miss) / n_slots::DOUBLE, 6) AS raw_cr FROM counts JOIN sl USING (assaytype)")
+def raw_gt_counts(s: SparkSession, d: str) -> DataFrame:
+    """The file's own calls of every record line, counted without a threshold."""
+    lines = vcf_render_all(s, d).select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
+    out = vcf.raw_counts(vcf.records_of(lines, F.col("assaytype")))
+    return out.select("assaytype", "rsid", "raw_n", "raw_homref", "raw_het", "raw_homalt", "raw_miss", "raw_dot", r("raw_cr").alias("raw_cr"))
+
+
+@query("SELECT sample_id, row_number() OVER (ORDER BY p, l) - 1 AS \"column\" FROM (SELECT sample_id, min(k) AS p, arg_min(list_posn, k) AS l FROM (SELECT sample_id, list_posn, list_position(['metabo', 'exome', 'illumina', 'broad', 'affy'], assaytype) AS k FROM samples) GROUP BY sample_id)")
+def combined_columns(s: SparkSession, d: str) -> DataFrame:
+    return catalogue.combined_columns(sample_registry(s, d), ["metabo", "exome", "illumina", "broad", "affy"])
+
+
+@query(_CAT + ", req AS (SELECT DISTINCT lower(" + _T.format("varid") + ") AS rsid FROM grsinput) SELECT vid, assaytype, rsid FROM cat WHERE assaytype IN ('affy', 'exome') AND rsid IN (SELECT rsid FROM req WHERE rsid IS NOT NULL)")
+def variants_on_panels(s: SparkSession, d: str) -> DataFrame:
+    asked = grs.weight_rows(table(s, d, "grsinput")).select(F.col("varid").alias("rsid"))
+    return catalogue.by_ids(catalogue.tidy(table(s, d, "variants")), asked, ["affy", "exome"]).select("vid", "assaytype", "rsid")
+
+
+@query(_CAT + f"SELECT vid, assaytype, rsid FROM cat WHERE (chromosome, position, allelea, alleleb) IN (SELECT ({_CHROM.format('chromosome')}, startposition, allelea, alleleb) FROM variants_mirror WHERE {_CHROM.format('chromosome')} IS NOT NULL AND startposition IS NOT NULL AND allelea IS NOT NULL AND alleleb IS NOT NULL)")
+def variants_at_places(s: SparkSession, d: str) -> DataFrame:
+    """Stored variants by place and alleles, as the mirror writes them."""
+    mirror = table(s, d, "variants_mirror")
+    wanted = mirror.select(catalogue.tidy_chromosome(F.col("chromosome")).alias("chromosome"), F.col("startposition").alias("position"), "allelea", "alleleb")
+    return catalogue.at_places(catalogue.tidy(table(s, d, "variants")), wanted).select("vid", "assaytype", "rsid")
+
+
+@query("SELECT DISTINCT assaytype, rsid, chromosome, position, rsid AS record_rsid FROM g")
+def catalogue_records(s: SparkSession, d: str) -> DataFrame:
+    """Catalogue rows beside the records that call-file lines hold of them."""
+    lines = vcf_render_all(s, d).select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
+    stored = derived_catalogue(s, d).select("assaytype", "rsid", "chromosome", "position", F.col("ref").alias("allelea"), F.col("alt").alias("alleleb"))
+    return catalogue.with_records(stored, vcf.records_of(lines, F.col("assaytype"))).select("assaytype", "rsid", "chromosome", "position", "record_rsid")
+
+
+@query("SELECT c.assaytype, rsid, n_samples FROM (SELECT DISTINCT assaytype, rsid FROM g) c JOIN (SELECT assaytype, count(*) AS n_samples FROM samples GROUP BY assaytype) USING (assaytype)")
+def variants_with_sample_counts(s: SparkSession, d: str) -> DataFrame:
+    return catalogue.with_sample_counts(derived_catalogue(s, d).select("assaytype", "rsid"), sample_registry(s, d))
+
+
+@query(_CAT + f", fp AS ({ORACLES['file_paths'].replace('WITH f AS', 'WITH f AS')}), lf AS (SELECT assaytype, chrom, arg_max(path, path_id) AS path FROM fp GROUP BY ALL) SELECT vid, cat.rsid, path FROM cat LEFT JOIN lf ON cat.assaytype = lf.assaytype AND cat.chromosome = lf.chrom")
+def variants_with_files(s: SparkSession, d: str) -> DataFrame:
+    return catalogue.with_file(catalogue.tidy(table(s, d, "variants")), catalogue.file_paths(table(s, d, "filepaths")).distinct()).select("vid", "rsid", "path")
+
+
+@query(_CAT + "SELECT rsid, vid, assaytype FROM (SELECT *, row_number() OVER (PARTITION BY rsid ORDER BY vid) AS k FROM cat WHERE rsid IS NOT NULL) WHERE k = 1")
+def variant_by_id_first(s: SparkSession, d: str) -> DataFrame:
+    rows = catalogue.tidy(table(s, d, "variants")).where("rsid is not null").select("rsid", "vid", "assaytype")
+    return catalogue.first_found(rows, ["rsid"], ["vid"])
+
+
+@query(_CAT + "SELECT DISTINCT rsid FROM cat WHERE chromosome = '04' AND position BETWEEN 145400000 AND 145600000 AND rsid IS NOT NULL")
+def ids_in_range(s: SparkSession, d: str) -> DataFrame:
+    return catalogue.ids_in_range(catalogue.tidy(table(s, d, "variants")), "04", 145_400_000, 145_600_000)
+
+
+@query(f"WITH gm AS (SELECT upper({_T.format('genename')}) AS genename, name, {_CHROM.format('chrom')} AS chrom, txstart, txend FROM genemap) SELECT * FROM gm WHERE genename IN (SELECT genename FROM gm GROUP BY genename HAVING count(*) > 3)", prefix="")
+def genes_by_name(s: SparkSession, d: str) -> DataFrame:
+    """The transcripts of the genes that have more than three, by name."""
+    genes = catalogue.genes(table(s, d, "genemap"))
+    names = genes.groupBy("genename").agg(F.count("*").alias("n")).where("n > 3").select(F.lower("genename").alias("genename"))
+    return catalogue.genes_by_name(genes, names).select("genename", "name", "chrom", "txstart", "txend")
+
+
+_RAW = ", ".join(f"max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE -9 END END) AS {i}, round(max(CASE WHEN rsid = '{i}' THEN hi END), 4) AS {i}_prob, max(CASE WHEN rsid = '{i}' THEN assaytype END) AS {i}_plat, max(CASE WHEN rsid = '{i}' THEN alt END) AS {i}_min" for i in REQUEST)
+
+
+@query(f"SELECT sample_id, {_RAW} FROM g WHERE rsid IN {REQUEST} AND assaytype = 'exome' GROUP BY sample_id")
+def csv_transpose_raw(s: SparkSession, d: str) -> DataFrame:
+    """The calls of a panel's lines as they stand, with probability, panel and counted allele."""
+    lines = vcf_render_all(s, d, "exome").select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
+    out = reshape.transposed_raw(vcf.genotypes_of(vcf.records_of(lines, F.col("assaytype")), _of(sample_registry(s, d), "exome")), list(REQUEST))
+    return out.select("sample_id", *[r(c, 4).alias(c) if c.endswith("_prob") else F.col(c) for c in out.columns if c != "sample_id"])
+
+
+@query("SELECT a.rsid, a.sample_id, 'X' || a.sample_id AS other_id, a.gt AS gt_a, b.gt AS gt_b FROM g a JOIN g b USING (rsid, sample_id) WHERE a.assaytype = 'affy' AND b.assaytype = 'broad' AND a.gt <> b.gt AND a.sample_id::INT % 5 > 0")
+def csv_compare_mapped(s: SparkSession, d: str) -> DataFrame:
+    """Two panels whose samples have different ids, compared through a map that lacks some."""
+    c = called(s, d)
+    ids = c.select("sample_id").distinct().where(F.col("sample_id").cast("int") % 5 > 0).select(F.col("sample_id").alias("old"), F.concat(F.lit("X"), "sample_id").alias("new"))
+    return annotate.compare_mapped(c.where("assaytype = 'affy'"), c.where("assaytype = 'broad'").withColumn("sample_id", F.concat(F.lit("X"), "sample_id")), ids)
+
+
+@query(
+    _COUNTS + ", f AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY rsid ORDER BY assaytype) = 1), o AS (SELECT c.rsid, c.ref <> f.ref OR c.alt <> f.alt AS d, c.assaytype > f.assaytype AS further, "
+    "(f.homref - c.homref) ** 2 / (c.homref + 1)::DOUBLE + (f.het - c.het) ** 2 / (c.het + 1)::DOUBLE + (f.homalt - c.homalt) ** 2 / (c.homalt + 1)::DOUBLE AS x FROM counts c JOIN f USING (rsid)) "
+    "SELECT count(DISTINCT rsid) AS n_variants, count(DISTINCT CASE WHEN further THEN rsid END) AS n_overlap, count_if(d)::BIGINT AS n_allele_discord, count_if(further AND exp(-x / 2) < 1e-8)::BIGINT AS n_chi_discord FROM o"
+)
+def merge_counters(s: SparkSession, d: str) -> DataFrame:
+    return combine.merge_counters(metrics.call_counts(called(s, d), "rsid", "assaytype", "ref", "alt"))
+
+
+@query(
+    _ACCEPTED + ", sl AS (SELECT rsid, sample_id, count(*) AS slots FROM (SELECT DISTINCT rsid, assaytype FROM ok) JOIN samples USING (assaytype) GROUP BY ALL HAVING count(*) > 1), hd AS (SELECT rsid, sample_id, count(*) AS held FROM ok GROUP BY ALL), na AS (SELECT rsid, sum(slots - coalesce(held, 0)) AS n FROM sl LEFT JOIN hd USING (rsid, sample_id) GROUP BY rsid) "
+    "SELECT rsid, coalesce(n, 0)::BIGINT AS no_assay FROM (SELECT DISTINCT rsid FROM ok) LEFT JOIN na USING (rsid)"
+)
+def no_assay_counts(s: SparkSession, d: str) -> DataFrame:
+    return combine.no_assay_counts(long(s, d), sample_registry(s, d))
+
+
+@query("SELECT string_agg(sample_id, ',' ORDER BY list_posn) AS line FROM samples WHERE assaytype = 'exome'")
+def sample_list_line(s: SparkSession, d: str) -> DataFrame:
+    return reshape.list_line(_of(sample_registry(s, d), "exome"), "sample_id", "list_posn")
+
+
+@query("SELECT list_posn::INT AS place, sample_id AS name FROM samples WHERE assaytype = 'exome'")
+def sample_header_names(s: SparkSession, d: str) -> DataFrame:
+    return reshape.header_names(sample_list_line(s, d).select(F.col("line").alias("value")))

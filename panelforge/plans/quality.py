@@ -37,11 +37,24 @@ def p5_found(s: SparkSession, d: str) -> DataFrame:
     return eav.contradictory_cells(p5_wide(s, d))
 
 
+def p5_unpivoted(s: SparkSession, d: str) -> DataFrame:
+    """The wide rows taken apart again: cells with a value, conflicts and failures as rows."""
+    wide = p5_wide(s, d)
+    conflicts = wide.select("iid", F.explode("conflicts").alias("name"), F.lit("conflict").alias("kind"), F.lit(1).cast("long").alias("n"))
+    failures = wide.select("iid", F.explode("cast_failures").alias("name", "_f")).select("iid", "name", F.lit("failure").alias("kind"), F.col("_f.n").alias("n"))
+    return conflicts.unionByName(failures)
+
+
 def p5_typed(s: SparkSession, d: str) -> DataFrame:
     """The typed columns alone."""
     return p5_wide(s, d).drop("conflicts", "cast_failures")
 
 
+def p5_cast_failures(s: SparkSession, d: str) -> DataFrame:
+    """Every unreadable text of a cell."""
+    return eav.cast_failures(table(s, d, "pheno"), table(s, d, "pheno_meta")).select("iid", "name", "raw", "n_rows")
+
+
 def p5_failures(s: SparkSession, d: str) -> DataFrame:
     return eav.failure_report(table(s, d, "pheno"), table(s, d, "pheno_meta"))
 
@@ -62,12 +75,17 @@ def p7_found(s: SparkSession, d: str) -> DataFrame:
     return p7_rejected(s, d).select("line_id")
 
 
+def p7_rejected_lines(s: SparkSession, d: str) -> DataFrame:
+    """The rejected lines without the reason, which SQL does not know."""
+    return p7_rejected(s, d).drop("reason")
+
+
 def p7_summary(s: SparkSession, d: str) -> DataFrame:
     return strictload.load_summary(table(s, d, "raw_lines"), table(s, d, "pheno_meta"))
 
 
 def p7_loaded_genemap(s: SparkSession, d: str) -> DataFrame:
-    return strictload.load_genemap(strictload.content_lines(table(s, d, "raw_lines"))).drop("exonstarts", "exonends")
+    return strictload.load_genemap(strictload.content_lines(table(s, d, "raw_lines"))).withColumns({c: F.array_join(c, ",") for c in ("exonstarts", "exonends")})
 
 
 def p7_loaded_pheno(s: SparkSession, d: str) -> DataFrame:
@@ -78,7 +96,7 @@ def p7_loaded_grsinput(s: SparkSession, d: str) -> DataFrame:
     return strictload.load_grsinput(strictload.content_lines(table(s, d, "raw_lines"))).select("line_id", "varid", "ea", F.round("eaf", 6).alias("eaf"), F.round("wgt", 6).alias("wgt"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_report, p4_found, p5_wide, p5_typed, p5_found, p5_failures, p6_found, p6_stretches, p7_found, p7_rejected, p7_summary, p7_loaded_genemap, p7_loaded_pheno, p7_loaded_grsinput)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_report, p4_found, p5_wide, p5_typed, p5_found, p5_failures, p5_cast_failures, p5_unpivoted, p6_found, p6_stretches, p7_found, p7_rejected, p7_rejected_lines, p7_summary, p7_loaded_genemap, p7_loaded_pheno, p7_loaded_grsinput)}
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -178,12 +196,15 @@ ORACLES: dict[str, str] = {
     "p4_found": _P4,
     "p5_found": _CELLS + "SELECT iid, name FROM cells WHERE lo < hi",
     "p5_typed": _CELLS + "SELECT iid, " + ", ".join([f"max(CASE WHEN name = '{n}' THEN x END) AS {n}" for n in _CONTINUOUS] + [f"max(CASE WHEN name = '{n}' THEN x END) = 1.0 AS {n}" for n in _BINARY]) + " FROM (SELECT DISTINCT iid FROM cells) LEFT JOIN best USING (iid) GROUP BY iid",
+    "p5_cast_failures": _CELLS + "SELECT iid, name, raw, count(*) AS n_rows FROM read_ WHERE x IS NULL AND NOT missing AND iid IS NOT NULL GROUP BY iid, name, raw",
+    "p5_unpivoted": _CELLS + "SELECT iid, name, 'conflict' AS kind, 1::BIGINT AS n FROM cells WHERE lo < hi UNION ALL SELECT iid, name, 'failure', n_failed::BIGINT FROM cells WHERE n_failed > 0",
     "p5_failures": _CELLS + "SELECT name, count(*) AS n_cells, sum(n_rows)::BIGINT AS n_rows, sum(n_missing)::BIGINT AS n_missing, sum(n_failed)::BIGINT AS n_failed, count_if(lo < hi)::BIGINT AS n_conflicts FROM cells GROUP BY name",
     "p6_found": _ISLANDS + "SELECT genename, chrom, top AS gap_start, s AS gap_end FROM o WHERE s > top",
     "p6_stretches": _ISLANDS + "SELECT genename, chrom, min(s) AS stretch_start, max(e) AS stretch_end FROM i GROUP BY genename, chrom, island",
     "p7_found": _P7 + "SELECT line_id FROM bad",
+    "p7_rejected_lines": _P7 + "SELECT line_id, feed, file_name, line_no, body AS line FROM bad JOIN (SELECT line_id, file_name FROM raw_lines) USING (line_id)",
     "p7_summary": _P7 + "SELECT feed, count(*) AS n_lines, count_if(line_id IN (SELECT line_id FROM bad))::BIGINT AS n_rejected, count_if(line_id NOT IN (SELECT line_id FROM bad))::BIGINT AS n_loaded FROM body_ GROUP BY feed",
-    "p7_loaded_genemap": _P7 + "SELECT line_id, f[1] AS genename, f[2] AS name, f[3] AS chrom, f[4] AS strand, b[1] AS txstart, b[2] AS txend, b[3] AS cdsstart, b[4] AS cdsend, b[5] AS exoncount FROM genemap_",
+    "p7_loaded_genemap": _P7 + "SELECT line_id, f[1] AS genename, f[2] AS name, f[3] AS chrom, f[4] AS strand, b[1] AS txstart, b[2] AS txend, b[3] AS cdsstart, b[4] AS cdsend, b[5] AS exoncount, " + ", ".join(f"array_to_string(list_filter(list_transform(string_split(f[{i}], ','), lambda x: try_cast(CASE WHEN regexp_full_match(x, '\\s*[+-]?[0-9]+\\s*') THEN x END AS INTEGER)), lambda x: x IS NOT NULL), ',') AS {n}" for i, n in ((10, "exonstarts"), (11, "exonends"))) + " FROM genemap_",
     "p7_loaded_pheno": _P7 + "SELECT line_id, iid, name, value, number FROM pheno_",
     "p7_loaded_grsinput": _P7 + "SELECT line_id, varid, ea, round(eaf, 6) AS eaf, round(wgt, 6) AS wgt FROM grs_",
 }

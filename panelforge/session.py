@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -11,12 +12,16 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; a folder of our own only
-    where the session names none (local tests)."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; a folder of our own only where the session names
+    none and runs on this machine alone.  On a cluster without a named folder there is an error, as no folder of one machine
+    will do.  Checkpoints are removed with their frames where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -24,6 +24,23 @@ def write_call_file(lines: DataFrame, samples: list[str], path: str) -> None:
     head.unionByName(body).orderBy("ord").select("value").write.mode("errorifexists").option("compression", "gzip").text(path)
 
 
+def write_lines(head: DataFrame, records: DataFrame, path: str) -> None:
+    """A filtered call file: header lines (``line_ord``, ``value``) and the unchanged ``line`` of the records that are kept, in the
+    order of the file, as gzip text."""
+    body = records.select(F.col("file_ord").alias("line_ord"), F.col("line").alias("value"))
+    head.select("line_ord", "value").unionByName(body).orderBy("line_ord").select("value").write.mode("errorifexists").option("compression", "gzip").text(path)
+
+
+def write_csv_gz(df: DataFrame, path: str) -> None:
+    df.write.mode("errorifexists").option("header", True).option("compression", "gzip").csv(path)
+
+
+def write_download(summary: DataFrame, samples: DataFrame, path: str) -> None:
+    """What a request downloads: the summary of its variants, and beside it the genotypes of each panel."""
+    summary.write.mode("errorifexists").option("header", True).csv(f"{path}/snp_summary")
+    write_by_panel(samples, f"{path}/samples")
+
+
 def write_by_panel(df: DataFrame, path: str) -> None:
     """One CSV folder per panel, the combined one among them."""
     df.write.mode("errorifexists").partitionBy("assaytype").option("header", True).csv(path)

@@ -28,6 +28,27 @@ def call_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_ord"), "value")
 
 
+def meta_lines(lines: DataFrame) -> DataFrame:
+    """(path, line_ord, key, value) of the meta lines, ``##key=value``."""
+    text = F.substring("value", 3, 1_000_000)
+    return lines.where(F.col("value").startswith("##")).select("path", "line_ord", F.substring_index(text, "=", 1).alias("key"), F.expr("substring(value, 4 + length(substring_index(substring(value, 3), '=', 1)))").alias("value"))
+
+
+def record_text(records: DataFrame) -> Column:
+    """A record as a line again, from its fields as they are now."""
+    fixed = [F.col(c).cast("string") for c in ("chromosome", "position", "rsid", "ref", "alt", "qual", "filter", "info_text", "format")]
+    return F.concat_ws("\t", *fixed, F.array_join("genos", "\t"))
+
+
+def raw_counts(records: DataFrame) -> DataFrame:
+    """Adds the number of genotypes, of the file's own calls of each kind, and the call rate by them (anything but ``./.`` is a
+    call), without any threshold and without a shuffle."""
+    own = F.transform("genos", lambda g: F.substring_index(g, ":", 1))
+    n = lambda v: F.size(F.filter("_own", lambda x: x == v)).cast("long")
+    rows = records.withColumn("_own", own).withColumns({"raw_n": F.size("_own").cast("long"), "raw_homref": n("0/0"), "raw_het": n("0/1"), "raw_homalt": n("1/1"), "raw_miss": n("./."), "raw_dot": n(".")})
+    return rows.withColumn("raw_cr", F.try_divide(F.col("raw_n") - F.col("raw_miss"), F.col("raw_n"))).drop("_own")
+
+
 def samples_of(lines: DataFrame, assaytype: Column) -> DataFrame:
     """(assaytype, sample_id, list_posn): the 0-based slot of each sample, from the header lines."""
     head = lines.where(F.col("value").startswith("#CHROM")).select(assaytype.alias("assaytype"), F.split("value", "\t").alias("f"))

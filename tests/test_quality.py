@@ -87,8 +87,8 @@ def test_wide(spark):
     ]
     out = {r["iid"]: r.asDict() for r in eav.wide(pheno(spark, rows), meta(spark)).collect()}
     assert set(out) == {"01", "1", "3"}
-    assert (out["01"]["waist_circ"], out["01"]["t2d"], out["01"]["conflicts"], out["01"]["cast_failures"]) == (1.8, False, ["t2d"], {"waist_circ": "180?"})
-    assert (out["1"]["waist_circ"], out["1"]["t2d"], out["1"]["iid_"], out["1"]["conflicts"], out["1"]["cast_failures"]) == (90.0, None, 20.0, ["waist_circ"], {"t2d": "1.0"})
+    assert (out["01"]["waist_circ"], out["01"]["t2d"], out["01"]["conflicts"], out["01"]["cast_failures"]) == (1.8, False, ["t2d"], {"waist_circ": (1, "180?")})
+    assert (out["1"]["waist_circ"], out["1"]["t2d"], out["1"]["iid_"], out["1"]["conflicts"], out["1"]["cast_failures"]) == (90.0, None, 20.0, ["waist_circ"], {"t2d": (1, "1.0")})
     assert out["3"]["t2d"] is None and out["3"]["iid_"] is None and set(out["3"]["cast_failures"]) == {"iid"}
     found = eav.contradictory_cells(eav.wide(pheno(spark, rows), meta(spark)))
     assert {tuple(r) for r in found.collect()} == {("01", "t2d"), ("1", "waist_circ")}
