@@ -1,7 +1,7 @@
 """Combining the records of a variant on several panels into one record over the union of samples.
 
-All in long form: one shuffle on (variant, sample) brings the few genotypes of a cell together, whatever the number of
-panels, and the metrics follow from the cells by a combining aggregation.
+``merge.py`` combines whole records, one shuffle per variant; it is what the registered queries use.  ``cells`` does the same
+in long form, for genotypes that come as rows and are few (one shuffle on variant and sample).
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions import genotype as G
-from panelforge.operators.metrics import call_counts, chi_square_concordance, minor_allele, record_metrics, with_calls
+from panelforge.operators import merge
+from panelforge.operators.metrics import chi_square_concordance, with_calls
 from panelforge.session import broadcast_if_small, cut
 
 #: Panels of one cohort; their names are held by the driver.
@@ -155,23 +156,6 @@ def error_gate(metrics: DataFrame, err_pct: float = 10.0) -> DataFrame:
     return metrics.where(F.col("err_pct") < err_pct)
 
 
-def results(long: DataFrame, policy: str = "argmax", threshold: float = 0.9) -> DataFrame:
-    """The result page of a request: metrics of each variant on each panel and of the combined record, in one frame."""
-    called = with_calls(long, threshold)
-    head = ["rsid", "chromosome", "position"]
-    first = first_alleles(long)
-    panels = record_metrics(call_counts(called, *head, "assaytype", "ref", "alt", "info"))
-    resolved = cut(cells(with_agreement(called, first=first).where("accepted"), policy).select("rsid", "sample_id", "gt", "n_panels", "n_calls"))
-    over = resolved.groupBy("rsid").agg(F.count_if(F.col("n_panels") > 1).alias("_o"), F.sum(F.when(F.col("n_panels") > 1, F.col("n_calls") - 1).otherwise(0)).alias("_m"))
-    # the record that is printed is the last accepted one in panel order
-    last = with_agreement(long.select("rsid", "chromosome", "position", "assay_ord", "ref", "alt", "info").distinct(), first=first).where("accepted").groupBy("rsid").agg(F.max_by(F.struct("chromosome", "position", "ref", "alt", "info"), "assay_ord").alias("r"))
-    both = record_metrics(call_counts(resolved, "rsid")).join(over, "rsid").join(broadcast_if_small(last), "rsid")
-    both = both.select("*", F.col("r.*")).withColumn("assaytype", F.lit("combined")).withColumn("errpct", F.coalesce(F.try_divide(100.0 * F.col("_m"), F.col("_o")), F.lit(0.0)))
-    panels, both = (rows.withColumn("minor", minor_allele(F.col("ref"), F.col("alt"))) for rows in (panels, both))
-    cols = ["rsid", "minor", "assaytype", "chromosome", "position", "ref", "raf", "alt", "aaf", "cr", "maf", "hwep", "miss", "n", "info", "errpct"]
-    return panels.withColumn("errpct", F.lit(None).cast("double")).select(*cols).unionByName(both.select(*cols))
-
-
 def with_occurrence(long: DataFrame) -> DataFrame:
     """Numbers the records of a panel at one position: the i-th there pairs with the i-th of another panel.  Records are told
     apart and ordered by ``file_ord`` where the rows have it, then by alleles and id.  Only places with several records of a
@@ -191,8 +175,11 @@ def chromosome_merge(long: DataFrame, threshold: float = 0.9, err_pct: float = 1
     names = [r[0] for r in long.select("assaytype").distinct().limit(MAX_PANELS + 1).collect()]
     if len(names) > MAX_PANELS:
         raise ValueError(f"more than {MAX_PANELS} panels")
-    place = F.struct(F.concat_ws(":", "chromosome", "position").alias("place"), "occurrence")
-    ordered = with_occurrence(long).withColumn("assay_ord", assay_order(sorted(names, reverse=True))).withColumn("_at", place)
-    resolved = cut(combined(ordered, "fold", threshold, "_at"))  # the gate needs a whole variant before any of its cells
-    kept = error_gate(cell_counters(resolved, "_at"), err_pct).select("_at")
-    return resolved.join(broadcast_if_small(kept), "_at", "left_semi").select("_at.*", *[c for c in resolved.columns if c != "_at"])
+    names = sorted(names, reverse=True)
+    place = F.concat_ws("#", F.concat_ws(":", "chromosome", "position"), "occurrence")
+    ordered = with_calls(with_occurrence(long).withColumn("assay_ord", assay_order(names)).withColumn("_at", place), threshold)
+    whole = merge.merged_records(merge.record_arrays(ordered, "_at"), "fold", "_at").where("assaytype = 'combined'")
+    kept = whole.where(F.coalesce(F.try_divide(100.0 * F.col("mismatch"), F.col("overlap_test")), F.lit(0.0)) < err_pct)
+    cells = merge.combined_cells(kept, dict(enumerate(names)), "_at")
+    parts = F.split("_at", "#")
+    return cells.select(parts[0].alias("place"), parts[1].cast("int").alias("occurrence"), *[c for c in cells.columns if c != "_at"])

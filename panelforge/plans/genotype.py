@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions import genotype as G
-from panelforge.operators import annotate, assoc, catalogue, chunks, combine, grs, metrics, qc, reshape
-from panelforge.plans.fixture import SQL, genotypes, phenotypes, sample_registry, weights
+from panelforge.operators import annotate, assoc, catalogue, chunks, combine, grs, merge, metrics, qc, reshape
+from panelforge.plans.fixture import ASSAYS, SQL, genotypes, phenotypes, sample_registry, weights
 from panelforge.plans.fixture import catalogue as derived_catalogue
 from panelforge.session import broadcast_if_small, cut, table
 from panelforge.sources import vcf
@@ -50,6 +50,16 @@ def called(s: SparkSession, d: str) -> DataFrame:
     return metrics.with_calls(genotypes(s, d).withColumn("assay_ord", F.col("assay_no")))
 
 
+def merged(s: SparkSession, d: str, policy: str = "argmax") -> DataFrame:
+    """All records, and the combined one of each variant."""
+    return merge.merged_records(merge.record_arrays(called(s, d)), policy)
+
+
+def combined(s: SparkSession, d: str, policy: str = "argmax") -> DataFrame:
+    """The cells of the combined records."""
+    return merge.combined_cells(merged(s, d, policy), dict(enumerate(ASSAYS)))
+
+
 def _of(rows: DataFrame, panel: str | None) -> DataFrame:
     """The rows of a panel, or of all."""
     return rows if panel is None else rows.where(F.col("assaytype") == panel)
@@ -150,20 +160,17 @@ _FOLD = _ACCEPTED + ", s0 AS (SELECT DISTINCT rsid, sample_id, '' AS gt, 0.0::DO
 
 @query(_ARGMAX + "SELECT rsid, sample_id, gt, round(hi, 6) AS p, assaytype, n_panels::INT AS n_panels, n_calls::INT AS n_calls FROM win JOIN cell USING (rsid, sample_id)")
 def combine_argmax(s: SparkSession, d: str) -> DataFrame:
-    return combine.combined(long(s, d), "argmax").select("rsid", "sample_id", "gt", r("p").alias("p"), "assaytype", "n_panels", "n_calls")
+    return combined(s, d).select("rsid", "sample_id", "gt", r("p").alias("p"), "assaytype", "n_panels", "n_calls")
 
 
 @query(_FOLD + "SELECT rsid, sample_id, gt, round(p, 6) AS p, assaytype, n_panels::INT AS n_panels, same_prob, diff_prob FROM folded")
 def combine_fold(s: SparkSession, d: str) -> DataFrame:
-    return combine.combined(long(s, d), "fold").select("rsid", "sample_id", "gt", r("p").alias("p"), "assaytype", "n_panels", "same_prob", "diff_prob")
+    return combined(s, d, "fold").select("rsid", "sample_id", "gt", r("p").alias("p"), "assaytype", "n_panels", "same_prob", "diff_prob")
 
 
 @query(_ACCEPTED + ", cr AS (SELECT assaytype, rsid, avg(CASE WHEN gt = './.' THEN 0.0 ELSE 1.0 END) AS record_cr FROM g GROUP BY ALL), w2 AS (SELECT ok.* FROM ok JOIN cr USING (assaytype, rsid) QUALIFY row_number() OVER (PARTITION BY rsid, sample_id ORDER BY hi DESC, round(record_cr, 9) DESC, assay_no) = 1) SELECT rsid, sample_id, gt, round(hi, 6) AS p, assaytype FROM w2")
 def combine_callrate(s: SparkSession, d: str) -> DataFrame:
-    c = called(s, d)
-    rate = metrics.record_metrics(metrics.call_counts(c, "assaytype", "rsid")).select("assaytype", "rsid", r("cr", 9).alias("record_cr"))
-    rows = combine.with_agreement(c).where("accepted").join(rate, ["assaytype", "rsid"])
-    return combine.cells(rows, "callrate").select("rsid", "sample_id", "gt", r("p").alias("p"), "assaytype")
+    return combined(s, d, "callrate").select("rsid", "sample_id", "gt", r("p").alias("p"), "assaytype")
 
 
 _CM = _FOLD + """
@@ -175,19 +182,23 @@ _CM = _FOLD + """
 _CM_COLS = ("all_geno", "unique_geno", "overlap_test", "two_overlap", "gt_two_overlap", "mismatch", "miss_test", "missing", "same_prob_diffs", "diff_prob_diffs")
 
 
+def _fold_counters(s: SparkSession, d: str) -> DataFrame:
+    return merge.combined_counters(merged(s, d, "fold"), genotypes(s, d).select("sample_id").distinct().count())
+
+
 @query(_CM + f"SELECT rsid, {', '.join(_CM_COLS)}, round(coalesce(100.0::DOUBLE * mismatch / nullif(overlap_test, 0), 0), 6) AS err_pct FROM cm")
 def combine_metrics(s: SparkSession, d: str) -> DataFrame:
-    return combine.combine_metrics(long(s, d)).select("rsid", *_CM_COLS, r("err_pct").alias("err_pct"))
+    return _fold_counters(s, d).select("rsid", *_CM_COLS, r("err_pct").alias("err_pct"))
 
 
 @query(_CM + f"SELECT count(*) AS n_variants, {', '.join(f'sum({c})::BIGINT AS {c}' for c in _CM_COLS)} FROM cm")
 def combine_totals(s: SparkSession, d: str) -> DataFrame:
-    return combine.total_metrics(combine.combine_metrics(long(s, d)))
+    return combine.total_metrics(_fold_counters(s, d))
 
 
 @query(_CM + "SELECT rsid, mismatch, overlap_test FROM cm WHERE coalesce(100.0::DOUBLE * mismatch / nullif(overlap_test, 0), 0) < 80.0")
 def errpct_gate(s: SparkSession, d: str) -> DataFrame:
-    return combine.error_gate(combine.combine_metrics(long(s, d)), 80.0).select("rsid", "mismatch", "overlap_test")
+    return combine.error_gate(_fold_counters(s, d), 80.0).select("rsid", "mismatch", "overlap_test")
 
 
 @query(_ACCEPTED + "SELECT DISTINCT rsid, assaytype, ref, alt FROM g JOIN fst USING (rsid) WHERE ref <> ref1 OR alt <> alt1")
@@ -213,7 +224,7 @@ def chromosome_merge(s: SparkSession, d: str) -> DataFrame:
 @query()
 def combined_variant_metrics(s: SparkSession, d: str) -> DataFrame:
     """The result page: metrics per panel and of the combined record."""
-    rows = combine.results(long(s, d))
+    rows = merge.results(merged(s, d))
     return rows.select("rsid", "assaytype", "chromosome", "position", "ref", "alt", "miss", "n", *[r(c).alias(c) for c in ("raf", "aaf", "cr", "maf", "info", "errpct")], r("hwep", 8).alias("hwep"))
 
 
@@ -233,7 +244,7 @@ def request_results(s: SparkSession, d: str) -> DataFrame:
     """The same for a list of requested ids, in the order of the request; the list is broadcast and prunes the genotypes
     before anything is shuffled."""
     asked = request(s)
-    rows = combine.results(cut(combine.requested(genotypes(s, d).withColumn("assay_ord", F.col("assay_no")), asked).drop("req_ord")))
+    rows = merge.results(merge.merged_records(merge.record_arrays(combine.requested(called(s, d), asked).drop("req_ord"))))
     rows = rows.join(F.broadcast(asked), "rsid").orderBy("req_ord", "assaytype")  # the list is the request itself
     return rows.select("req_ord", "rsid", "assaytype", "chromosome", "position", "ref", "alt", "miss", "n", *[r(c).alias(c) for c in ("raf", "aaf", "cr", "maf", "info", "errpct")], r("hwep", 8).alias("hwep"))
 
@@ -357,7 +368,7 @@ def stored_weight_names(s: SparkSession, d: str) -> DataFrame:
 
 @query(_ARGMAX + "SELECT sample_id AS \"FID\", sample_id AS \"IID\", " + ", ".join(f"coalesce(max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN '0' WHEN '0/1' THEN '1' WHEN '1/1' THEN '2' ELSE '-9' END END), '.') AS {i}" for i in REQUEST) + " FROM (SELECT DISTINCT sample_id FROM g) LEFT JOIN win USING (sample_id) GROUP BY sample_id")
 def csv_transpose(s: SparkSession, d: str) -> DataFrame:
-    return reshape.transposed(combine.combined(long(s, d)), sample_registry(s, d), list(REQUEST))
+    return reshape.transposed(combined(s, d), sample_registry(s, d), list(REQUEST))
 
 
 _WIDE = ", ".join(f"max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE -9 END END) AS {i}, round(max(CASE WHEN rsid = '{i}' THEN hi END), 6) AS {i}_c, max(CASE WHEN rsid = '{i}' THEN assaytype END) AS {i}_p, max(CASE WHEN rsid = '{i}' THEN alt END) AS {i}_alt" for i in REQUEST)
@@ -372,9 +383,7 @@ def csv_web_wide(s: SparkSession, d: str) -> DataFrame:
 
 @query(_ARGMAX + f"SELECT sample_id, {_WIDE} FROM win WHERE rsid IN {REQUEST} GROUP BY sample_id")
 def csv_web_wide_combined(s: SparkSession, d: str) -> DataFrame:
-    agreed = combine.with_agreement(metrics.with_calls(long(s, d))).where("accepted")
-    alts = agreed.select("rsid", "alt").distinct()
-    wide = reshape.with_confidence(combine.cells(agreed).join(broadcast_if_small(alts.where(F.col("rsid").isin(*REQUEST))), "rsid"), list(REQUEST))
+    wide = reshape.with_confidence(combined(s, d), list(REQUEST))
     return wide.select("sample_id", *[(r(c) if c.endswith("_c") else F.col(c)).alias(c) for c in _WIDE_COLS])
 
 
@@ -390,7 +399,7 @@ def csv_plain_all(s: SparkSession, d: str, panel: str | None = None) -> DataFram
 
 @query(_ARGMAX + f"SELECT sample_id AS \"IID\", rsid, CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 ELSE 2 END AS value FROM win WHERE gt <> './.' AND rsid IN {REQUEST}")
 def csv_unpivot(s: SparkSession, d: str) -> DataFrame:
-    wide = reshape.transposed(combine.combined(long(s, d)), sample_registry(s, d), list(REQUEST)).replace(".", None)
+    wide = reshape.transposed(combined(s, d), sample_registry(s, d), list(REQUEST)).replace(".", None)
     return reshape.unpivoted(wide, "IID", list(REQUEST))
 
 
@@ -457,14 +466,9 @@ def store_new_names(s: SparkSession, d: str) -> DataFrame:
 _GRS = _ARGMAX + ", lst AS (SELECT DISTINCT rsid, ref, alt FROM ok), sc AS (SELECT w.*, ea, wgt, CASE w.gt WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE 0 END AS dose FROM win w JOIN weights USING (rsid) WHERE ea IN (ref, alt)) "
 
 
-def _combined_with_alleles(s: SparkSession, d: str) -> DataFrame:
-    agreed = combine.with_agreement(metrics.with_calls(long(s, d))).where("accepted")
-    return combine.cells(agreed).join(agreed.select("rsid", "ref", "alt").distinct(), "rsid")
-
-
 @query(_GRS + "SELECT sample_id, count_if(gt <> './.')::BIGINT AS snp_count, round(sum(CASE WHEN gt <> './.' THEN dose * wgt * CASE WHEN ea = ref THEN -1 ELSE 1 END ELSE 0 END), 6) AS score_sign, round(sum(CASE WHEN gt <> './.' THEN CASE WHEN ea = alt THEN dose ELSE 2 - dose END * wgt ELSE 0 END), 6) AS score_flip FROM sc GROUP BY sample_id")
 def grs_scores(s: SparkSession, d: str) -> DataFrame:
-    return grs.scores(_combined_with_alleles(s, d), weights(s, d)).select("sample_id", "snp_count", r("score_sign").alias("score_sign"), r("score_flip").alias("score_flip"))
+    return grs.scores(combined(s, d), weights(s, d)).select("sample_id", "snp_count", r("score_sign").alias("score_sign"), r("score_flip").alias("score_flip"))
 
 
 _LOCAL = _METRICS + ", loc AS (SELECT rsid, ref, alt, CASE WHEN homref < homalt THEN ref ELSE alt END AS minor, maf FROM m WHERE assaytype = 'illumina')"
@@ -489,7 +493,7 @@ _SS = _DECIDE + _ACCEPTED.replace("\n, fst", ", fst", 1) + ", win AS (SELECT * F
 
 @query(_SS + "SELECT sample_id, count(*) AS snp_count, round(sum(CASE w.gt WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE 0 END * CASE WHEN decision = 'FLIP' THEN -wgt ELSE wgt END), 6) AS score, CASE WHEN count(*) >= (SELECT count(*) FROM dec WHERE decision <> 'REJECT') // 2 THEN 'OUTPUT' ELSE 'LOWCOUNT' END AS status FROM win w JOIN dec ON w.rsid = dec.rsid WHERE decision <> 'REJECT' AND w.gt <> './.' GROUP BY sample_id")
 def grs_completeness(s: SparkSession, d: str) -> DataFrame:
-    return grs.strand_scores(combine.combined(long(s, d)), _decisions(s, d)).select("sample_id", "snp_count", r("score").alias("score"), "status")
+    return grs.strand_scores(combined(s, d), _decisions(s, d)).select("sample_id", "snp_count", r("score").alias("score"), "status")
 
 
 # --- association ----------------------------------------------------------------------------------------------------------
@@ -499,7 +503,7 @@ _AS = _ARGMAX + ", aj AS (SELECT rsid, CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN
 
 @query(_AS + "SELECT rsid, count(*) AS n, round(regr_slope(y, x), 4) AS beta, round(regr_intercept(y, x), 4) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM aj GROUP BY rsid")
 def assoc_linear(s: SparkSession, d: str) -> DataFrame:
-    out = assoc.associate(combine.combined(long(s, d)), phenotypes(s, d), "continuous", "Continuous")
+    out = assoc.associate(combined(s, d), phenotypes(s, d), "continuous", "Continuous")
     return out.select("rsid", "n", r("beta", 4).alias("beta"), r("intercept", 4).alias("intercept"), r("r2").alias("r2"))
 
 
@@ -508,14 +512,14 @@ def assoc_linear(s: SparkSession, d: str) -> DataFrame:
     "round(a * d / nullif(b2 * c, 0), 6) AS odds_ratio, round((a + b2 + c + d) * (a * d - b2 * c) ** 2 / nullif((a + b2) * (c + d) * (a + c) * (b2 + d), 0), 6) AS chi_square FROM t"
 )
 def assoc_allelic(s: SparkSession, d: str) -> DataFrame:
-    out = assoc.associate(combine.combined(long(s, d)), phenotypes(s, d), "binary", "Binary")
+    out = assoc.associate(combined(s, d), phenotypes(s, d), "binary", "Binary")
     return out.select("rsid", "case_alt", "case_ref", "control_alt", "control_ref", r("odds_ratio").alias("odds_ratio"), r("chi_square").alias("chi_square"))
 
 
 @query()
 def assoc_p_values(s: SparkSession, d: str) -> DataFrame:
     """Both tests with their p values, which SQL cannot compute."""
-    cells = combine.combined(long(s, d))
+    cells = combined(s, d)
     a = assoc.associate(cells, phenotypes(s, d), "continuous", "Continuous").select("rsid", F.col("p_value").alias("p_linear"))
     b = assoc.associate(cells, phenotypes(s, d), "binary", "Binary").select("rsid", F.col("p_value").alias("p_allelic"))
     return a.join(b, "rsid")
@@ -612,7 +616,7 @@ def normalised_calls_all(s: SparkSession, d: str, panel: str | None = None) -> D
 @query(_GRS + ", l AS (SELECT sample_id, count_if(gt <> './.') AS n, round(sum(CASE WHEN gt <> './.' THEN dose * wgt * CASE WHEN ea = ref THEN -1 ELSE 1 END ELSE 0 END), 6) + 0.0 AS a, round(sum(CASE WHEN gt <> './.' THEN CASE WHEN ea = alt THEN dose ELSE 2 - dose END * wgt ELSE 0 END), 6) + 0.0 AS b FROM sc GROUP BY sample_id) SELECT format('001:{},{},{:.6f}', sample_id, n, a::DOUBLE) AS line FROM l UNION ALL SELECT format('002:{},{},{:.6f}', sample_id, n, b::DOUBLE) FROM l")
 def grs_lines(s: SparkSession, d: str) -> DataFrame:
     """Both scores as labelled text lines."""
-    sc = grs.scores(_combined_with_alleles(s, d), weights(s, d))
+    sc = grs.scores(combined(s, d), weights(s, d))
     line = lambda tag, c: sc.select(F.concat(F.lit(tag), F.format_string("%s,%d,%.6f", "sample_id", "snp_count", r(c) + F.lit(0.0))).alias("line"))
     return line("001:", "score_sign").unionByName(line("002:", "score_flip"))
 
@@ -627,7 +631,7 @@ def stats_lines(s: SparkSession, d: str) -> DataFrame:
 @query(_ARGMAX + ", w AS (SELECT sample_id, " + ", ".join(f"coalesce(max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN '0' WHEN '0/1' THEN '1' WHEN '1/1' THEN '2' ELSE '-9' END END), '.') AS {i}" for i in REQUEST) + " FROM (SELECT DISTINCT sample_id FROM g) LEFT JOIN win USING (sample_id) GROUP BY sample_id) SELECT sample_id AS \"FID\", sample_id AS \"IID\", rs1005, rs1049 FROM w")
 def csv_cut_columns(s: SparkSession, d: str) -> DataFrame:
     """Named columns of a wide table in name order; unknown names are ignored."""
-    wide = reshape.transposed(combine.combined(long(s, d)), sample_registry(s, d), list(REQUEST)).drop("FID")
+    wide = reshape.transposed(combined(s, d), sample_registry(s, d), list(REQUEST)).drop("FID")
     return reshape.cut_columns(wide, ["rs1049", "rs1005", "rs999999999"])
 
 
@@ -701,7 +705,7 @@ ORACLES["combo_stats"] = f"SELECT q.rsid, 'combo' AS assaytype, q.chromosome, q.
 @query()
 def combo_stats(s: SparkSession, d: str) -> DataFrame:
     """Statistics of the combined records."""
-    rows = combine.results(long(s, d)).where("assaytype = 'combined'")
+    rows = merge.results(merged(s, d)).where("assaytype = 'combined'")
     return rows.select("rsid", F.lit("combo").alias("assaytype"), "chromosome", "position", "ref", "alt", "minor", r("maf").alias("maf"), r("cr").alias("call_rate"), r("hwep", 8).alias("hwe_pval"))
 
 
