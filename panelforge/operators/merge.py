@@ -30,10 +30,11 @@ HEAD = ("chromosome", "position", "ref", "alt", "info")
 def record_arrays(called: DataFrame, key: str = "rsid") -> DataFrame:
     """(key, assay_ord, assaytype, *HEAD, sample, p, code): called genotypes in long form as one row per record.  Rows
     without a sample id take no part."""
-    code = G.lit_map(CODES)[F.col("gt")]
-    cells = F.collect_list(F.struct("sample_id", "p", code.alias("c")))
-    rows = called.where(code.isNotNull() & F.col("sample_id").isNotNull()).repartition(key).groupBy(key, "assay_ord", "assaytype", *HEAD).agg(cells.alias("_c"))
-    return rows.select(key, "assay_ord", "assaytype", *HEAD, *[F.col(f"_c.{f}").alias(n) for n, f in (("sample", "sample_id"), ("p", "p"), ("code", "c"))])
+    # p and code are worked out once, below the exchange; a filter on the code would work it out again
+    narrow = called.where(F.col("sample_id").isNotNull()).select(key, "assay_ord", "assaytype", *HEAD, "sample_id", "p", G.lit_map(CODES)[F.col("gt")].cast("byte").alias("c"))
+    rows = narrow.repartition(key).groupBy(key, "assay_ord", "assaytype", *HEAD).agg(F.collect_list(F.struct("sample_id", "p", "c")).alias("_c"))
+    rows = rows.withColumn("_c", F.filter("_c", lambda e: e["c"].isNotNull()))
+    return rows.select(key, "assay_ord", "assaytype", *HEAD, F.col("_c.sample_id").alias("sample"), F.col("_c.p").alias("p"), F.col("_c.c").cast("array<int>").alias("code"))
 
 
 def stored_arrays(records: DataFrame, samples: DataFrame, threshold: float = 0.9) -> DataFrame:
