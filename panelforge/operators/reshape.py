@@ -89,26 +89,28 @@ def probability_rows(cells: DataFrame, samples: DataFrame, panel: str = "assayty
     return have.select(panel, "rsid", F.concat_ws(" ", F.lit("---"), "rsid", text).alias("line"))
 
 
-def transposed_raw(genos: DataFrame, ids: list[str], platform: str | None = None) -> DataFrame:
-    """Per sample and id the file's own call as a number, ``_prob`` greatest probability, ``_plat`` panel (or ``platform`` for all)
+def transposed_raw(genos: DataFrame, ids: list[str], platform: str | None = None, by: tuple[str, ...] = ("sample_id",)) -> DataFrame:
+    """Per ``by`` and id the file's own call as a number, ``_prob`` greatest probability, ``_plat`` panel (or ``platform`` for all)
     and ``_min`` the alternative allele, no threshold applied; all blank where the sample was not assayed.  ``genos`` has
     (rsid, sample_id, file_gt, probs, assaytype, alt)."""
     there = F.col("file_gt") != "."
     plat = F.lit(platform) if platform is not None else F.col("assaytype")
     shown = lambda c: F.when(there, c)
-    return _pivot(genos, ["sample_id"], _checked(ids), {"": shown(G.call_number(F.col("file_gt"))), "_prob": shown(G.top_probability(F.col("probs"))), "_plat": shown(plat), "_min": shown(F.col("alt"))})
+    return _pivot(genos, list(by), _checked(ids), {"": shown(G.call_number(F.col("file_gt"))), "_prob": shown(G.top_probability(F.col("probs"))), "_plat": shown(plat), "_min": shown(F.col("alt"))})
 
 
-def list_line(rows: DataFrame, column: str, order: str, max_items: int = 10_000) -> DataFrame:
-    """(line): the values of a short list as one comma-separated line; more than ``max_items`` raise an error."""
-    if rows.limit(max_items + 1).count() > max_items:
+def list_line(rows: DataFrame, column: str, order: str, max_items: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, line): the values of a short list as one comma-separated line, a list for each ``by``; one of more than
+    ``max_items`` raises an error."""
+    item = F.struct(F.col(order).alias("o"), F.col(column).cast("string").alias("v"))
+    if rows.groupBy(*by).count().where(F.col("count") > max_items).limit(1).count():
         raise ValueError(f"the list has more than {max_items} items")
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).cast("string").alias("v")))), lambda e: e["v"]), ",").alias("line"))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda e: e["v"]), ",").alias("line"))
 
 
 def header_names(lines: DataFrame, separator: str = ",") -> DataFrame:
-    """(place, name) of the columns that header lines (column ``value``) name."""
-    return lines.select(F.posexplode(F.split("value", separator)).alias("place", "name"))
+    """(place, name) of the columns that header lines (column ``value``) name, beside the other columns of ``lines``."""
+    return lines.select(*[c for c in lines.columns if c != "value"], F.posexplode(F.split("value", separator)).alias("place", "name"))
 
 
 def cut_columns(df: DataFrame, wanted: list[str]) -> DataFrame:

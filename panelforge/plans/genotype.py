@@ -60,11 +60,6 @@ def combined(s: SparkSession, d: str, policy: str = "argmax") -> DataFrame:
     return merge.combined_cells(merged(s, d, policy), dict(enumerate(ASSAYS)))
 
 
-def _of(rows: DataFrame, panel: str | None) -> DataFrame:
-    """The rows of a panel, or of all."""
-    return rows if panel is None else rows.where(F.col("assaytype") == panel)
-
-
 def request(s: SparkSession) -> DataFrame:
     return s.createDataFrame([(i, x) for i, x in enumerate(REQUEST)], "req_ord int, rsid string")
 
@@ -387,14 +382,9 @@ def csv_web_wide_combined(s: SparkSession, d: str) -> DataFrame:
     return wide.select("sample_id", *[(r(c) if c.endswith("_c") else F.col(c)).alias(c) for c in _WIDE_COLS])
 
 
-@query("SELECT sample_id, " + ", ".join(f"max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE -9 END END) AS {i}" for i in REQUEST) + f" FROM g WHERE assaytype = 'affy' AND rsid IN {REQUEST} GROUP BY sample_id")
-def csv_plain(s: SparkSession, d: str) -> DataFrame:
-    return csv_plain_all(s, d, "affy").drop("assaytype")
-
-
 @query("SELECT assaytype, sample_id, " + ", ".join(f"max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE -9 END END) AS {i}" for i in REQUEST) + f" FROM g WHERE rsid IN {REQUEST} GROUP BY assaytype, sample_id")
-def csv_plain_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
-    return reshape.plain_calls(_of(called(s, d), panel), list(REQUEST))
+def csv_plain(s: SparkSession, d: str) -> DataFrame:
+    return reshape.plain_calls(called(s, d), list(REQUEST))
 
 
 @query(_ARGMAX + f"SELECT sample_id AS \"IID\", rsid, CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 ELSE 2 END AS value FROM win WHERE gt <> './.' AND rsid IN {REQUEST}")
@@ -403,46 +393,27 @@ def csv_unpivot(s: SparkSession, d: str) -> DataFrame:
     return reshape.unpivoted(wide, "IID", list(REQUEST))
 
 
-@query("SELECT rsid, '--- ' || rsid || ' ' || string_agg(CASE WHEN x.sample_id IS NULL THEN '0.0000 0.0000 0.0000' ELSE format('{:.4f} {:.4f} {:.4f}', x.p0, x.p1, x.p2) END, ' ' ORDER BY a.sample_id) AS line FROM (SELECT DISTINCT rsid FROM g WHERE assaytype = 'broad') r CROSS JOIN (SELECT DISTINCT sample_id FROM samples WHERE assaytype = 'broad') a LEFT JOIN (SELECT * FROM g WHERE assaytype = 'broad') x USING (rsid, sample_id) GROUP BY rsid")
-def gen_rows(s: SparkSession, d: str) -> DataFrame:
-    return gen_rows_all(s, d, "broad").drop("assaytype")
-
-
 @query("SELECT assaytype, rsid, '--- ' || rsid || ' ' || string_agg(CASE WHEN x.p0 IS NULL THEN '0.0000 0.0000 0.0000' ELSE format('{:.4f} {:.4f} {:.4f}', x.p0, x.p1, x.p2) END, ' ' ORDER BY sample_id) AS line FROM (SELECT DISTINCT assaytype, rsid FROM g) r JOIN samples a USING (assaytype) LEFT JOIN (SELECT assaytype, rsid, sample_id, p0, p1, p2 FROM g) x USING (assaytype, rsid, sample_id) GROUP BY assaytype, rsid")
-def gen_rows_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
-    return reshape.probability_rows(_of(called(s, d), panel), _of(sample_registry(s, d), panel))
-
-
-@query(
-    "SELECT rsid, concat_ws(chr(9), chromosome, position, rsid, ref, alt, '.', '.', 'INFO=1.0', 'GT:GP:AT', string_agg(CASE WHEN x.sample_id IS NULL THEN '.' ELSE format('{}:{:.4f},{:.4f},{:.4f}:E', x.gt, x.p0, x.p1, x.p2) END, chr(9) ORDER BY a.list_posn)) AS line "
-    "FROM (SELECT DISTINCT rsid, chromosome, position, ref, alt FROM g WHERE assaytype = 'exome') r CROSS JOIN (SELECT * FROM samples WHERE assaytype = 'exome') a LEFT JOIN (SELECT rsid, sample_id, gt, p0, p1, p2 FROM g WHERE assaytype = 'exome') x USING (rsid, sample_id) GROUP BY rsid, chromosome, position, ref, alt"
-)
-def vcf_render(s: SparkSession, d: str) -> DataFrame:
-    return vcf_render_all(s, d, "exome").drop("assaytype")
+def gen_rows(s: SparkSession, d: str) -> DataFrame:
+    return reshape.probability_rows(called(s, d), sample_registry(s, d))
 
 
 @query(
     "SELECT assaytype, rsid, concat_ws(chr(9), chromosome, position, rsid, ref, alt, '.', '.', 'INFO=1.0', 'GT:GP:AT', string_agg(CASE WHEN x.gt IS NULL THEN '.' ELSE format('{}:{:.4f},{:.4f},{:.4f}:{}', x.gt, x.p0, x.p1, x.p2, upper(assaytype[1])) END, chr(9) ORDER BY list_posn)) AS line "
     "FROM (SELECT DISTINCT assaytype, rsid, chromosome, position, ref, alt FROM g) r JOIN samples a USING (assaytype) LEFT JOIN (SELECT assaytype, rsid, sample_id, gt, p0, p1, p2 FROM g) x USING (assaytype, rsid, sample_id) GROUP BY assaytype, rsid, chromosome, position, ref, alt"
 )
-def vcf_render_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
-    rows = _of(called(s, d), panel)
+def vcf_render(s: SparkSession, d: str) -> DataFrame:
+    rows = called(s, d)
     heads = rows.select("assaytype", "rsid", "chromosome", "position", "ref", "alt").distinct().withColumns({"qual": F.lit("."), "filter": F.lit("."), "info": F.lit("INFO=1.0"), "format": F.lit("GT:GP:AT")})
-    slots = _of(sample_registry(s, d), panel).select("assaytype", "sample_id", F.col("list_posn").alias("column"))
+    slots = sample_registry(s, d).select("assaytype", "sample_id", F.col("list_posn").alias("column"))
     return reshape.record_lines(rows.select("rsid", "sample_id", "gt", "probs", "assaytype"), slots, heads)
 
 
-@query("SELECT rsid, sample_id, gt AS file_gt, round(hi, 4) AS prob, 'exome' AS platform, alt, position FROM g WHERE assaytype = 'exome'")
-def vcf_round_trip(s: SparkSession, d: str) -> DataFrame:
-    """Call-file lines of a panel, read again: the file's own call, probability, panel tag and fields."""
-    return vcf_round_trip_all(s, d, "exome").drop("assaytype")
-
-
 @query("SELECT assaytype, rsid, sample_id, gt AS file_gt, round(hi, 4) AS prob, assaytype AS platform, alt, position FROM g")
-def vcf_round_trip_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
-    """The same for every panel."""
-    lines = vcf_render_all(s, d, panel).select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
-    rows = vcf.genotypes_of(vcf.records_of(lines, F.col("assaytype")), _of(sample_registry(s, d), panel))
+def vcf_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Call-file lines of every panel, read again: the file's own call, probability, panel tag and fields."""
+    lines = vcf_render(s, d).select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
+    rows = vcf.genotypes_of(vcf.records_of(lines, F.col("assaytype")), sample_registry(s, d))
     tag = G.geno_field(F.col("geno"), G.format_index(F.col("format"), "AT"))
     return rows.select("assaytype", "rsid", "sample_id", "file_gt", r(G.top_probability(F.col("probs")), 4).alias("prob"), G.assay_of_tag(tag).alias("platform"), "alt", "position")
 
@@ -558,15 +529,10 @@ def csv_compare(s: SparkSession, d: str) -> DataFrame:
     return annotate.compare_calls(c.where("assaytype = 'affy'"), c.where("assaytype = 'broad'"))
 
 
-@query(_ACCEPTED + "SELECT g.rsid, g.sample_id, g.assaytype, CASE g.gt WHEN './.' THEN -9 WHEN '0/1' THEN 1 ELSE CASE WHEN (g.gt = '0/0') <> (ref <> ref1) THEN 0 ELSE 2 END END AS number FROM g JOIN fst USING (rsid) WHERE assaytype = 'illumina'")
-def flip_genotypes(s: SparkSession, d: str) -> DataFrame:
-    return flip_genotypes_all(s, d, "illumina")
-
-
 @query(_ACCEPTED + "SELECT g.rsid, g.sample_id, g.assaytype, CASE g.gt WHEN './.' THEN -9 WHEN '0/1' THEN 1 ELSE CASE WHEN (g.gt = '0/0') <> (ref <> ref1) THEN 0 ELSE 2 END END AS number FROM g JOIN fst USING (rsid)")
-def flip_genotypes_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
-    swapped = _of(combine.rejected_records(long(s, d)), panel)
-    return annotate.flipped_calls(_of(called(s, d), panel), swapped).select("rsid", "sample_id", "assaytype", "number")
+def flip_genotypes(s: SparkSession, d: str) -> DataFrame:
+    swapped = combine.rejected_records(long(s, d))
+    return annotate.flipped_calls(called(s, d), swapped).select("rsid", "sample_id", "assaytype", "number")
 
 
 @query("SELECT assaytype, sample_id, CASE WHEN (list_posn + 1) % 10 = 0 THEN sample_id ELSE '2' || substr(sample_id, 2) END AS new_id FROM samples")
@@ -601,14 +567,9 @@ def header_correction(s: SparkSession, d: str) -> DataFrame:
     return annotate.corrected_headers(c.select(name.alias("name")).distinct(), c)
 
 
-@query(_METRICS + "SELECT g.rsid, g.sample_id, raf < aaf AS normalised, CASE g.gt WHEN './.' THEN -9 WHEN '0/1' THEN 1 ELSE CASE WHEN (g.gt = '0/0') <> (raf < aaf) THEN 0 ELSE 2 END END AS number FROM g JOIN m USING (assaytype, rsid) WHERE assaytype = 'metabo'")
-def normalised_calls(s: SparkSession, d: str) -> DataFrame:
-    return normalised_calls_all(s, d, "metabo").drop("assaytype")
-
-
 @query(_METRICS + "SELECT assaytype, g.rsid, g.sample_id, raf < aaf AS normalised, CASE g.gt WHEN './.' THEN -9 WHEN '0/1' THEN 1 ELSE CASE WHEN (g.gt = '0/0') <> (raf < aaf) THEN 0 ELSE 2 END END AS number FROM g JOIN m USING (assaytype, rsid)")
-def normalised_calls_all(s: SparkSession, d: str, panel: str | None = None) -> DataFrame:
-    c = _of(called(s, d), panel)
+def normalised_calls(s: SparkSession, d: str) -> DataFrame:
+    c = called(s, d)
     m = metrics.record_metrics(metrics.call_counts(c, "assaytype", "rsid")).select("assaytype", "rsid", "raf", "aaf")
     return annotate.normalised_calls(c, m).select("assaytype", "rsid", "sample_id", "normalised", "number")
 
@@ -712,7 +673,7 @@ def combo_stats(s: SparkSession, d: str) -> DataFrame:
 @query(_COUNTS + ", sl AS (SELECT assaytype, count(*) AS n_slots FROM samples GROUP BY assaytype) SELECT assaytype, rsid, n_slots AS raw_n, homref AS raw_homref, het AS raw_het, homalt AS raw_homalt, miss AS raw_miss, n_slots - alln AS raw_dot, round((n_slots - miss) / n_slots::DOUBLE, 6) AS raw_cr FROM counts JOIN sl USING (assaytype)")
 def raw_gt_counts(s: SparkSession, d: str) -> DataFrame:
     """The file's own calls of every record line, counted without a threshold."""
-    lines = vcf_render_all(s, d).select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
+    lines = vcf_render(s, d).select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
     out = vcf.raw_counts(vcf.records_of(lines, F.col("assaytype")))
     return out.select("assaytype", "rsid", "raw_n", "raw_homref", "raw_het", "raw_homalt", "raw_miss", "raw_dot", r("raw_cr").alias("raw_cr"))
 
@@ -739,7 +700,7 @@ def variants_at_places(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT assaytype, rsid, chromosome, position, rsid AS record_rsid FROM g")
 def catalogue_records(s: SparkSession, d: str) -> DataFrame:
     """Catalogue rows beside the records that call-file lines hold of them."""
-    lines = vcf_render_all(s, d).select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
+    lines = vcf_render(s, d).select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
     stored = derived_catalogue(s, d).select("assaytype", "rsid", "chromosome", "position", F.col("ref").alias("allelea"), F.col("alt").alias("alleleb"))
     return catalogue.with_records(stored, vcf.records_of(lines, F.col("assaytype"))).select("assaytype", "rsid", "chromosome", "position", "record_rsid")
 
@@ -776,19 +737,19 @@ def genes_by_name(s: SparkSession, d: str) -> DataFrame:
 _RAW = ", ".join(f"max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE -9 END END) AS {i}, round(max(CASE WHEN rsid = '{i}' THEN hi END), 4) AS {i}_prob, max(CASE WHEN rsid = '{i}' THEN assaytype END) AS {i}_plat, max(CASE WHEN rsid = '{i}' THEN alt END) AS {i}_min" for i in REQUEST)
 
 
-@query(f"SELECT sample_id, {_RAW} FROM g WHERE rsid IN {REQUEST} AND assaytype = 'exome' GROUP BY sample_id")
+@query(f"SELECT assaytype, sample_id, {_RAW} FROM g WHERE rsid IN {REQUEST} GROUP BY assaytype, sample_id")
 def csv_transpose_raw(s: SparkSession, d: str) -> DataFrame:
-    """The calls of a panel's lines as they stand, with probability, panel and counted allele."""
-    lines = vcf_render_all(s, d, "exome").select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
-    out = reshape.transposed_raw(vcf.genotypes_of(vcf.records_of(lines, F.col("assaytype")), _of(sample_registry(s, d), "exome")), list(REQUEST))
-    return out.select("sample_id", *[r(c, 4).alias(c) if c.endswith("_prob") else F.col(c) for c in out.columns if c != "sample_id"])
+    """The calls of every panel's lines as they stand, with probability, panel and counted allele."""
+    lines = vcf_render(s, d).select("assaytype", F.col("line").alias("value"), F.lit(0).cast("long").alias("line_ord"))
+    out = reshape.transposed_raw(vcf.genotypes_of(vcf.records_of(lines, F.col("assaytype")), sample_registry(s, d)), list(REQUEST), by=("assaytype", "sample_id"))
+    return out.select(*[r(c, 4).alias(c) if c.endswith("_prob") else F.col(c) for c in out.columns])
 
 
-@query("SELECT a.rsid, a.sample_id, 'X' || a.sample_id AS other_id, a.gt AS gt_a, b.gt AS gt_b FROM g a JOIN g b USING (rsid, sample_id) WHERE a.assaytype = 'affy' AND b.assaytype = 'broad' AND a.gt <> b.gt AND a.sample_id::INT % 5 > 0")
+@query("SELECT a.rsid, a.sample_id, 'X' || a.sample_id AS other_id, a.gt AS gt_a, b.gt AS gt_b FROM g a JOIN g b USING (rsid, sample_id) WHERE a.assaytype = 'affy' AND b.assaytype = 'broad' AND a.gt <> b.gt AND a.sample_id IN (SELECT iid FROM phenotypes WHERE \"binary\" = 0)")
 def csv_compare_mapped(s: SparkSession, d: str) -> DataFrame:
-    """Two panels whose samples have different ids, compared through a map that lacks some."""
+    """Two panels whose samples have different ids, compared through a map that has the controls only."""
     c = called(s, d)
-    ids = c.select("sample_id").distinct().where(F.col("sample_id").cast("int") % 5 > 0).select(F.col("sample_id").alias("old"), F.concat(F.lit("X"), "sample_id").alias("new"))
+    ids = phenotypes(s, d).where(F.col("binary") == 0).select(F.col("iid").alias("old"), F.concat(F.lit("X"), "iid").alias("new"))
     return annotate.compare_mapped(c.where("assaytype = 'affy'"), c.where("assaytype = 'broad'").withColumn("sample_id", F.concat(F.lit("X"), "sample_id")), ids)
 
 
@@ -809,11 +770,11 @@ def no_assay_counts(s: SparkSession, d: str) -> DataFrame:
     return combine.no_assay_counts(long(s, d), sample_registry(s, d))
 
 
-@query("SELECT string_agg(sample_id, ',' ORDER BY list_posn) AS line FROM samples WHERE assaytype = 'exome'")
+@query("SELECT assaytype, string_agg(sample_id, ',' ORDER BY list_posn) AS line FROM samples GROUP BY assaytype")
 def sample_list_line(s: SparkSession, d: str) -> DataFrame:
-    return reshape.list_line(_of(sample_registry(s, d), "exome"), "sample_id", "list_posn")
+    return reshape.list_line(sample_registry(s, d), "sample_id", "list_posn", by=("assaytype",))
 
 
-@query("SELECT list_posn::INT AS place, sample_id AS name FROM samples WHERE assaytype = 'exome'")
+@query("SELECT assaytype, list_posn::INT AS place, sample_id AS name FROM samples")
 def sample_header_names(s: SparkSession, d: str) -> DataFrame:
-    return reshape.header_names(sample_list_line(s, d).select(F.col("line").alias("value")))
+    return reshape.header_names(sample_list_line(s, d).withColumnRenamed("line", "value"))
