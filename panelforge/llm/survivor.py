@@ -29,6 +29,8 @@ from panelforge.session import broadcast_if_small, cut
 BUNDLE = 256
 #: Cells of an alignment table that are kept for the way back; larger tables are halved (memory bound; never changes a score).
 TABLE_CELLS = 16_000_000
+#: Rows that may be broadcast.
+FEW = 100_000
 TEXT_FIELDS = ("assaytype", "rsid", "chromosome", "allelea", "alleleb")
 INT_FIELDS = ("startposition", "endposition", "imputed", "missing", "numsamples")
 #: Number fields and the range in which a value can be true.
@@ -85,15 +87,27 @@ def _named(rows: DataFrame, placed: DataFrame) -> DataFrame:
     parts = F.split("g_alleles", "/")
     fits_one = F.col("_al").isNotNull() | F.col("_one").isNull() | F.col("g_alleles").isNull() | F.array_contains(parts, F.col("_one")) | F.array_contains(parts, _complement(F.col("_one")))
     fits_alleles = F.col("_al").isNull() | F.col("g_alleles").isNull() | (F.col("_al") == F.col("g_alleles"))
-    pairs = pairs.where(fits_alleles & fits_one)
-    # metrics a row has in common with the rows of the group, counted by equi-join so that no group is gathered
-    theirs = placed.select("gid", F.posexplode("profile").alias("_i", "_x")).where("_x is not null").distinct()
-    own = rows.select("vid", F.posexplode("profile").alias("_i", "_x")).where("_x is not null")
-    alike = pairs.select("vid", "gid").distinct().join(own, "vid").join(theirs, ["gid", "_i", "_x"], "left_semi").groupBy("vid", "gid").agg(F.count("*").alias("_alike"))
     near = (F.col("_c").isNull() | F.col("g_chrom").isNull() | (F.col("_c") == F.col("g_chrom"))) & (F.col("_p").isNull() | F.col("g_pos").isNull() | (F.abs(F.col("_p") - F.col("g_pos")) <= 1))
     as_int = lambda c: F.coalesce(c.cast("int"), F.lit(0))
-    score = F.struct(as_int(near), as_int(F.col("_al") == F.col("g_alleles")), as_int(F.col("_p") == F.col("g_pos")), F.coalesce("_alike", F.lit(0)), "g_size", "gid")
-    return pairs.join(alike, ["vid", "gid"], "left").groupBy("vid").agg(F.max_by("gid", score).alias("gid"))
+    agreement = 4 * as_int(near) + 2 * as_int(F.col("_al") == F.col("g_alleles")) + as_int(F.col("_p") == F.col("g_pos"))
+    pairs = cut(pairs.where(fits_alleles & fits_one).groupBy("vid", "gid").agg(F.max(F.struct(agreement.alias("_fit"), "g_size")).alias("_s")).select("vid", "gid", "_s.*"))
+    best = cut(pairs.join(pairs.groupBy("vid").agg(F.max("_fit").alias("_fit")), ["vid", "_fit"]))
+    tied = cut(best.join(best.groupBy("vid").agg(F.count("*").alias("_n")).where("_n > 1"), "vid", "left_semi").select("vid", "gid"))
+    if tied.limit(1).count() == 0:
+        return best.select("vid", "gid")
+    # where groups are equally good: metrics a row has in common with the rows of each, counted by equi-join so that no group
+    # is gathered
+    theirs = _kept(placed.select("gid", "vid", "profile"), tied.select("gid").distinct(), ["gid"]).select("gid", F.posexplode("profile").alias("_i", "_x")).where("_x is not null").distinct()
+    own = rows.select("vid", F.posexplode("profile").alias("_i", "_x")).where("_x is not null")
+    alike = tied.join(own, "vid").join(theirs, ["gid", "_i", "_x"], "left_semi").groupBy("vid", "gid").agg(F.count("*").alias("_alike"))
+    return best.join(alike, ["vid", "gid"], "left").groupBy("vid").agg(F.max_by("gid", F.struct(F.coalesce("_alike", F.lit(0)), "g_size", "gid")).alias("gid"))
+
+
+def _kept(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with the usually few distinct ``keys`` of ``few``: by broadcast where they are seen to be few, otherwise by
+    a shuffle that splits hot keys."""
+    few = cut(few)
+    return rows.join(F.broadcast(few), keys, how) if few.limit(FEW + 1).count() <= FEW else salted_join(rows, few, keys, how)
 
 
 def group_entries(variants: DataFrame) -> DataFrame:
@@ -105,7 +119,7 @@ def group_entries(variants: DataFrame) -> DataFrame:
     whole = F.col("chrom").isNotNull() & F.col("pos").isNotNull() & F.col("alleles").isNotNull()
     complete = rows.where(whole)
     chains = _one_off(complete)
-    placed = complete.join(chains, list(VARIANT), "left").withColumn("gid", F.xxhash64("panel", "chrom", F.coalesce("root", "pos"), "alleles"))
+    placed = _kept(complete, chains, list(VARIANT), "left").withColumn("gid", F.xxhash64("panel", "chrom", F.coalesce("root", "pos"), "alleles"))
     placed = cut(placed.select("vid", *VARIANT, "names", "profile", "gid"))
     found = placed.select("vid", "gid")
     rest = rows.where(~whole)
