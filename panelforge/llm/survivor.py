@@ -374,10 +374,15 @@ def survivors(variants: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per group: ``vid`` (the least of its rows), ``n_entries`` and every field with the existing value closest to
     the consensus (edit distance of the whole texts; of equally close ones the heaviest, then the latest, then the least).
 
-    Most fields have one value in a group; they are settled by one combining aggregation.  Only the others are spread into
-    (group, field, value) rows and aligned.
+    An entry alone in its group survives as it is.  Of the others most fields have one value in a group; they are settled by
+    one combining aggregation.  Only what is left is spread into (group, field, value) rows and aligned.
     """
-    rows = cut(_texts(variants).join(groups.select("vid", "gid"), "vid"))
+    groups = cut(groups.select("vid", "gid"))
+    several = groups.groupBy("gid").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = cut(_texts(variants).join(_kept(groups, several, ["gid"], "left"), "vid"))
+    kind = lambda c: "double" if c in NUMBER_FIELDS else "int" if c in INT_FIELDS else "string"
+    lone = rows.where("_n is null").select("vid", F.lit(1).cast("long").alias("n_entries"), *[F.col(f"v_{c}").cast(kind(c)).alias(c) for c in FIELDS])
+    rows = rows.where("_n is not null").drop("_n")
     ends = rows.groupBy("gid").agg(F.min("vid").alias("vid"), F.count("*").alias("n_entries"), *[F.min(f"v_{c}").alias(f"lo_{c}") for c in FIELDS], *[F.max(f"v_{c}").alias(f"hi_{c}") for c in FIELDS])
     differ = F.filter(F.array(*[F.when(F.col(f"lo_{c}") != F.col(f"hi_{c}"), F.lit(c)) for c in FIELDS]), lambda c: c.isNotNull())
     ends = cut(ends.select("gid", "vid", "n_entries", differ.alias("_open"), *[F.when(F.col(f"lo_{c}") == F.col(f"hi_{c}"), F.col(f"lo_{c}")).alias(f"v_{c}") for c in FIELDS]))
@@ -388,5 +393,5 @@ def survivors(variants: DataFrame, groups: DataFrame) -> DataFrame:
     late = F.coalesce(F.unix_micros(F.col("latest").cast("timestamp")), F.lit(0))
     closest = salted_join(values, agreed, ["gid", "field"]).groupBy("gid", "field").agg(F.min_by("value", F.struct((F.col("value") != F.col("_consensus")), far.alias("_d"), (-F.col("weight")).alias("_w"), (-late).alias("_l"), "value")).alias("value"))
     chosen = closest.groupBy("gid").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_v"))
-    typed = [F.coalesce(F.col(f"v_{c}"), F.col("_v")[c]).cast("double" if c in NUMBER_FIELDS else "int" if c in INT_FIELDS else "string").alias(c) for c in FIELDS]
-    return ends.join(chosen, "gid", "left").select("vid", "n_entries", *typed)
+    typed = [F.coalesce(F.col(f"v_{c}"), F.col("_v")[c]).cast(kind(c)).alias(c) for c in FIELDS]
+    return lone.unionByName(ends.join(chosen, "gid", "left").select("vid", "n_entries", *typed))
