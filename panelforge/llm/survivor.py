@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.text import chromosome, id_tokens, panel, strip
 from panelforge.operators.ordered import ranked
 from panelforge.operators.skew import salted_join
-from panelforge.session import broadcast_if_small, cut
+from panelforge.session import cut, shuffle_width
 
 #: Values or profiles that are aligned one after the other; the fan-in of the tree of alignments.
 BUNDLE = 256
@@ -366,8 +366,8 @@ def consensus_values(values: DataFrame) -> DataFrame:
 
 
 def _aligned(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """One profile per (gid, field, bundle)."""
-    return rows.repartition("gid", "field", "_b").sortWithinPartitions("gid", "field", "_b", *order).select("gid", "field", "_b", "value", "weight", "profile").mapInPandas(_align_bundles, PROFILE_SCHEMA)
+    """One profile per (gid, field, bundle).  The width of the shuffle is fixed: the values are few bytes but much work."""
+    return rows.repartition(shuffle_width(rows.sparkSession), "gid", "field", "_b").sortWithinPartitions("gid", "field", "_b", *order).select("gid", "field", "_b", "value", "weight", "profile").mapInPandas(_align_bundles, PROFILE_SCHEMA)
 
 
 def survivors(variants: DataFrame, groups: DataFrame) -> DataFrame:
