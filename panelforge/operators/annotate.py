@@ -93,9 +93,18 @@ def two_way_merge(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def flipped_calls(rows: DataFrame, flips: DataFrame, key: tuple[str, ...] = ("assaytype", "rsid")) -> DataFrame:
     """0 and 2 exchanged for the variants of a panel listed in ``flips``."""
-    listed = broadcast_if_small(flips.select(*key).distinct().withColumn("_flip", F.lit(True)))
     number = G.call_number(F.col("gt"))
-    return rows.join(listed, list(key), "left").withColumn("number", F.when(F.col("_flip"), G.flipped(number)).otherwise(number)).drop("_flip")
+    return _listed(rows, flips, key).withColumn("number", F.when(F.col("_flip"), G.flipped(number)).otherwise(number)).drop("_flip")
+
+
+def flipped_records(rows: DataFrame, flips: DataFrame, key: tuple[str, ...] = ("assaytype", "rsid")) -> DataFrame:
+    """``probs`` in reversed order for the variants of a panel listed in ``flips``."""
+    return _listed(rows, flips, key).withColumn("probs", F.when(F.col("_flip"), G.flipped_probabilities(F.col("probs"))).otherwise(F.col("probs"))).drop("_flip")
+
+
+def _listed(rows: DataFrame, flips: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Adds ``_flip``, true for the rows whose key is listed, otherwise null."""
+    return rows.join(broadcast_if_small(flips.select(*key).distinct().withColumn("_flip", F.lit(True))), list(key), "left")
 
 
 def corrected_headers(headers: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -535,6 +535,12 @@ def flip_genotypes(s: SparkSession, d: str) -> DataFrame:
     return annotate.flipped_calls(called(s, d), swapped).select("rsid", "sample_id", "assaytype", "number")
 
 
+@query(_ACCEPTED + "SELECT g.rsid, g.sample_id, g.assaytype, round(CASE WHEN ref <> ref1 THEN p2 ELSE p0 END, 6) AS p0, round(p1, 6) AS p1, round(CASE WHEN ref <> ref1 THEN p0 ELSE p2 END, 6) AS p2 FROM g JOIN fst USING (rsid)")
+def flip_probabilities(s: SparkSession, d: str) -> DataFrame:
+    out = annotate.flipped_records(called(s, d), combine.rejected_records(long(s, d)))
+    return out.select("rsid", "sample_id", "assaytype", *[r(F.col("probs")[i]).alias(f"p{i}") for i in range(3)])
+
+
 @query("SELECT assaytype, sample_id, CASE WHEN (list_posn + 1) % 10 = 0 THEN sample_id ELSE '2' || substr(sample_id, 2) END AS new_id FROM samples")
 def nth_row_remap(s: SparkSession, d: str) -> DataFrame:
     return annotate.every_nth_kept(sample_registry(s, d), 10).select("assaytype", "sample_id", "new_id")
@@ -633,13 +639,23 @@ _ODD = _DECIDE.replace("FROM weights w", "FROM (SELECT CASE WHEN (substr(rsid, 3
 @query(_ODD + "SELECT rsid, ea, ref, alt, decision, round(CASE WHEN decision = 'FLIP' THEN -wgt ELSE wgt END, 6) AS signed_wgt FROM dec")
 def grs_odd_weights(s: SparkSession, d: str) -> DataFrame:
     """Strand decisions on weights among which some variants are unknown and some effect alleles impossible."""
-    n = F.substring("rsid", 3, 20).cast("int") - 1000
-    odd = weights(s, d).select(F.when(n % 7 == 0, F.concat(F.lit("rs9"), F.substring("rsid", 3, 20))).otherwise(F.col("rsid")).alias("rsid"), F.when(n % 5 == 0, "I").otherwise(F.col("ea")).alias("ea"), "eaf", "wgt")
+    odd = _odd(s, d)
     m = metrics.record_metrics(metrics.call_counts(called(s, d).where("assaytype = 'illumina'"), "rsid", "ref", "alt"))
     out = grs.strand_decisions(odd, m.withColumn("minor", metrics.minor_allele(F.col("ref"), F.col("alt"))))
     return out.select("rsid", "ea", "ref", "alt", "decision", r("signed_wgt").alias("signed_wgt"))
 
 
+def _odd(s: SparkSession, d: str) -> DataFrame:
+    n = F.substring("rsid", 3, 20).cast("int") - 1000
+    return weights(s, d).select(F.when(n % 7 == 0, F.concat(F.lit("rs9"), F.substring("rsid", 3, 20))).otherwise(F.col("rsid")).alias("rsid"), F.when(n % 5 == 0, "I").otherwise(F.col("ea")).alias("ea"), "eaf", "wgt")
+
+
+@query("SELECT DISTINCT g.rsid, g.ref, g.alt, 'I' AS ea FROM g JOIN weights USING (rsid) WHERE (substr(rsid, 3)::INT - 1000) % 7 > 0 AND (substr(rsid, 3)::INT - 1000) % 5 = 0")
+def grs_rejected_weights(s: SparkSession, d: str) -> DataFrame:
+    """Of the same weights those whose effect allele is neither allele of the variant."""
+    return grs.rejected_weights(called(s, d), _odd(s, d))
+
+
 @query("SELECT assaytype, sample_id, " + ", ".join(f"max(CASE WHEN rsid = '{i}' THEN CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE -9 END END) AS {i}" for i in REQUEST) + f" FROM g WHERE rsid IN {REQUEST} GROUP BY assaytype, sample_id")
 def csv_plain_listed(s: SparkSession, d: str) -> DataFrame:
     """The same table from records whose id is a list."""
